@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plenum.llm import components, tokens, vectors
-from plenum.runtime import table
+from plenum.llm import components, fusion, near_copies, tokens, vectors
+from plenum.runtime import cut, table
 
 
 def p3_found(spark: SparkSession, base: str) -> DataFrame:
@@ -18,6 +18,33 @@ def p6_found(spark: SparkSession, base: str) -> DataFrame:
     return components.connected_components(table(spark, base, "entity_matches"), "entity1", "entity2")
 
 
+def p4_found(spark: SparkSession, base: str) -> DataFrame:
+    return near_copies.near_pairs(table(spark, base, "entities"))
+
+
+def p4_classes(spark: SparkSession, base: str) -> DataFrame:
+    """Each record's class of equal word sets and the number of other classes near it."""
+    return near_copies.near_classes(table(spark, base, "entities"))
+
+
+def p7_found(spark: SparkSession, base: str) -> DataFrame:
+    won = fusion.fuse(table(spark, base, "entities"), cut(p6_found(spark, base)), strict=True)
+    return won.select("group_id", "field_name", "entity_id")
+
+
+def p7_fused(spark: SparkSession, base: str) -> DataFrame:
+    """The same groups where the sources' evidence may overrule the stated preference, with posteriors."""
+    return fusion.fuse(table(spark, base, "entities"), cut(p6_found(spark, base)))
+
+
+def p7_records(spark: SparkSession, base: str) -> DataFrame:
+    return fusion.fused_records(table(spark, base, "entities"), cut(p6_found(spark, base)))
+
+
+def p7_aliases(spark: SparkSession, base: str) -> DataFrame:
+    return fusion.group_aliases(table(spark, base, "entities"), cut(p6_found(spark, base)))
+
+
 def p8_ids(spark: SparkSession, base: str) -> DataFrame:
     return tokens.encode(table(spark, base, "documents"))
 
@@ -28,7 +55,7 @@ def p8_round_trip(spark: SparkSession, base: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p3_found, p6_found, p8_ids, p8_round_trip)
+    f.__name__: f for f in (p3_found, p4_found, p4_classes, p6_found, p7_found, p7_fused, p7_records, p7_aliases, p8_ids, p8_round_trip)
 }
 
 ORACLES: dict[str, str] = {
