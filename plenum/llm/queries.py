@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plenum.llm import components, fusion, near_copies, tokens, vectors
+from plenum.llm import components, fusion, language, mixing, near_copies, tokens, vectors
 from plenum.runtime import cut, table
 
 
@@ -54,8 +54,29 @@ def p8_round_trip(spark: SparkSession, base: str) -> DataFrame:
     return tokens.decode(tokens.encode(table(spark, base, "documents")))
 
 
+def p9_mixture(spark: SparkSession, base: str) -> DataFrame:
+    return mixing.mixture(table(spark, base, "documents"), table(spark, base, "mix_targets"))
+
+
+def p9_shares(spark: SparkSession, base: str) -> DataFrame:
+    return mixing.shares(table(spark, base, "documents"), table(spark, base, "mix_targets"))
+
+
+def p10_found(spark: SparkSession, base: str) -> DataFrame:
+    return language.corrected_labels(table(spark, base, "documents"), table(spark, base, "lang_samples"))
+
+
+def p10_documents(spark: SparkSession, base: str) -> DataFrame:
+    """Every language of every document, with its confidence."""
+    return language.document_languages(table(spark, base, "documents"), table(spark, base, "lang_samples"))
+
+
+def p10_segments(spark: SparkSession, base: str) -> DataFrame:
+    return language.document_segments(table(spark, base, "documents"), table(spark, base, "lang_samples"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p3_found, p4_found, p4_classes, p6_found, p7_found, p7_fused, p7_records, p7_aliases, p8_ids, p8_round_trip)
+    f.__name__: f for f in (p3_found, p4_found, p4_classes, p6_found, p7_found, p7_fused, p7_records, p7_aliases, p8_ids, p8_round_trip, p9_mixture, p9_shares, p10_found, p10_documents, p10_segments)
 }
 
 ORACLES: dict[str, str] = {
