@@ -9,7 +9,7 @@ side is broadcast only if its measured size is below ``broadcast_bytes``; otherw
 Defined results
 * null and empty texts have no ids: an empty list (token count 0);
 * rows repeated under one id with one text give one row; a null id is kept as a row of its own per text;
-* words of any length are encoded whole; all other columns are ignored.
+* a text may have up to 2^27 words, a word up to 2^19 ids; both are encoded whole; all other columns are ignored.
 """
 
 from __future__ import annotations
@@ -104,7 +104,9 @@ def _coded(docs: DataFrame, key: str, text: str, vocabulary: str, folder: str, b
     flat = base.select("doc", "h", F.posexplode(words(F.col("_text"))).alias("pos", "word"))
     # one vocabulary for all documents; the cut gives its true size and keeps the fold from running twice
     distinct = base.select(F.explode(words(F.col("_text"))).alias("word")).distinct()
-    coded = cut(encode_words(distinct, vocabulary, folder))
+    # a small table of heavy rows: spread over all cores
+    spread = distinct.repartition(4 * docs.sparkSession.sparkContext.defaultParallelism, "word")
+    coded = cut(encode_words(spread, vocabulary, folder))
     size = coded.select(F.sum(F.octet_length("word") + 4 * F.size("word_ids") + 64)).first()[0] or 0
     if size <= broadcast_bytes:
         coded = F.broadcast(coded)
@@ -115,12 +117,13 @@ def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", vocabulary:
            broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """(``key``, ``ids``) of every document."""
     base, coded = _coded(docs, key, text, vocabulary, folder, broadcast_bytes)
-    empty = F.expr("CAST(array() AS array<struct<pos:int,ids:array<int>>>)")
-    rows = coded.select("doc", "h", F.struct("pos", F.col("word_ids").alias("ids")).alias("w"))
+    # one long a token, place above id: sorts as it stands, and a list of longs is the smallest thing to move
+    flat = coded.select("doc", "h", "pos", F.posexplode("word_ids").alias("sub", "id"))
+    code = F.shiftleft(F.col("pos").cast("bigint"), 36) + F.shiftleft(F.col("sub").cast("bigint"), 17) + F.col("id")
     # documents without words keep a row
-    rows = rows.unionByName(base.select("doc", "h", F.lit(None).cast("struct<pos:int,ids:array<int>>").alias("w")))
-    whole = rows.groupBy("doc", "h").agg(F.array_sort(F.coalesce(F.collect_list("w"), empty)).alias("ws"))
-    ids = F.expr("flatten(transform(filter(ws, (w, i) -> i = 0 OR w.pos <> ws[greatest(i, 1) - 1].pos), w -> w.ids))")
+    rows = flat.select("doc", "h", code.alias("c")).unionByName(base.select("doc", "h", F.lit(None).cast("bigint").alias("c")))
+    whole = rows.groupBy("doc", "h").agg(F.array_sort(F.array_distinct(F.collect_list("c"))).alias("cs"))
+    ids = F.expr(f"transform(cs, c -> CAST(c & {(1 << 17) - 1}L AS int))")
     return whole.select(F.col("doc").alias(key), ids.alias("ids"))
 
 
