@@ -288,13 +288,17 @@ class Registry:
         """``labels`` (label, session_id), distinct, with ``kind``, ``who`` (null: nobody known), ``form`` and surname ``s``."""
         df = labels.join(self.read.select("label", "kind", "given", "g", "s", "inits", "org"), "label")
         names = df.filter("kind = 'person'")
-        # soft weighted token similarity: the surname is equal after correction; the given name counts by how it is written
-        cand = names.join(self.people, "s")
-        bases = _nick(F.col("g"))
-        fit = F.when(F.col("g").isNull() & (F.length("inits") == 0), F.lit(0.4)).when(F.col("g").isNull(), F.when(F.substring("inits", 1, 1) == F.col("init"), F.lit(0.6)).otherwise(F.lit(0.0)))
-        fit = fit.when(F.col("base") == F.col("g"), F.lit(1.0)).when(F.array_contains(bases, F.col("base")), F.lit(0.9)).when(F.col("base").isNull() & (F.substring("g", 1, 1) == F.col("init")), F.lit(0.5)).otherwise(F.lit(0.0))
+        # soft weighted token similarity: the surname, the rare token, is equal after correction; the given name adds by
+        # how it is written. Three joins, each on all that the label says, so that no surname's labels meet all its people
         middle = F.when((F.length("inits") > 1) & F.col("mid").isNotNull(), F.when(F.substring("inits", 2, 1) == F.col("mid"), F.lit(0.05)).otherwise(F.lit(-0.3))).otherwise(F.lit(0.0))
-        cand = cand.withColumn("fit", fit).filter("fit > 0").withColumn("fit", F.col("fit") + F.when(F.col("fit") < 0.95, middle).otherwise(F.lit(0.0))).select("label", "session_id", "who", "fit")
+        kept = ["label", "session_id", "who"]
+        whole = names.filter("g IS NOT NULL").withColumn("base", F.explode(_nick(F.col("g")))).join(self.people.drop("init"), ["s", "base"])
+        whole = whole.select(*kept, F.when(F.col("base") == F.col("g"), F.lit(1.0)).otherwise(0.9 + middle).alias("fit"))
+        brief = names.filter("length(inits) > 0").withColumn("init", F.substring("inits", 1, 1)).join(self.people, ["s", "init"])
+        brief = brief.filter("g IS NULL OR base IS NULL").select(*kept, (F.when(F.col("g").isNull(), 0.6).otherwise(0.5) + middle).alias("fit"))
+        alone = names.filter("g IS NULL AND length(inits) = 0").join(self.people.join(self.present, "who").select("s", "session_id", "who"), ["s", "session_id"])
+        alone = alone.select(*kept, F.lit(0.4).alias("fit"))
+        cand = whole.unionByName(brief).unionByName(alone)
         cand = cand.join(self.present.withColumn("there", F.lit(1)), ["who", "session_id"], "left").withColumn("there", F.coalesce("there", F.lit(0)))
         # a full name needs no attendance; of several, one that attended is meant; a surname alone must have attended
         rank = F.struct((F.col("fit") >= 0.95).cast("int").alias("a"), "there", "fit")

@@ -6,10 +6,23 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plenum.llm import components, fusion, language, mixing, names, near_copies, tokens, vectors
+from plenum.llm import components, fusion, language, mixing, names, near_copies, tokens, turns, vectors
 from plenum.runtime import cut, table
 
 
+def _turn_tables(spark: SparkSession, base: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    return table(spark, base, "transcript_sentences"), table(spark, base, "speech_blocks"), table(spark, base, "speakers")
+
+
+def p1_found(spark: SparkSession, base: str) -> DataFrame:
+    return turns.turn_ends(*_turn_tables(spark, base))
+
+
+def p1_turns(spark: SparkSession, base: str) -> DataFrame:
+    """The clean turns with speaker, times and text."""
+    return turns.turns(*_turn_tables(spark, base))
+
+
 def p2_found(spark: SparkSession, base: str) -> DataFrame:
     return names.linked(table(spark, base, "speakers"), table(spark, base, "speech_blocks"))
 
@@ -80,7 +93,7 @@ def p10_segments(spark: SparkSession, base: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p2_found, p3_found, p4_found, p4_classes, p6_found, p7_found, p7_fused, p7_records, p7_aliases, p8_ids, p8_round_trip, p9_mixture, p9_shares, p10_found, p10_documents, p10_segments)
+    f.__name__: f for f in (p1_found, p1_turns, p2_found, p3_found, p4_found, p4_classes, p6_found, p7_found, p7_fused, p7_records, p7_aliases, p8_ids, p8_round_trip, p9_mixture, p9_shares, p10_found, p10_documents, p10_segments)
 }
 
 ORACLES: dict[str, str] = {
