@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 
+from pyspark import Broadcast, cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -41,3 +42,18 @@ def cut(df: DataFrame) -> DataFrame:
 def input_bytes(df: DataFrame) -> int:
     """The optimiser's size estimate of ``df`` in bytes (file sizes for a scan)."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def ship(spark: SparkSession, thing: object) -> Broadcast:
+    """Broadcast an object of this package (a fitted model of bounded size); ``received`` opens it in a worker."""
+    return spark.sparkContext.broadcast(cloudpickle.dumps(thing))
+
+
+def received(sent: Broadcast) -> object:
+    """The object that ``ship`` sent, opened once per worker process."""
+    opened = globals().setdefault("_opened", {})
+    key = hash(sent.value)
+    if key not in opened:
+        opened.clear()
+        opened[key] = cloudpickle.loads(sent.value)
+    return opened[key]
