@@ -30,6 +30,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plenum.runtime import received, ship
+
 FEATURES, TRAIN_ROWS = 1 << 15, 20_000
 #: Labelled documents, and sentences of one language from them, that the second training may use.
 LABELLED_DOCS, PER_LANGUAGE = 4000, 800
@@ -209,7 +211,7 @@ def _languages(model: Model, n_words: np.ndarray, sums: np.ndarray) -> dict[int,
 
 def _documents(model):
     def run(batches: Iterator[pa.RecordBatch]):
-        m = model.value
+        m = received(model)
         for batch in batches:
             for s in range(0, batch.num_rows, 1000):
                 part = batch.slice(s, 1000)
@@ -232,7 +234,7 @@ def _documents(model):
 
 def _segments(model):
     def run(batches: Iterator[pa.RecordBatch]):
-        m = model.value
+        m = received(model)
         for batch in batches:
             for s in range(0, batch.num_rows, 1000):
                 part = batch.slice(s, 1000)
@@ -303,7 +305,7 @@ def fitted(samples: DataFrame, docs: DataFrame | None = None, labelled: int = LA
 
 def document_languages(docs: DataFrame, samples: DataFrame) -> DataFrame:
     """(doc_id, lang, confidence, n_langs, label): one row for each language of each document; ``label`` is the given one as a code."""
-    model = docs.sparkSession.sparkContext.broadcast(fitted(samples, docs))
+    model = ship(docs.sparkSession, fitted(samples, docs))
     kind = docs.schema["doc_id"].dataType.simpleString()
     found = docs.select("doc_id", "text", "lang").mapInArrow(_documents(model), f"doc {kind}, given string, langs array<string>, confidences array<double>")
     return found.select(F.col("doc").alias("doc_id"), F.explode(F.arrays_zip("langs", "confidences")).alias("x"), F.size("langs").alias("n_langs"), canonical(F.col("given")).alias("label")).select(
@@ -312,7 +314,7 @@ def document_languages(docs: DataFrame, samples: DataFrame) -> DataFrame:
 
 def document_segments(docs: DataFrame, samples: DataFrame) -> DataFrame:
     """(doc_id, segment, lang, confidence, text): the runs of one language in each document."""
-    model = docs.sparkSession.sparkContext.broadcast(fitted(samples, docs))
+    model = ship(docs.sparkSession, fitted(samples, docs))
     kind = docs.schema["doc_id"].dataType.simpleString()
     found = docs.select("doc_id", "text").mapInArrow(_segments(model), f"doc {kind}, segment int, lang string, confidence double, text string")
     return found.withColumnRenamed("doc", "doc_id")
