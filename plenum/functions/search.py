@@ -26,7 +26,7 @@ def matches(vector: Column, terms: list[str]) -> Column:
     """Are all ``terms`` among the lexemes? A query without terms matches nothing."""
     out = F.lit(bool(terms))
     for t in terms:
-        out = out & F.exists(vector, lambda x, t=t: x["lexeme"] == t)
+        out = out & F.array_contains(F.transform(vector, lambda x: x["lexeme"]), t)
     return out
 
 

@@ -14,6 +14,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 
 
 def lcs(a: str, b: str) -> int:
@@ -36,7 +37,7 @@ def ratio(a: str, b: str) -> int:
     return 100 if not total else round(200 * lcs(a, b) / total)
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(IntegerType())
 def fuzzy_ratio_fast(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     """``fuzzy_ratio`` of two columns in Arrow batches."""
     for a, b in parts:
