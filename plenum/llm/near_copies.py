@@ -6,7 +6,7 @@ A record is the set of its words. Records with equal sets form one class and are
   differ in words, and sets of overlap >= t differ in at most (1-t)/(1+t)(|a|+|b|) words: that is the Hamming error
   budget of a pair, and pruning by it loses nothing;
 * ``BANDS`` keys of ``ROWS`` minimum hashes each. Sets that share a key meet in one trie; at overlap 0.70 two sets
-  miss each other with probability below 0.03, at 0.75 below 0.003.
+  miss each other with probability 0.0003, at 0.75 below 0.00001.
 
 In each trie, node pairs are traversed together, differing bits accumulated, and a pair of nodes is dropped once its
 bits exceed the budget of the largest sets below it; leaves compare by XOR and bit count. What is left is verified on
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from plenum.llm.own_text import tokens, with_own_description
 
-BITS, BANDS, ROWS = 128, 32, 6
+BITS, BANDS, ROWS = 128, 64, 6
 #: Codes that a trie leaf holds.
 LEAF = 32
 #: Largest class of equal records that is written out pair by pair.
