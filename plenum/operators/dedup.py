@@ -45,24 +45,38 @@ def _best(a: list[str], b: list[str], need: float = 0.0) -> float:
 
 
 def _tile(dim: int):
-    def run(t: pa.Table) -> pa.Table:
+    """One pair of tiles: all pairs of high vector similarity, and the vectors' similarity of the pairs alike by name."""
+
+    def run(t: pa.Table, listed: pa.Table) -> pa.Table:
+        if not t.num_rows:
+            return pa.table([pa.array([], pa.string())] * 2 + [pa.array([], pa.float64())] * 2, names=["left_id", "right_id", "fuzzy", "vector"])
         ids = t.column("entity_id").to_pylist()
         names = t.column("names").to_pylist()
         first, second = (np.flatnonzero(t.column(c).to_numpy()) for c in ("is_first", "is_second"))
         x = np.frombuffer(b"".join(t.column("vec").to_pylist()), "f4").reshape(-1, dim).astype("f8")
         x /= np.sqrt((x * x).sum(1))[:, None]
-        when = np.array(t.column("created").to_pylist())
+        age = list(zip(t.column("created").to_pylist(), ids))
+        place = {e: i for i, e in enumerate(ids)}
         out: list[tuple] = []
+        done = set()
+        for a, b, f in zip(listed.column("left_id").to_pylist(), listed.column("right_id").to_pylist(), listed.column("fuzzy").to_pylist()):
+            out.append((a, b, f, float(x[place[a]] @ x[place[b]])))
+            done.add((a, b))
+        within = len(first) == len(second) and bool((first == second).all())
         for s in range(0, len(first), 512):
             part = first[s : s + 512]
             sim = x[part] @ x[second].T
             for i, j in zip(*np.nonzero(sim >= 5 / 7 - 1e-9)):
                 a, b, v = int(part[i]), int(second[j]), float(sim[i, j])
-                if (when[a], ids[a]) >= (when[b], ids[b]):
+                if age[a] >= age[b]:
+                    if within:
+                        continue
+                    a, b = b, a
+                if (ids[a], ids[b]) in done:
                     continue
                 need = 0.0 if v >= VECTOR else (HYBRID - 0.7 * v) / 0.3
                 f = _best(names[a], names[b], need)
-                if f >= FUZZY or v >= VECTOR or 0.3 * f + 0.7 * v >= HYBRID:
+                if v >= VECTOR or 0.3 * f + 0.7 * v >= HYBRID:
                     out.append((ids[a], ids[b], f, v))
         cols = list(zip(*out)) if out else [[]] * 4
         return pa.table([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.float64()), pa.array(cols[3], pa.float64())], names=["left_id", "right_id", "fuzzy", "vector"])
@@ -75,30 +89,25 @@ def candidates(entities: DataFrame, dim: int = 768) -> DataFrame:
     df = _names(entities.filter("entity_id IS NOT NULL AND entity_type IS NOT NULL")).withColumn("created", F.coalesce(F.unix_micros(F.col("created_at").cast("timestamp")), F.lit(0)))
     good = df.filter(f"size(embedding) = {dim} AND exists(embedding, x -> x <> 0) AND forall(embedding, x -> x IS NOT NULL)")
     sizes = F.broadcast(good.groupBy("entity_type").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles")))  # one row a type
-    packed = good.join(sizes, "entity_type").select("entity_type", "entity_id", "created", "names", F.expr("embedding").alias("embedding"), "tiles", F.pmod(F.xxhash64("entity_id"), F.col("tiles")).cast("int").alias("t"))
-    # each entity once for every pair of tiles that its tile is in, as the first or as the second of a pair
-    spread = packed.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).withColumns({"ti": F.least("t", "o"), "tj": F.greatest("t", "o")})
-    both = F.lit(True)
-    routed = spread.select("entity_type", "ti", "tj", "entity_id", "created", "names", both.alias("is_first"), both.alias("is_second"), "t", "embedding")
-    routed = routed.mapInArrow(_pack, "entity_type string, ti int, tj int, entity_id string, created bigint, names array<string>, is_first boolean, is_second boolean, t int, vec binary")
-    by_vector = routed.groupBy("entity_type", "ti", "tj").applyInArrow(_tile(dim), _PAIR).distinct()
     # pairs alike by name, whatever their vectors
     named = df.select("entity_type", "entity_id", F.explode("names").alias("name"))
-    alike = similar_names(named, named, int(FUZZY * 100), "entity_type")
+    alike = cut(similar_names(named, None, int(FUZZY * 100), "entity_type"))
     pairs = named.select("entity_type", F.col("name").alias("a"), F.col("entity_id").alias("x")).join(alike, ["entity_type", "a"]).join(named.select("entity_type", F.col("name").alias("b"), F.col("entity_id").alias("y")), ["entity_type", "b"])
-    best = pairs.filter("x <> y").groupBy("x", "y").agg((F.max("ratio") / 100).alias("fuzzy"))
-    side = lambda p: df.select(F.col("entity_id").alias(p), F.col("created").alias(f"c{p}"))
-    older = best.join(side("x"), "x").join(side("y"), "y").filter("cx < cy OR (cx = cy AND x < y)").select(F.col("x").alias("left_id"), F.col("y").alias("right_id"), "fuzzy")
-    found = older.join(by_vector.select("left_id", "right_id", "vector"), ["left_id", "right_id"], "left")
-    # vectors too far apart for a tile to report
-    vec = lambda p: good.select(F.col("entity_id").alias(p), F.col("embedding").alias(f"e{p}"))
-    from plenum.functions.similarity import cosine
-
-    far = found.filter("vector IS NULL").join(vec("left_id"), "left_id", "left").join(vec("right_id"), "right_id", "left")
-    far = far.select("left_id", "right_id", "fuzzy", F.coalesce(cosine(F.col("eleft_id"), F.col("eright_id")), F.lit(0.0)).alias("vector"))
-    everything = found.filter("vector IS NOT NULL").select("left_id", "right_id", "fuzzy", "vector").unionByName(far)
-    rest = by_vector.join(everything.select("left_id", "right_id"), ["left_id", "right_id"], "left_anti")
-    out = everything.unionByName(rest.select("left_id", "right_id", "fuzzy", "vector"))
+    best = pairs.filter("x <> y").groupBy("entity_type", "x", "y").agg((F.max("ratio") / 100).alias("fuzzy"))
+    tile = good.join(sizes, "entity_type").select("entity_id", F.pmod(F.xxhash64("entity_id"), F.col("tiles")).cast("int").alias("t"))
+    age = df.select("entity_id", "created").join(tile, "entity_id", "left")
+    side = lambda p: age.select(F.col("entity_id").alias(p), F.col("created").alias(f"c{p}"), F.col("t").alias(f"t{p}"))
+    older = best.join(side("x"), "x").join(side("y"), "y").filter("cx < cy OR (cx = cy AND x < y)")
+    older = cut(older.select("entity_type", F.least("tx", "ty").alias("ti"), F.greatest("tx", "ty").alias("tj"), F.col("x").alias("left_id"), F.col("y").alias("right_id"), "fuzzy", (F.col("tx").isNotNull() & F.col("ty").isNotNull()).alias("both")))
+    # each entity once for every pair of tiles that its tile is in
+    packed = good.join(sizes, "entity_type").select("entity_type", "entity_id", "created", "names", "embedding", "tiles", F.pmod(F.xxhash64("entity_id"), F.col("tiles")).cast("int").alias("t"))
+    spread = packed.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).withColumns({"ti": F.least("t", "o"), "tj": F.greatest("t", "o")})
+    routed = spread.select("entity_type", "ti", "tj", "entity_id", "created", "names", (F.col("t") == F.col("ti")).alias("is_first"), (F.col("t") == F.col("tj")).alias("is_second"), "embedding")
+    routed = routed.mapInArrow(_pack, "entity_type string, ti int, tj int, entity_id string, created bigint, names array<string>, is_first boolean, is_second boolean, vec binary")
+    keys = ["entity_type", "ti", "tj"]
+    listed = older.filter("both").select(*keys, "left_id", "right_id", "fuzzy")
+    found = routed.groupBy(*keys).cogroup(listed.groupBy(*keys)).applyInArrow(_tile(dim), _PAIR)
+    out = found.unionByName(older.filter("NOT both").select("left_id", "right_id", "fuzzy", F.lit(0.0).alias("vector"))).distinct()
     return out.select(F.col("left_id").alias("keep_id"), F.col("right_id").alias("merge_id"), F.round("fuzzy", 4).alias("fuzzy"), F.round("vector", 4).alias("vector"), F.round(0.3 * F.col("fuzzy") + 0.7 * F.col("vector"), 4).alias("hybrid"))
 
 

@@ -1,8 +1,9 @@
 """Exact fuzzy joins of names: every pair of a block whose fuzzy ratio reaches a threshold, without comparing all with all.
 
 Two texts of ratio r differ by at most (1-r)(|a|+|b|) insertions and deletions, so at least one of a text's rarest
-``4(1-r)/(2-r) |a| + 1`` bigrams survives in its partner: pairs meet on those and on their block only, are pruned by
-length, and scored with a bit-parallel common subsequence. Nothing is lost.
+``4(1-r)/(2-r) |a| + 1`` bigrams survives in its partner: pairs meet on those and on their block only. They are pruned by
+length and by 128-bit parity codes of their bigram sets, which differ in no more bits than three times the insertions and
+deletions allowed, and scored with a bit-parallel common subsequence. Nothing is lost.
 
 Null names match nothing; empty names match each other; a block that holds everything is joined on its bigrams alike.
 """
@@ -16,6 +17,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 
+from plenum.runtime import cut
+
 
 def lcs(a: str, b: str) -> int:
     """Length of the longest common subsequence, one machine word row per letter of ``b``."""
@@ -49,20 +52,45 @@ def _bigrams(name: Column) -> Column:
     return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(name) + 1), lambda i: F.substring(padded, i, F.lit(2))))
 
 
-def similar_names(left: DataFrame, right: DataFrame, threshold: int, block: str | None = None) -> DataFrame:
-    """(a, b[, block], ratio): names of ``left`` and ``right`` (column ``name``) of ratio >= ``threshold``, distinct names once."""
+def _parity(half: int) -> Column:
+    """64 of the 128 bits: each bigram flips the bit it hashes to."""
+    bit = lambda g: F.pmod(F.xxhash64(g), F.lit(128)).cast("int")
+    mine = F.filter(F.transform("gs", bit), lambda h: (h >= 64 * half) & (h < 64 * half + 64))
+    return F.aggregate(mine, F.lit(0).cast("bigint"), lambda acc, h: acc.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), h - 64 * half)))
+
+
+def similar_names(left: DataFrame, right: DataFrame | None, threshold: int, block: str | None = None) -> DataFrame:
+    """([block,] a, b, ratio): names of ``left`` and ``right`` (column ``name``) of ratio >= ``threshold``, distinct names once.
+
+    Without ``right`` the names of ``left`` are joined with each other, both ways round and with themselves.
+    """
     keys = [block] if block else []
-    r = threshold / 100
+    r = (threshold - 0.5) / 100
     share = 4 * (1 - r) / (2 - r)
     one = left.filter("name IS NOT NULL").select(*keys, "name").distinct().withColumn("side", F.lit(0))
-    two = right.filter("name IS NOT NULL").select(*keys, "name").distinct().withColumn("side", F.lit(1))
-    grams = one.unionByName(two).select(*keys, "side", "name", F.explode(_bigrams(F.col("name"))).alias("g"))
+    both = one if right is None else one.unionByName(right.filter("name IS NOT NULL").select(*keys, "name").distinct().withColumn("side", F.lit(1)))
+    # cut: codes are made once a name, prefixes once for both sides
+    coded = cut(both.withColumn("gs", _bigrams(F.col("name")))).withColumns({"m0": _parity(0), "m1": _parity(1)})
+    coded = cut(coded)
+    grams = coded.select(*keys, "side", "name", "m0", "m1", F.explode("gs").alias("g"))
     often = grams.groupBy("g").agg(F.count("*").alias("n"))
     rarest = Window.partitionBy(*keys, "side", "name").orderBy("n", "g")
-    prefix = grams.join(often, "g").withColumn("r", F.row_number().over(rarest)).filter(F.col("r") <= F.floor(F.lit(share) * F.length("name")) + 1)
-    a = prefix.filter("side = 0").select(*keys, "g", F.col("name").alias("a"))
-    b = prefix.filter("side = 1").select(*keys, "g", F.col("name").alias("b"))
+    prefix = cut(grams.join(often, "g").withColumn("r", F.row_number().over(rarest)).filter(F.col("r") <= F.floor(F.lit(share) * F.length("name")) + 1).drop("r", "n"))
+    part = lambda side, x: prefix.filter(F.col("side") == side).select(*keys, "g", F.col("name").alias(x), F.col("m0").alias(f"{x}0"), F.col("m1").alias(f"{x}1"))
+    # few bytes, many pairs: spread over all cores whatever the size
+    cores = 4 * left.sparkSession.sparkContext.defaultParallelism
+    a, b = part(0, "a").repartition(cores, *keys, "g"), part(0 if right is None else 1, "b").repartition(cores, *keys, "g")
     total = F.length("a") + F.length("b")
-    near = 200 * F.least(F.length("a"), F.length("b")) >= (threshold - 0.5) * total
-    met = a.join(b, [*keys, "g"]).filter(near).select(*keys, "a", "b").distinct()
-    return met.withColumn("ratio", fuzzy_ratio_fast("a", "b")).filter(F.col("ratio") >= threshold)
+    near = 2 * F.least(F.length("a"), F.length("b")) >= r * total - 1e-9
+    bits = F.bit_count(F.col("a0").bitwiseXOR(F.col("b0"))) + F.bit_count(F.col("a1").bitwiseXOR(F.col("b1")))
+    close = bits <= 3 * F.floor((1 - r) * total + 1e-9)
+    met = a.join(b, [*keys, "g"]).filter(near & close)
+    if right is None:
+        met = met.filter("a < b")
+    met = met.select(*keys, "a", "b").distinct().repartition(cores, "a", "b")
+    found = met.withColumn("ratio", fuzzy_ratio_fast("a", "b")).filter(F.col("ratio") >= threshold)
+    if right is None:
+        cols = [*keys, "a", "b", "ratio"]
+        turned = found.select(*cols, F.explode(F.array(F.lit(False), F.lit(True))).alias("t")).select(*keys, F.when(F.col("t"), F.col("b")).otherwise(F.col("a")).alias("a"), F.when(F.col("t"), F.col("a")).otherwise(F.col("b")).alias("b"), "ratio")
+        found = turned.unionByName(one.select(*keys, F.col("name").alias("a"), F.col("name").alias("b"), F.lit(100).alias("ratio")))
+    return found
