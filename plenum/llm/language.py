@@ -14,6 +14,7 @@ repeated four times are codes, no words.
 
 Defined results
 * null, empty and wordless texts (digits, symbols, other scripts) have no language and give no row;
+* samples in fewer than two languages tell nothing apart: no rows;
 * when no sentence is whole, the document's pieces are judged together if they hold three words or more;
 * a null id is kept; rows repeated give equal rows; whole texts are read, whatever their length; other columns are ignored.
 """
@@ -133,12 +134,12 @@ def _ftrl(x: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, k: int, epochs:
     return solved(z, n, l1), solved(zb, nb, 0.0)
 
 
-def train(samples: list[tuple[str, str]], scale: float = 30.0, epochs: int = 12, folds: int = 5) -> Model:
-    """A calibrated model from (text, language) pairs; fewer than two languages cannot be told apart."""
+def train(samples: list[tuple[str, str]], scale: float = 30.0, epochs: int = 12, folds: int = 5) -> Model | None:
+    """A calibrated model from (text, language) pairs; fewer than two languages cannot be told apart and give none."""
     samples = [(t, l) for t, l in samples if t and l and _words(_folded(t))][:TRAIN_ROWS]
     langs = sorted({l for _, l in samples})
     if len(langs) < 2:
-        raise ValueError("samples of at least two languages are needed")
+        return None
     y = np.array([langs.index(l) for _, l in samples])
     counted = []
     for t, _ in samples:
@@ -277,7 +278,7 @@ def canonical(lang: Column) -> Column:
     return out
 
 
-def fitted(samples: DataFrame, docs: DataFrame | None = None, labelled: int = LABELLED_DOCS) -> Model:
+def fitted(samples: DataFrame, docs: DataFrame | None = None, labelled: int = LABELLED_DOCS) -> Model | None:
     """The model of a table of clean sentences (sample_id, text, lang), at most ``TRAIN_ROWS`` of them.
 
     With ``docs`` it is trained once more with sentences of up to ``labelled`` labelled documents (smallest hashes of the id)
@@ -286,7 +287,7 @@ def fitted(samples: DataFrame, docs: DataFrame | None = None, labelled: int = LA
     rows = samples.filter("text IS NOT NULL AND lang IS NOT NULL").orderBy("sample_id").limit(TRAIN_ROWS).select("text", "lang").collect()
     clean = [(r[0], r[1]) for r in rows]
     model = train(clean)
-    if docs is None:
+    if docs is None or model is None:
         return model
     named = docs.select("doc_id", "text", canonical(F.col("lang")).alias("label")).filter("label IS NOT NULL AND length(text) BETWEEN 20 AND 3000")
     picked = named.orderBy(F.xxhash64("doc_id"), "doc_id").limit(labelled).select("text", "label").collect()
@@ -305,8 +306,10 @@ def fitted(samples: DataFrame, docs: DataFrame | None = None, labelled: int = LA
 
 def document_languages(docs: DataFrame, samples: DataFrame) -> DataFrame:
     """(doc_id, lang, confidence, n_langs, label): one row for each language of each document; ``label`` is the given one as a code."""
-    model = ship(docs.sparkSession, fitted(samples, docs))
     kind = docs.schema["doc_id"].dataType.simpleString()
+    if (made := fitted(samples, docs)) is None:
+        return docs.sparkSession.createDataFrame([], f"doc_id {kind}, lang string, confidence double, n_langs int, label string")
+    model = ship(docs.sparkSession, made)
     found = docs.select("doc_id", "text", "lang").mapInArrow(_documents(model), f"doc {kind}, given string, langs array<string>, confidences array<double>")
     return found.select(F.col("doc").alias("doc_id"), F.explode(F.arrays_zip("langs", "confidences")).alias("x"), F.size("langs").alias("n_langs"), canonical(F.col("given")).alias("label")).select(
         "doc_id", F.col("x.langs").alias("lang"), F.col("x.confidences").alias("confidence"), "n_langs", "label")
@@ -314,8 +317,10 @@ def document_languages(docs: DataFrame, samples: DataFrame) -> DataFrame:
 
 def document_segments(docs: DataFrame, samples: DataFrame) -> DataFrame:
     """(doc_id, segment, lang, confidence, text): the runs of one language in each document."""
-    model = ship(docs.sparkSession, fitted(samples, docs))
     kind = docs.schema["doc_id"].dataType.simpleString()
+    if (made := fitted(samples, docs)) is None:
+        return docs.sparkSession.createDataFrame([], f"doc_id {kind}, segment int, lang string, confidence double, text string")
+    model = ship(docs.sparkSession, made)
     found = docs.select("doc_id", "text").mapInArrow(_segments(model), f"doc {kind}, segment int, lang string, confidence double, text string")
     return found.withColumnRenamed("doc", "doc_id")
 
