@@ -126,6 +126,19 @@ def pair_scores(matches: DataFrame) -> DataFrame:
     return matches.select("match_id", "entity1", "entity2", F.when(F.coalesce(ok, F.lit(False)), "merge").otherwise("keep_separate").alias("decision"))
 
 
+def stored_map(entities: DataFrame) -> DataFrame:
+    """(old_id, new_id) of the entities whose metadata say what they were merged into."""
+    into = F.get_json_object("meta_data", "$.merged_into")
+    return entities.select(F.col("entity_id").alias("old_id"), into.alias("new_id")).filter("old_id IS NOT NULL AND new_id IS NOT NULL")
+
+
+def statistics(decided: DataFrame) -> DataFrame:
+    """(pairs_checked, matches_found, kept_separate, entities_merged) of decided pairs; a pair's smaller id survives."""
+    merge = F.col("decision") == "merge"
+    real = merge & F.col("entity1").isNotNull() & F.col("entity2").isNotNull() & (F.col("entity1") != F.col("entity2"))
+    return decided.agg(F.count("*").alias("pairs_checked"), F.count(F.when(merge, 1)).alias("matches_found"), F.count(F.when(~merge, 1)).alias("kept_separate"), F.countDistinct(F.when(real, F.greatest("entity1", "entity2"))).alias("entities_merged"))
+
+
 def id_map(pairs: DataFrame, old: str, new: str) -> DataFrame:
     """(old_id, new_id): one parent for each id that is merged away, the smallest one offered."""
     df = pairs.filter(F.col(old).isNotNull() & F.col(new).isNotNull() & (F.col(old) != F.col(new)))

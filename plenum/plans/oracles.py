@@ -114,6 +114,13 @@ ORACLES: dict[str, str] = {
         reg AS (SELECT ref.v, arg_min(canonical_id, (created_at, canonical_id)) AS canonical_id FROM speakers JOIN ref USING (name) GROUP BY ref.v)
         SELECT x.name, reg.canonical_id FROM (SELECT DISTINCT speaker_name AS name FROM speech_blocks WHERE speaker_name IS NOT NULL) x JOIN ref USING (name) JOIN reg ON reg.v = ref.v""",
     "resolve_pairs": "SELECT match_id, entity1, entity2, CASE WHEN coalesce(fuzzy_score >= 0.85 OR vector_score >= 0.85 OR hybrid_score >= 0.80, false) THEN 'merge' ELSE 'keep_separate' END AS decision FROM entity_matches",
+    "dedup_statistics": """WITH d AS (SELECT *, coalesce(fuzzy_score >= 0.85 OR vector_score >= 0.85 OR hybrid_score >= 0.80, false) AS ok FROM entity_matches)
+        SELECT count(*) AS pairs_checked, count(*) FILTER (WHERE ok) AS matches_found, count(*) FILTER (WHERE NOT ok) AS kept_separate,
+          count(DISTINCT CASE WHEN ok AND entity1 <> entity2 THEN greatest(entity1, entity2) END) AS entities_merged FROM d""",
+    "metadata_values": "SELECT json_extract_string(meta_data, '$.origin') AS origin, count(*) AS n FROM speakers GROUP BY 1",
+    "ingestion_counters": f"""WITH {FLAT} SELECT count(DISTINCT session_id) AS sessions, count(DISTINCT (session_id, agenda_item_index)) AS agenda_items, count(DISTINCT (session_id, agenda_item_index, speech_block_index)) AS blocks,
+        count(*) AS sentences, count(DISTINCT speaker_name_original) AS labels, (SELECT count(DISTINCT session_id) FROM sessions WHERE raw_transcript_json IS NOT NULL) AS with_transcript FROM f""",
+    "embedding_batches": "SELECT CAST(floor(doc_id / 100.0) AS BIGINT) AS batch, count(*) AS n_docs, CAST(sum(length(coalesce(text, ''))) AS BIGINT) AS n_letters FROM documents WHERE doc_id IS NOT NULL GROUP BY 1",
     "dedup_components": f"WITH RECURSIVE {_ROOTS} SELECT * FROM roots",
     "entity_merge": f"""WITH RECURSIVE {_ROOTS}, d AS (SELECT e.*, coalesce(r.root_id, e.entity_id) AS keep_id FROM entities e LEFT JOIN roots r ON r.old_id = e.entity_id WHERE e.entity_id IS NOT NULL),
         a AS (SELECT keep_id, string_agg(DISTINCT x, '|' ORDER BY x) AS aliases FROM (SELECT keep_id, unnest(CASE WHEN entity_id = keep_id THEN coalesce(aliases, []) ELSE list_append(coalesce(aliases, []), canonical_name) END) AS x FROM d) WHERE x IS NOT NULL GROUP BY keep_id),

@@ -259,6 +259,36 @@ def resolve_pairs(spark: SparkSession, base: str) -> DataFrame:
     return dedup.pair_scores(table(spark, base, "entity_matches"))
 
 
+@query
+def dedup_statistics(spark: SparkSession, base: str) -> DataFrame:
+    return dedup.statistics(dedup.pair_scores(table(spark, base, "entity_matches")))
+
+
+@query
+def metadata_values(spark: SparkSession, base: str) -> DataFrame:
+    """Speakers by what their metadata give as origin, and how many metadata lack the key."""
+    s = table(spark, base, "speakers")
+    return s.groupBy(F.get_json_object("meta_data", "$.origin").alias("origin")).agg(F.count("*").alias("n"))
+
+
+@query
+def ingestion_counters(spark: SparkSession, base: str) -> DataFrame:
+    """What an ingest of all tables counts: sessions, agenda items, blocks, sentences, labels, entities, sessions with a transcript."""
+    flat = _flat(spark, base)
+    counted = flat.agg(F.countDistinct("session_id").alias("sessions"), F.countDistinct("session_id", "agenda_item_index").alias("agenda_items"),
+                       F.countDistinct("session_id", "agenda_item_index", "speech_block_index").alias("blocks"), F.count("*").alias("sentences"), F.countDistinct("speaker_name_original").alias("labels"))
+    # each side is one row of counts
+    said = table(spark, base, "sessions").agg(F.countDistinct(F.when(F.col("raw_transcript_json").isNotNull(), F.col("session_id"))).alias("with_transcript"))
+    return counted.withColumn("_k", F.lit(1)).join(said.withColumn("_k", F.lit(1)), "_k").drop("_k")
+
+
+@query
+def embedding_batches(spark: SparkSession, base: str) -> DataFrame:
+    """Documents in batches of 100 in order of id, as a service takes them, with the letters of each batch."""
+    d = table(spark, base, "documents").filter("doc_id IS NOT NULL")
+    return d.groupBy(F.floor(F.col("doc_id") / 100).alias("batch")).agg(F.count("*").alias("n_docs"), F.sum(F.length(F.coalesce("text", F.lit("")))).alias("n_letters"))
+
+
 @query
 def dedup_components(spark: SparkSession, base: str) -> DataFrame:
     """Merged ids with the root of their chain."""

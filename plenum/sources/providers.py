@@ -34,6 +34,40 @@ def hashed_embedder(dim: int = 64) -> Embedder:
     return embed
 
 
+def retrying(call: Callable, attempts: int = 3, pause: float = 2.0, sleep: Callable[[float], None] = time.sleep) -> Callable:
+    """``call`` tried up to ``attempts`` times, waiting ``pause`` x attempt between them."""
+
+    def run(*args, **kw):
+        for n in range(1, attempts + 1):
+            try:
+                return call(*args, **kw)
+            except Exception:
+                if n == attempts:
+                    raise
+                sleep(pause * n)
+
+    return run
+
+
+class TokenBucket:
+    """At most ``calls`` per ``period`` seconds in this worker."""
+
+    def __init__(self, calls: int = 60, period: float = 60.0, clock=time.monotonic, sleep=time.sleep):
+        self.calls, self.period, self.clock, self.sleep = calls, period, clock, sleep
+        self.times: list[float] = []
+
+    def wait(self) -> float:
+        now = self.clock()
+        self.times = [t for t in self.times if now - t < self.period]
+        pause = 0.0
+        if len(self.times) >= self.calls:
+            pause = self.period - (now - self.times[0])
+            self.sleep(pause)
+            self.times.pop(0)
+        self.times.append(now + pause)
+        return pause
+
+
 def embed(df: DataFrame, text: str, embedder: Embedder | None = None, batch: int = 32, out: str = "embedding") -> DataFrame:
     """``df`` with the vector of ``text`` in ``out``; the provider gets ``batch`` texts a call, null texts have no vector."""
     use = embedder or hashed_embedder()
@@ -54,6 +88,32 @@ def embed(df: DataFrame, text: str, embedder: Embedder | None = None, batch: int
     return kept.mapInArrow(run, schema)
 
 
+def responses(df: DataFrame, prompt: str, call: Callable[[list[str]], list[str]], out: str = "response", batch: int = 8, bucket: TokenBucket | None = None) -> DataFrame:
+    """``df`` with a provider's JSON answer to each ``prompt`` (documents, transcripts, extraction, resolution); null prompts have none.
+
+    A failed batch is tried again; answers that are no complete JSON are null, to be asked for again by the next run.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        ask = retrying(call)
+        for b in batches:
+            asked = b.column(b.schema.get_field_index(prompt)).to_pylist()
+            todo = [i for i, t in enumerate(asked) if t is not None]
+            said: list = [None] * len(asked)
+            for s in range(0, len(todo), batch):
+                part = todo[s : s + batch]
+                if bucket is not None:
+                    bucket.wait()
+                for i, v in zip(part, ask([asked[i] for i in part])):
+                    said[i] = v
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(said, pa.string())], names=[*b.schema.names, out])
+
+    kept = df.drop(out)
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields] + [f"{out} string"])
+    answered = kept.mapInArrow(run, schema)
+    return answered.withColumn(out, F.when(F.expr(f"try_parse_json({out})").isNotNull(), F.col(out)))
+
+
 def dictionary_entities(members: DataFrame, terms: DataFrame) -> DataFrame:
     """Entities by dictionary: every chunk sentence that holds a term (as whole words, in any case). ``terms``: entity_id, entity_type, name.
 
@@ -77,39 +137,3 @@ def cooccurrence(found: DataFrame) -> DataFrame:
     per = found.groupBy(*keys).agg(F.sort_array(F.collect_set("entity_id")).alias("es"))
     pairs = F.expr("flatten(transform(es, (a, i) -> transform(slice(es, i + 2, size(es)), b -> struct(a AS source_id, b AS target_id))))")
     return per.select(*keys, F.explode(pairs).alias("p")).select(*keys, "p.*", F.lit("relates_to").alias("relation_type"), F.lit("neutral").alias("sentiment"), F.lit(0.5).alias("confidence"))
-
-
-def retrying(call: Callable, attempts: int = 3, pause: float = 2.0, sleep: Callable[[float], None] = time.sleep) -> Callable:
-    """``call`` tried up to ``attempts`` times, waiting ``pause`` x attempt between them."""
-
-    def run(*args, **kw):
-        for n in range(1, attempts + 1):
-            try:
-                return call(*args, **kw)
-            except Exception:
-                if n == attempts:
-                    raise
-                sleep(pause * n)
-
-    return run
-
-
-class TokenBucket:
-    """At most ``calls`` per ``period`` seconds in this worker."""
-
-    def __init__(self, calls: int = 60, period: float = 60.0, clock=time.monotonic, sleep=time.sleep):
-        self.calls, self.period, self.clock, self.sleep = calls, period, clock, sleep
-        self.times: list[float] = []
-
-    def wait(self) -> float:
-        now = self.clock()
-        self.times = [t for t in self.times if now - t < self.period]
-        pause = 0.0
-        if len(self.times) >= self.calls:
-            pause = self.period - (now - self.times[0])
-            self.sleep(pause)
-            self.times.pop(0)
-        self.times.append(now + pause)
-        return pause
-
-

@@ -91,3 +91,26 @@ def test_cli(spark, small, tmp_path):
     assert cli.main(["--folder", out, "ingest-papers", f"{small}/order_papers.parquet"], spark) == 0
     assert spark.read.parquet(f"{out}/paper_speakers").count() > 0
     assert Settings.read({"PLENUM_CHUNK_SIZE": "9"}).chunk_size == 9 and Settings.read({}).embedding_dimensions == 768
+
+
+def test_responses(spark):
+    def call(prompts):
+        return ['{"ok": 1}' if p == "good" else '{"ok": ' for p in prompts]
+
+    df = spark.createDataFrame([(1, "good"), (2, "bad"), (3, None)], "i int, p string")
+    assert {r["i"]: r["response"] for r in providers.responses(df, "p", call).collect()} == {1: '{"ok": 1}', 2: None, 3: None}
+
+
+def test_files(spark, tmp_path):
+    import json
+
+    from plenum.sources import files
+
+    (tmp_path / "m.json").write_text(json.dumps([{"youtube_url": "https://youtu.be/abc?t=1", "session_date": "2026-01-06", "sitting_number": "12"}, {"youtube_url": "https://x", "session_id": "s"}]))
+    got = {(r["video_id"], r["session_id"], r["error"]) for r in files.video_mapping(spark, str(tmp_path / "m.json")).collect()}
+    assert got == {("abc", "s_12_2026_01_06", None), (None, "s", "no video id in the address")}
+    (tmp_path / "pdf").mkdir()
+    (tmp_path / "pdf" / "2026-01-06_A.pdf").write_bytes(b"x")
+    links = spark.createDataFrame([("A", "2026-01-06"), ("B", None)], "title string, session_date string")
+    stored = files.stored_papers(spark, str(tmp_path / "pdf"))
+    assert [r["name"] for r in files.to_fetch(links, stored).collect()] == ["undated_B.pdf"]
