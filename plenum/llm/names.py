@@ -108,7 +108,8 @@ def parse(label: str | None) -> tuple:
     for p in parts:
         ws = re.findall(r"[^\W\d_]+", fold(p))
         joined = "".join(ws)
-        if kept_parts and (joined in POSTNOMINALS or (ws and ws[0] in OFFICES)):
+        # "K.C." follows a name; "K. C." are initials
+        if kept_parts and ((joined in POSTNOMINALS and " " not in p) or (ws and ws[0] in OFFICES)):
             continue
         kept_parts.append(p)
     comma = len(kept_parts) == 2
@@ -117,7 +118,9 @@ def parse(label: str | None) -> tuple:
     for raw in re.findall(r"[^\W\d_]+(?:['’-][^\W\d_]+)*\.?", " ".join(order)):
         t = fold(raw.rstrip(".")).replace("'", "").replace("’", "")
         tokens.append((t, len(t) == 1 or (len(t) <= 3 and raw.endswith(".") and raw[:-1].isupper())))
-    while tokens and tokens[0][0] in TITLES:
+    # initials glued to a surname look like titles: "DR.Lee"
+    glued = re.match(r"[A-Z]{1,3}\.[^\W\d_]{2}", " ".join(order))
+    while tokens and tokens[0][0] in TITLES and not glued:
         tokens.pop(0)
     dotted = re.findall(r"(?:[^\W\d_]\.){2,}", s)
     while len(tokens) > 1 and (tokens[-1][0] in POSTNOMINALS):
@@ -165,8 +168,8 @@ def token_variants(tokens: DataFrame) -> DataFrame:
     # one edit spoils at most three bigrams: what survives EDITS edits shows in the rarest 3 x EDITS + 1
     ranked = grams.join(freq, "g").withColumn("r", F.row_number().over(Window.partitionBy("role", "token").orderBy("gn", "g")))
     prefix = cut(ranked.filter(F.col("r") <= F.when(F.length("token") < 6, 4).otherwise(3 * EDITS + 1)).select("role", "token", "n", "g"))
-    # given names and their short forms that are in the list are no misspellings
-    rare = prefix.select("g", "role", "token", "n").filter(~((F.col("role") == "g") & F.col("token").isin(sorted({*BASES, *NICKNAMES}))))
+    # short forms that are in the list are no misspellings
+    rare = prefix.select("g", "role", "token", "n").filter(~((F.col("role") == "g") & F.col("token").isin(sorted(BASES))))
     often = prefix.filter(F.col("n") >= TIMES).select("g", F.col("token").alias("to"), F.col("n").alias("to_n"))
     met = rare.join(often, "g").filter(F.col("to_n") >= TIMES * F.col("n")).filter(F.abs(F.length("token") - F.length("to")) <= EDITS).select("role", "token", "to", "to_n").distinct()
     swapped = (F.length("token") == F.length("to")) & (F.array_sort(F.split("token", "")) == F.array_sort(F.split("to", "")))
@@ -196,7 +199,9 @@ def corrected(parsed: DataFrame) -> DataFrame:
     tokens = df.select("n", F.expr(
         "inline(concat(array(struct('g' AS role, given AS token), struct('s' AS role, surname AS token)), transform(words, w -> struct('o' AS role, w AS token))))"), "kind")
     tokens = tokens.filter("token IS NOT NULL AND kind IN ('person', 'org')").groupBy("role", "token").agg(F.sum("n").alias("n"))
-    near = token_variants(tokens)
+    near = cut(token_variants(tokens))
+    # what is a misspelling itself is no origin of another one
+    near = near.join(near.select("role", F.col("token").alias("to")).distinct(), ["role", "to"], "left_anti")
     # the likelier origin: frequent, and few edits away
     best = Window.partitionBy("role", "token").orderBy(F.desc(F.log("to_n") - 4 * F.col("far")), "to")
     near = cut(near.withColumn("r", F.row_number().over(best)).filter("r <= 3"))

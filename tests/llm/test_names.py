@@ -10,6 +10,7 @@ T = dt.datetime(2024, 1, 1)
 @pytest.mark.parametrize("label, want", [
     ("Hon. Cáshanan", ("person", None, "", "cashanan")), ("Cáshanan, T. E.", ("person", None, "te", "cashanan")), ("TE.Cáshanan", ("person", None, "te", "cashanan")), ("Dr the Hon O Tafimoft", ("person", None, "o", "tafimoft")),
     ("Ms. Yaleline, Minister of Health", ("person", None, "", "yaleline")), ("Leonard Gekivow, M.P.", ("person", "leonard", "l", "gekivow")), ("Clabugan,Rosalind", ("person", "rosalind", "r", "clabugan")),
+    ("DR.Quiguday", ("person", None, "dr", "quiguday")), ("Fatuline, Q. C.", ("person", None, "qc", "fatuline")), ("Dr. Quiguday", ("person", None, "", "quiguday")),
     (" Ann   Lee ", ("person", "ann", "a", "lee")), ("ANN LEE (Minister of Health)", ("person", "ann", "a", "lee"))])
 def test_people(label, want):
     assert names.parse(label)[:4] == want
