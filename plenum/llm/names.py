@@ -272,7 +272,7 @@ class Registry:
         score = cand.join(common, ["canonical_id", "who"], "left").join(size, "who", "left").join(mine, "canonical_id", "left").join(about, "who", "left").join(self.rows, "canonical_id")
         inside = F.coalesce(F.col("cn") / F.least("rn", "wn"), F.lit(0.0))
         agree = sum((F.when(F.array_contains(f"{c}s", F.col(c)), w).when(F.col(c).isNotNull() & (F.col(c) != "") & (F.size(f"{c}s") > 0), -w).otherwise(0.0) for c, w in (("role", 2.0), ("party", 1.0), ("chamber", 1.0), ("title", 0.5))), F.lit(0.0))
-        sessions = F.when(F.least("rn", "wn").isNull(), 0.0).otherwise(F.when(inside >= 0.999, F.least(F.lit(4.0), F.least("rn", "wn").cast("double"))).otherwise(-6.0 * (1 - inside)))
+        sessions = F.when(F.col("rn").isNull() | F.col("wn").isNull(), 0.0).otherwise(F.when(inside >= 0.999, F.least(F.lit(4.0), F.least("rn", "wn").cast("double"))).otherwise(-6.0 * (1 - inside)))
         score = score.withColumn("score", sessions + agree + F.col("exact_mid"))
         top = Window.partitionBy("canonical_id").orderBy(F.desc("score"), "who")
         chosen = score.withColumn("r", F.row_number().over(top)).withColumn("next", F.lead("score").over(top)).filter("r = 1 AND score > -2.5 AND (next IS NULL OR score > next)").select("canonical_id", "who")

@@ -1,6 +1,7 @@
 import datetime as dt
 
 import pytest
+from pyspark.sql import functions as F
 
 from plenum.llm import names
 
@@ -49,6 +50,12 @@ def test_links(spark):
     assert {(a, b) for a, b in got if a.startswith("speaker")} == {("speaker:r1", "speaker:r2"), ("speaker:r5", "speaker:r6")}
 
 
+def test_initials_without_sessions_follow_the_role(spark):
+    rows = [("a", "Cosmo Drofemow", [], ["s1"]), ("b", "Catherine Drofemow", [], ["s2"]), ("c", "The Hon C Drofemow", [], [])]
+    people = speakers(spark, rows).withColumn("role", F.when(F.col("canonical_id") == "b", "Clerk").otherwise("Minister of Health"))
+    assert {tuple(r) for r in names.linked(people, blocks(spark, [])).collect()} == {("speaker:a", "speaker:c")}
+
+
 def test_empty(spark):
     assert names.linked(speakers(spark, []), blocks(spark, [])).count() == 0
     assert names.linked(speakers(spark, PEOPLE), blocks(spark, [])).count() == 2
