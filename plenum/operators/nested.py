@@ -26,8 +26,9 @@ ENCODINGS = 3
 def _clean(s: str) -> str:
     """SQL: the document text in ``s`` without byte-order marks, white space, fences and prose around it."""
     trimmed = f"regexp_replace({s}, '^[\\\\s\\\\x{{FEFF}}\\\\x{{200B}}\\\\x{{00A0}}]+|[\\\\s\\\\x{{FEFF}}\\\\x{{200B}}\\\\x{{00A0}}]+$', '')"
+    fenced = f"regexp_extract({s}, '(?s)```\\\\w*\\\\s*(.*?)\\\\s*```', 1)"
     inner = f"regexp_extract({s}, '(?s)[\\\\[{{].*[\\\\]}}]', 0)"
-    return f"CASE WHEN try_parse_json({trimmed}) IS NOT NULL THEN {trimmed} ELSE {inner} END"
+    return f"CASE WHEN try_parse_json({trimmed}) IS NOT NULL THEN {trimmed} WHEN try_parse_json({fenced}) IS NOT NULL THEN {fenced} ELSE {inner} END"
 
 
 def _array(v: str) -> str:

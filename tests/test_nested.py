@@ -15,7 +15,7 @@ def test_shapes_and_wrappers(spark):
     doc = {"agenda_items": [{"speech_blocks": [{"sentences": [{"text": "a"}, None, "b"]}, None]}, None, "x"]}
     want = {("agenda_item", "0"), ("agenda_item", "2"), ("speech_block", "0.0"), ("sentence", "0.0.0"), ("sentence", "0.0.2")}
     plain = json.dumps(doc)
-    texts = [plain, "﻿ " + plain, f"```json\n{plain}\n```", json.dumps(plain), json.dumps({"transcript": doc}), json.dumps([doc]), f"Here it is: {plain} thanks",
+    texts = [plain, "﻿ " + plain, f"```json\n{plain}\n```", json.dumps(plain), json.dumps({"transcript": doc}), json.dumps([doc]), f"Here it is: {plain} thanks", f"A list [1]:\n```\n{plain}\n``` {{end}}",
              json.dumps({"agendaItems": [{"speechBlocks": [{"Sentences": [{"text": "a"}, None, "b"]}, None]}, None, "x"]})]
     got = nodes(spark, texts)
     for i in range(len(texts)):
