@@ -87,8 +87,8 @@ def _encode(word: str, ranks: str) -> str:
     chain = f"regexp_replace(hex(CAST({word} AS binary)), '(..)', '<x$1>')"
     folded = f"aggregate(slice(sequence(0, octet_length({word})), 2, greatest(octet_length({word}) - 1, 0)), struct({chain} AS w, false AS over), (s, k) -> {step}, s -> s.w)"
     last = f"transform(split(substring(z, 2, length(z) - 2), '><'), t -> CASE WHEN t LIKE 'x%' THEN {look('t')} ELSE CAST(t AS int) END)"
-    sql = f"transform(array({folded}), z -> {last})[0]"
-    return sql.replace("_r[", f"{ranks}[")
+    # the literal stands once in the plan, bound to _r
+    return f"transform(array({ranks}), _r -> transform(array({folded}), z -> {last})[0])[0]"
 
 
 def encode_words(distinct: DataFrame, vocabulary: str = "byte_bpe_50k", folder: str = TOKENIZERS) -> DataFrame:
