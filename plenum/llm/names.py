@@ -208,7 +208,7 @@ def corrected(parsed: DataFrame) -> DataFrame:
     # the pairs that are written often decide between several corrections
     pairs = df.filter("kind = 'person' AND given IS NOT NULL").groupBy("given", "surname").agg(F.sum("n").alias("pn"))
     first = near.filter("role = 's' AND r = 1").select(F.col("token").alias("surname"), F.col("to").alias("s_to"))
-    df = df.join(first, "surname", "left").withColumn("s", F.coalesce("s_to", "surname")).drop("s_to")
+    df = cut(df.join(first, "surname", "left").withColumn("s", F.coalesce("s_to", "surname")).drop("s_to"))
     options = df.filter("given IS NOT NULL").select("given", "s").distinct().join(near.filter("role = 'g'").select(F.col("token").alias("given"), F.col("to").alias("g_to"), "r", "sim"), "given")
     options = options.join(pairs.select(F.col("given").alias("g_to"), F.col("surname").alias("s"), "pn"), ["g_to", "s"], "left")
     pick = options.groupBy("given", "s").agg(F.max_by("g_to", F.struct(F.col("pn").isNotNull(), "sim", F.coalesce("pn", F.lit(0)), -F.col("r"))).alias("g_to"))
@@ -276,6 +276,7 @@ class Registry:
         score = score.withColumn("score", sessions + agree + F.col("exact_mid"))
         top = Window.partitionBy("canonical_id").orderBy(F.desc("score"), "who")
         chosen = score.withColumn("r", F.row_number().over(top)).withColumn("next", F.lead("score").over(top)).filter("r = 1 AND score > -2.5 AND (next IS NULL OR score > next)").select("canonical_id", "who")
+        chosen = cut(chosen)
         alone = rest.join(chosen, "canonical_id", "left_anti").select("canonical_id", F.concat_ws(" ", F.lit("i:"), "inits", "s").alias("who"))
         nameless = self.rows.select("canonical_id").join(known, "canonical_id", "left_anti").join(rest, "canonical_id", "left_anti").select("canonical_id", F.concat(F.lit("x:"), "canonical_id").alias("who"))
         return known.unionByName(chosen).unionByName(alone).unionByName(nameless)
@@ -303,7 +304,7 @@ class Registry:
         brief = brief.filter("g IS NULL OR base IS NULL").select(*kept, (F.when(F.col("g").isNull(), 0.6).otherwise(0.5) + middle).alias("fit"))
         alone = names.filter("g IS NULL AND length(inits) = 0").join(self.people.join(self.present, "who").select("s", "session_id", "who"), ["s", "session_id"])
         alone = alone.select(*kept, F.lit(0.4).alias("fit"))
-        cand = whole.unionByName(brief).unionByName(alone)
+        cand = cut(whole.unionByName(brief).unionByName(alone))
         cand = cand.join(self.present.withColumn("there", F.lit(1)), ["who", "session_id"], "left").withColumn("there", F.coalesce("there", F.lit(0)))
         # a full name needs no attendance; of several, one that attended is meant; a surname alone must have attended
         rank = F.struct((F.col("fit") >= 0.95).cast("int").alias("a"), "there", "fit")
@@ -323,9 +324,10 @@ def linked(speakers: DataFrame, blocks: DataFrame) -> DataFrame:
     """(key_a, key_b): pairs of speakers rows, and of blocks and speakers rows, of one person or organisation."""
     said = blocks.filter("block_id IS NOT NULL").select("block_id", "session_id", F.col("speaker_name").alias("label"), "created_at").filter("label IS NOT NULL")
     said = said.groupBy("block_id").agg(F.max_by(F.struct("session_id", "label"), F.struct("created_at", "label")).alias("b")).select("block_id", "b.*")
-    uses = said.groupBy("label", "session_id").agg(F.count("*").alias("n"))
+    said = cut(said)
+    uses = cut(said.groupBy("label", "session_id").agg(F.count("*").alias("n")))
     reg = Registry(speakers, uses.groupBy("label").agg(F.sum("n").alias("n")))
-    named = reg.resolve(uses.select("label", "session_id")).filter("who IS NOT NULL").select("label", "session_id", "who")
+    named = cut(reg.resolve(uses.select("label", "session_id")).filter("who IS NOT NULL").select("label", "session_id", "who"))
     named = named.withColumnsRenamed({"label": "_l", "session_id": "_i"})
     there = said.join(named, F.col("label").eqNullSafe(F.col("_l")) & F.col("session_id").eqNullSafe(F.col("_i"))).select("block_id", "who")
     one = reg.members.select("who", F.concat(F.lit("speaker:"), "canonical_id").alias("x"))
