@@ -14,8 +14,9 @@ the full word sets.
 
 Defined results
 * a record without a description of its own (see ``own_text``) or without id takes no part; null names and aliases add no words;
-* classes of up to ``EXPAND`` equal records are expanded into all their pairs; of a larger class every member is
-  linked to the class's smallest id, and only that id stands in pairs with other classes (``classes`` has all of it);
+* every class is expanded into all its pairs and all pairs with classes near it, whatever its size, in blocks of about
+  ``BLOCK`` members; only with ``expand`` given is a larger class written as a star around its smallest id, which alone
+  then stands in pairs with other classes;
 * rows repeated under one id count once; an empty table gives no row; other columns are ignored.
 """
 
@@ -23,7 +24,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plenum.llm.own_text import tokens, with_own_description
@@ -31,8 +32,8 @@ from plenum.llm.own_text import tokens, with_own_description
 BITS, BANDS, ROWS = 128, 64, 6
 #: Codes that a trie leaf holds.
 LEAF = 32
-#: Largest class of equal records that is written out pair by pair.
-EXPAND = 256
+#: Members of one block of a class, about: pairs are written out block by block.
+BLOCK = 512
 
 _U = np.uint64
 
@@ -193,33 +194,44 @@ def classes(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def class_links(whole: DataFrame, threshold: float = 0.7) -> DataFrame:
-    """(a, b, similarity): the representatives of different classes whose word sets overlap by ``threshold`` or more."""
+    """(a, b, na, nb, similarity): the representatives of different classes whose word sets overlap by ``threshold`` or more, and the records of both."""
     banded = whole.select("rep", "hashes").mapInArrow(_sketch, "band_key bigint, rep string, n int, c0 bigint, c1 bigint")
     met = banded.repartition("band_key").sortWithinPartitions("band_key").mapInArrow(_bucket_join(threshold), "a string, b string")
     cand = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    one = whole.select(F.col("rep").alias("a"), F.col("hashes").alias("ha"))
-    two = whole.select(F.col("rep").alias("b"), F.col("hashes").alias("hb"))
+    one = whole.select(F.col("rep").alias("a"), F.col("hashes").alias("ha"), F.col("copies").alias("na"))
+    two = whole.select(F.col("rep").alias("b"), F.col("hashes").alias("hb"), F.col("copies").alias("nb"))
     common = F.size(F.array_intersect("ha", "hb"))
-    exact = cand.join(one, "a").join(two, "b").select("a", "b", common.alias("c"), (F.size("ha") + F.size("hb")).alias("s"))
+    exact = cand.join(one, "a").join(two, "b").select("a", "b", "na", "nb", common.alias("c"), (F.size("ha") + F.size("hb")).alias("s"))
     # whole numbers decide: c / (s - c) >= threshold
-    return exact.filter(F.col("c") >= F.lit(threshold) * (F.col("s") - F.col("c")) - F.lit(1e-9)).select("a", "b", (F.col("c") / (F.col("s") - F.col("c"))).alias("similarity"))
+    return exact.filter(F.col("c") >= F.lit(threshold) * (F.col("s") - F.col("c")) - F.lit(1e-9)).select("a", "b", "na", "nb", (F.col("c") / (F.col("s") - F.col("c"))).alias("similarity"))
 
 
-def near_pairs(entities: DataFrame, threshold: float = 0.7, expand: int = EXPAND) -> DataFrame:
+def _blocks(copies: str) -> Column:
+    """How many blocks a class of ``copies`` records has."""
+    return F.ceil(F.col(copies) / F.lit(BLOCK)).cast("int")
+
+
+def near_pairs(entities: DataFrame, threshold: float = 0.7, expand: int | None = None) -> DataFrame:
     """(entity_id_a, entity_id_b), smaller id first, of records whose word sets overlap by ``threshold`` or more."""
     from plenum.runtime import cut
 
     member, whole = classes(cut(word_sets(entities)))
-    links = class_links(whole, threshold).select("a", "b")
+    links = class_links(whole, threshold).select("a", "b", "na", "nb")
     group = member.join(whole.select("ck", "rep", "copies"), "ck").select("entity_id", "rep", "copies")
-    shown = group.filter((F.col("copies") <= expand) | (F.col("entity_id") == F.col("rep")))
-    left = shown.select(F.col("rep").alias("a"), F.col("entity_id").alias("x"))
-    right = shown.select(F.col("rep").alias("b"), F.col("entity_id").alias("y"))
-    across = links.join(left, "a").join(right, "b").select("x", "y")
-    several = shown.filter("copies > 1")
-    inside = several.select("rep", F.col("entity_id").alias("x")).join(several.select("rep", F.col("entity_id").alias("y")), "rep").filter("x < y").select("x", "y")
-    star = group.filter((F.col("copies") > expand) & (F.col("entity_id") != F.col("rep"))).select(F.col("rep").alias("x"), F.col("entity_id").alias("y"))
-    pairs = across.unionByName(inside).unionByName(star)
+    shown = group if expand is None else group.filter((F.col("copies") <= expand) | (F.col("entity_id") == F.col("rep")))
+    salted = shown.withColumn("n", _blocks("copies")).withColumn("at", F.pmod(F.xxhash64("entity_id"), F.col("n")).cast("int"))
+    # one row a block, so that no task has all members of a hot class
+    block = salted.groupBy("rep", "at", "n").agg(F.collect_set("entity_id").alias("ids"))
+    left = block.select(F.col("rep").alias("a"), F.col("at").alias("i"), F.col("ids").alias("xs"))
+    right = block.select(F.col("rep").alias("b"), F.col("at").alias("j"), F.col("ids").alias("ys"))
+    met = links.withColumn("i", F.explode(F.sequence(F.lit(0), _blocks("na") - 1))).withColumn("j", F.explode(F.sequence(F.lit(0), _blocks("nb") - 1)))
+    across = met.join(left, ["a", "i"]).join(right, ["b", "j"]).select("xs", "ys", F.lit(False).alias("own"))
+    # each block meets itself and the later ones of its class
+    later = block.filter("n > 1 OR size(ids) > 1").select(F.col("rep").alias("b"), F.col("at").alias("i"), F.col("ids").alias("xs"), F.explode(F.sequence("at", F.col("n") - 1)).alias("j"))
+    inside = later.join(right, ["b", "j"]).select("xs", "ys", (F.col("i") == F.col("j")).alias("own"))
+    pairs = across.unionByName(inside).select("own", F.explode("xs").alias("x"), "ys").select("own", "x", F.explode("ys").alias("y")).filter("NOT own OR x < y").select("x", "y")
+    if expand is not None:
+        pairs = pairs.unionByName(group.filter((F.col("copies") > expand) & (F.col("entity_id") != F.col("rep"))).select(F.col("rep").alias("x"), F.col("entity_id").alias("y")))
     return pairs.select(F.least("x", "y").alias("entity_id_a"), F.greatest("x", "y").alias("entity_id_b")).distinct()
 
 

@@ -67,6 +67,15 @@ def test_copies_expand_or_star(spark):
     assert got == {f"c{i:02d}": ("c00", 12, 0) for i in range(12)}
 
 
+def test_large_class_of_different_texts(spark):
+    # equal word sets in other orders, beside records near them: all pairs, in one block and in several
+    text = "one two three four five six seven eight nine ten".split()
+    rows = [(f"h{i:04d}", "Same Name", " ".join(text[i % 10 :] + text[: i % 10] + text[: i % 3]), None, "x", "y") for i in range(700)]
+    rows += [(f"n{i}", "Same Name", " ".join(text + [f"extra{i}"]), ["Same"], "x", "y") for i in range(3)]
+    ids = sorted(r[0] for r in rows)
+    assert found(spark, rows) == brute(rows) == {(a, b) for a in ids for b in ids if a < b}
+
+
 def test_no_description_of_its_own(spark):
     stock = "Text that stands at many records."
     rows = [(f"s{i}", f"Unlike{i} Person{i}", stock if i % 2 else stock.upper() + "  ", None, "x", "y") for i in range(6)]
