@@ -5,9 +5,10 @@
 2. Misspelt tokens: a prefix-filtered set-similarity join on the tokens' padded bigrams. Tokens keep only their rarest
    bigrams (as many as ``EDITS`` edits could spoil, plus one), meet on them, and are verified by edit distance. A rare
    token may stand for one at least ``TIMES`` as frequent.
-3. Spellings become candidates of a person by their surname, the rare token, and are verified by soft weighted token
-   similarity: each token counts by its inverse frequency; equal, misspelt, short and abbreviated forms count in that
-   order. The best one is taken if no other comes close.
+3. Organisations meet on rare tokens and are verified by soft weighted token similarity: each token counts by its
+   inverse frequency, near tokens in part; words that are missing on both sides speak against it (``org_variants``).
+   Spellings become candidates of a person by their corrected surname and are ranked by how the given name is written
+   (fixed ranks, no frequencies). The best one is taken if no other comes close.
 4. What stays open (initials, surnames alone) is settled by who attended the session.
 
 Scale: everything is per distinct spelling or token and joins on tokens, people or sessions; labels go back to their
@@ -31,6 +32,8 @@ from pyspark.sql import functions as F
 from plenum.runtime import cut
 
 EDITS, TIMES = 2, 4
+#: Least similarity of two spellings of one organisation, and how far behind any other one must be.
+ALIKE, CLEAR = 0.75, 0.1
 
 #: Titles, post-nominals, words that begin an office, words that mark an organisation.
 TITLES = set("the hon honourable honorable rt right dr mr mrs ms miss mx sir dame lord lady prof professor senator sen rev reverend madam madame mdm mister".split())
@@ -178,6 +181,36 @@ def token_variants(tokens: DataFrame) -> DataFrame:
     return met.withColumn("far", far).filter(F.col("far") <= allowed).select("role", "token", "to", "to_n", F.when(swapped, 1).otherwise(F.col("far")).alias("far"), (1 - F.when(swapped, 1).otherwise(F.col("far")) / F.greatest(F.length("token"), F.length("to"))).alias("sim"))
 
 
+def org_variants(orgs: DataFrame) -> DataFrame:
+    """(org, to): the more frequent word set of the same organisation. ``orgs``: org (sorted words), n."""
+    words = orgs.select("org", F.explode(F.split("org", " ")).alias("w"))
+    weight = words.groupBy("w").agg(F.log(1 + F.lit(float(orgs.count())) / F.count("*")).alias("idf"))
+    words = words.join(weight, "w")
+    every = Window.partitionBy("org")
+    before = F.coalesce(F.sum("idf").over(every.orderBy(F.desc("idf"), "w").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    total = F.sum("idf").over(every)
+    # similar sets share ALIKE / (2 - ALIKE) of either weight, so they meet on a token before the rest falls below that
+    words = cut(words.select("org", "w", "idf", (before <= (1 - ALIKE / (2 - ALIKE)) * total + 1e-9).alias("rare")))
+    sets = orgs.join(words.groupBy("org").agg(F.collect_list(F.struct("w", "idf")).alias("ws"), F.sum("idf").alias("total")), "org")
+    rare = words.filter("rare").select("org", "w")
+    met = rare.join(rare.select(F.col("org").alias("to"), "w"), "w").filter("org <> to").select("org", "to").distinct()
+    met = met.join(sets, "org").join(sets.select(F.col("org").alias("to"), F.col("n").alias("to_n"), F.col("ws").alias("to_ws"), F.col("total").alias("to_total")), "to")
+    met = met.filter("to_n > n OR (to_n = n AND to < org)")
+    near = ("CASE WHEN x.w = y.w THEN 1D WHEN least(length(x.w), length(y.w)) >= 4 AND levenshtein(x.w, y.w) <= CASE WHEN length(x.w) >= 6 THEN 2 ELSE 1 END "
+            "THEN 1 - levenshtein(x.w, y.w) / greatest(length(x.w), length(y.w)) ELSE 0D END")
+    fit = lambda a, b: F.expr(f"transform({a}, x -> struct(x.idf AS idf, array_max(transform({b}, y -> {near})) AS fit))")
+    met = met.withColumn("one", fit("ws", "to_ws")).withColumn("two", fit("to_ws", "ws"))
+    # a word that each side lacks is another place or trade, not another spelling
+    met = met.filter("NOT exists(one, x -> x.fit = 0) OR NOT exists(two, x -> x.fit = 0)")
+    common = "aggregate({}, 0D, (acc, x) -> acc + x.idf * x.fit)"
+    met = met.select("org", "to", (F.expr(f"{common.format('one')} + {common.format('two')}") / (F.col("total") + F.col("to_total"))).alias("alike")).filter(F.col("alike") >= ALIKE)
+    best = Window.partitionBy("org").orderBy(F.desc("alike"), "to")
+    met = met.withColumn("r", F.row_number().over(best)).withColumn("next", F.lead("alike").over(best))
+    found = cut(met.filter((F.col("r") == 1) & (F.col("next").isNull() | (F.col("next") < F.col("alike") - CLEAR))).select("org", "to"))
+    # what is a variant itself leads on to its own origin
+    return found.join(found.select(F.col("org").alias("to"), F.col("to").alias("end")), "to", "left").select("org", F.coalesce("end", "to").alias("to"))
+
+
 def _nick(given: Column) -> Column:
     """The given names that a given name may stand for."""
     table = F.create_map(*[x for s, fulls in sorted(BASES.items()) for x in (F.lit(s), F.array(*[F.lit(f) for f in fulls]))])
@@ -215,6 +248,9 @@ def corrected(parsed: DataFrame) -> DataFrame:
     df = df.join(pick, ["given", "s"], "left").withColumn("g", F.coalesce("g_to", "given")).drop("g_to")
     words = df.filter("kind = 'org'").select("label", F.explode("words").alias("token")).join(near.filter("role = 'o' AND r = 1").select("token", "to"), "token", "left")
     orgs = words.groupBy("label").agg(F.array_join(F.array_sort(F.collect_set(F.coalesce("to", "token"))), " ").alias("org"))
+    orgs = cut(orgs)
+    same = org_variants(cut(orgs.join(df.select("label", "n"), "label").groupBy("org").agg(F.sum("n").alias("n"))))
+    orgs = orgs.join(same, "org", "left").select("label", F.coalesce("to", "org").alias("org"))
     return df.join(orgs, "label", "left")
 
 
@@ -294,8 +330,7 @@ class Registry:
         """``labels`` (label, session_id), distinct, with ``kind``, ``who`` (null: nobody known), ``form`` and surname ``s``."""
         df = labels.join(self.read.select("label", "kind", "given", "g", "s", "inits", "org"), "label")
         names = df.filter("kind = 'person'")
-        # soft weighted token similarity: the surname, the rare token, is equal after correction; the given name adds by
-        # how it is written. Three joins, each on all that the label says, so that no surname's labels meet all its people
+        # the surname is equal after correction; the given name ranks by how it is written. Three joins, each on all that the label says, so that no surname's labels meet all its people
         middle = F.when((F.length("inits") > 1) & F.col("mid").isNotNull(), F.when(F.substring("inits", 2, 1) == F.col("mid"), F.lit(0.05)).otherwise(F.lit(-0.3))).otherwise(F.lit(0.0))
         kept = ["label", "session_id", "who"]
         whole = names.filter("g IS NOT NULL").withColumn("base", F.explode(_nick(F.col("g")))).join(self.people.drop("init"), ["s", "base"])

@@ -50,6 +50,13 @@ def test_links(spark):
     assert {(a, b) for a, b in got if a.startswith("speaker")} == {("speaker:r1", "speaker:r2"), ("speaker:r5", "speaker:r6")}
 
 
+def test_organisations_with_a_word_more_or_less(spark):
+    rows = [("r1", "Grekoban Port and Harbour Trust", [], []), ("r2", "Grekoban Port Trust", [], []), ("r3", "Birrugard Port and Harbour Trust", [], []), ("r4", "Soltirine Teachers Union", [], []), ("r5", "Grekoban Water Company", [], [])]
+    labels = ["Soltirine Primary Teachers Union", "Port and Harbour Trust", "Soltirine Nurses Association", "Soltirine Port and Harbour Trust", "Grekoban Port and Harbour Trust"]
+    got = {tuple(r) for r in names.linked(speakers(spark, rows), blocks(spark, [(x, "s1") for x in labels])).collect()}
+    assert got == {("speaker:r1", "speaker:r2"), ("block:0", "speaker:r4"), ("block:4", "speaker:r1"), ("block:4", "speaker:r2")}
+
+
 def test_initials_without_sessions_follow_the_role(spark):
     rows = [("a", "Cosmo Drofemow", [], ["s1"]), ("b", "Catherine Drofemow", [], ["s2"]), ("c", "The Hon C Drofemow", [], [])]
     people = speakers(spark, rows).withColumn("role", F.when(F.col("canonical_id") == "b", "Clerk").otherwise("Minister of Health"))
