@@ -22,7 +22,8 @@ def parser() -> argparse.ArgumentParser:
     sub.add_parser("reset", help="replace all tables by empty ones").add_argument("--yes", action="store_true")
     a = sub.add_parser("ingest-sessions", help="ingest session files (Parquet)")
     a.add_argument("source")
-    a.add_argument("--force", action="store_true", help="replace stored sessions")
+    a.add_argument("--force", action="store_true", help="delete what is stored of these sessions first")
+    a.add_argument("--terms", help="dictionary of entities (Parquet: entity_id, entity_type, name)")
     a = sub.add_parser("ingest-papers", help="flatten an order paper table")
     a.add_argument("source")
     a = sub.add_parser("scrape", help="read paper links from stored pages (Parquet: page, html)")
@@ -54,7 +55,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         store.create_tables(spark, out)
     elif args.command == "ingest-sessions":
         schema = spark.read.parquet(args.source).schema
-        ingest.ingest_sessions(spark, args.source, schema, out, f"{out}/_ingest", args.force).awaitTermination()
+        ingest.ingest_sessions(spark, args.source, schema, out, f"{out}/_ingest", args.force, spark.read.parquet(args.terms) if args.terms else None).awaitTermination()
     elif args.command == "ingest-papers":
         for name, df in nested.paper_tables(spark.read.parquet(args.source)).items():
             df.write.mode("overwrite").parquet(f"{out}/{name}")
@@ -71,10 +72,10 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         made.write.mode("overwrite").parquet(f"{out}/{args.table}_embedded")
     elif args.command == "deduplicate":
         e = spark.read.parquet(args.entities)
-        pairs = dedup.candidates(e)
+        pairs = dedup.ranked(dedup.candidates(e, Settings.read().embedding_dimensions))
         pairs.write.mode("overwrite").parquet(f"{out}/entity_candidates")
         stored = spark.read.parquet(f"{out}/entity_candidates")
-        roots = dedup.roots(dedup.id_map(stored, "keep_id", "merge_id"))
+        roots = dedup.survivors(stored, "keep_id", "merge_id", e)
         roots.write.mode("overwrite").parquet(f"{out}/entity_roots")
         dedup.merged(e, spark.read.parquet(f"{out}/entity_roots")).write.mode("overwrite").parquet(f"{out}/entities_merged")
         print(stored.agg(F.count("*")).first()[0], "candidate pairs")

@@ -32,12 +32,6 @@ def fuzzy_ratio(a: Column, b: Column) -> Column:
     return F.when(total == 0, 100).otherwise(F.bround(200.0 * common_subsequence(a, b) / total, 0)).cast("int")
 
 
-def ratio_bound(a: Column, b: Column) -> Column:
-    """An upper bound of ``fuzzy_ratio`` from the lengths alone."""
-    total = F.length(a) + F.length(b)
-    return F.when(total == 0, 100.0).otherwise(200.0 * F.least(F.length(a), F.length(b)) / total)
-
-
 def _dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, v: s + v)
 

@@ -105,9 +105,15 @@ def parse_date(text: Column) -> Column:
 
 
 def sanitize_filename(name: Column) -> Column:
+    # fixed value: the characters that no file name may have
     return F.regexp_replace(name, r'[<>:"/\\|?*\x00-\x1F]', "_")
 
 
+def end_second(minutes: Column) -> Column:
+    """The second at which the first ``minutes`` of a video end; null for none or zero: the whole video."""
+    return F.when(minutes != 0, minutes * 60)
+
+
 def context(text: Column, length: int = 200) -> Column:
     return F.left(text, F.lit(length))
 

@@ -6,14 +6,14 @@ above it come from the exact fuzzy join. Only pairs that pass leave a task. A ty
 whatever the type's size; the work for the largest type stays quadratic, as the definition asks.
 
 Defined results: a missing, wrongly sized or zero vector scores 0; null names and aliases are ignored; pairs need both
-ids; equal times are ordered by id; merge chains end at their root.
+ids; equal times are ordered by id; every id of a group, however long its chains, is led to the group's oldest record.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plenum.operators.fuzzy import lcs, similar_names
@@ -21,6 +21,8 @@ from plenum.runtime import cut
 
 FUZZY, VECTOR, HYBRID = 0.85, 0.85, 0.80
 TILE = 2000
+#: Salted shares of one vertex.
+SALTS = 16
 _PAIR = "left_id string, right_id string, fuzzy double, vector double"
 
 
@@ -111,6 +113,11 @@ def candidates(entities: DataFrame, dim: int = 768) -> DataFrame:
     return out.select(F.col("left_id").alias("keep_id"), F.col("right_id").alias("merge_id"), F.round("fuzzy", 4).alias("fuzzy"), F.round("vector", 4).alias("vector"), F.round(0.3 * F.col("fuzzy") + 0.7 * F.col("vector"), 4).alias("hybrid"))
 
 
+def ranked(pairs: DataFrame) -> DataFrame:
+    """Candidates, the highest hybrid score first, equal ones by their ids."""
+    return pairs.orderBy(F.desc("hybrid"), "keep_id", "merge_id")
+
+
 def _pack(batches):
     for b in batches:
         lists = b.column("embedding")
@@ -129,24 +136,60 @@ def pair_scores(matches: DataFrame) -> DataFrame:
 def stored_map(entities: DataFrame) -> DataFrame:
     """(old_id, new_id) of the entities whose metadata say what they were merged into."""
     into = F.get_json_object("meta_data", "$.merged_into")
-    return entities.select(F.col("entity_id").alias("old_id"), into.alias("new_id")).filter("old_id IS NOT NULL AND new_id IS NOT NULL")
+    return entities.select(F.col("entity_id").alias("old_id"), into.alias("new_id")).filter("old_id IS NOT NULL AND new_id IS NOT NULL AND old_id <> new_id")
 
 
-def statistics(decided: DataFrame) -> DataFrame:
-    """(pairs_checked, matches_found, kept_separate, entities_merged) of decided pairs; a pair's smaller id survives."""
+def statistics(decided: DataFrame, entities: DataFrame) -> DataFrame:
+    """(pairs_checked, matches_found, kept_separate, entities_merged) of decided pairs; of a group all but its survivor are merged."""
     merge = F.col("decision") == "merge"
-    real = merge & F.col("entity1").isNotNull() & F.col("entity2").isNotNull() & (F.col("entity1") != F.col("entity2"))
-    return decided.agg(F.count("*").alias("pairs_checked"), F.count(F.when(merge, 1)).alias("matches_found"), F.count(F.when(~merge, 1)).alias("kept_separate"), F.countDistinct(F.when(real, F.greatest("entity1", "entity2"))).alias("entities_merged"))
+    gone = survivors(decided.filter(merge), "entity1", "entity2", entities).agg(F.count("*").alias("entities_merged"))
+    counts = decided.agg(F.count("*").alias("pairs_checked"), F.count(F.when(merge, 1)).alias("matches_found"), F.count(F.when(~merge, 1)).alias("kept_separate"))
+    # each side is one row of counts
+    return counts.withColumn("_k", F.lit(1)).join(gone.withColumn("_k", F.lit(1)), "_k").drop("_k")
+
+
+def _with_least(edges: DataFrame) -> DataFrame:
+    """``edges`` (u, v) with ``m``, the least of u and its neighbours; a hub's minimum is taken and given back in salted shares."""
+    salted = edges.withColumn("_s", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int"))
+    part = salted.groupBy("u", "_s").agg(F.min("v").alias("_m"))
+    whole = part.groupBy("u").agg(F.least("u", F.min("_m")).alias("m"), F.collect_set("_s").alias("_ss"))
+    return salted.join(whole.select("u", "m", F.explode("_ss").alias("_s")), ["u", "_s"]).select("u", "v", "m")
+
+
+def _print_of(edges: DataFrame) -> tuple:
+    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+
+
+def linked(pairs: DataFrame, a: str, b: str) -> DataFrame:
+    """(id, group): every id that a pair links to a smaller one, with the smallest id linked directly or indirectly.
 
+    Large and small stars in turn: a vertex leads its larger neighbours, then its smaller ones, to the least of them, until
+    every edge ends at its group's least id. The rounds grow with the logarithm of the longest chain; no link is dropped.
+    """
+    ends = pairs.filter(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b)))
+    edges = cut(ends.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct())
+    before, now = None, _print_of(edges)
+    while now != before:
+        both = edges.select(F.explode(F.expr("array(struct(u, v), struct(v AS u, u AS v))")).alias("e")).select("e.*")
+        large = _with_least(both).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        small = _with_least(large)
+        edges = cut(small.select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v")).filter("u <> v").distinct())
+        before, now = now, _print_of(edges)
+    return edges.select(F.col("u").alias("id"), F.col("v").alias("group"))
 
-def id_map(pairs: DataFrame, old: str, new: str) -> DataFrame:
-    """(old_id, new_id): one parent for each id that is merged away, the smallest one offered."""
-    df = pairs.filter(F.col(old).isNotNull() & F.col(new).isNotNull() & (F.col(old) != F.col(new)))
-    return df.groupBy(F.greatest(old, new).alias("old_id")).agg(F.min(F.least(old, new)).alias("new_id"))
+
+def survivors(pairs: DataFrame, a: str, b: str, entities: DataFrame) -> DataFrame:
+    """(old_id, root_id): every id merged away and the oldest record of its group (created_at, then id); ids without record are the youngest."""
+    led = cut(linked(pairs, a, b))
+    every = led.unionByName(led.select(F.col("group").alias("id"), "group").distinct())
+    born = entities.filter("entity_id IS NOT NULL").groupBy(F.col("entity_id").alias("id")).agg(F.min("created_at").alias("born"), F.lit(0).alias("known"))
+    aged = every.join(born, "id", "left")
+    root = aged.groupBy("group").agg(F.min_by("id", F.struct(F.coalesce("known", F.lit(1)), F.col("born").isNull(), "born", "id")).alias("root_id"))
+    return every.join(root, "group").filter("id <> root_id").select(F.col("id").alias("old_id"), "root_id")
 
 
 def roots(mapping: DataFrame) -> DataFrame:
-    """(old_id, root_id): chains followed to their end by pointer doubling; a chain of length n takes log n joins."""
+    """(old_id, root_id) of a stored map (old_id, new_id), one parent each: chains followed to their end by pointer doubling."""
     cur = cut(mapping.select("old_id", F.col("new_id").alias("root_id")))
     while True:
         up = cur.select(F.col("old_id").alias("root_id"), F.col("root_id").alias("next"))
@@ -156,19 +199,47 @@ def roots(mapping: DataFrame) -> DataFrame:
         cur = nxt.select("old_id", "root_id")
 
 
+def _facts_of(meta: str) -> Column:
+    return F.coalesce(F.from_json(F.col(meta), "map<string,string>"), F.create_map().cast("map<string,string>"))
+
+
 def merged(entities: DataFrame, mapping: DataFrame) -> DataFrame:
-    """One row per surviving entity: union of names as aliases, longest description, highest confidence and importance, merged ids."""
+    """One row per surviving entity: its own name, all names as aliases, longest description, highest confidence and importance,
+    metadata united (the younger record's value counts), merged ids."""
     df = entities.filter("entity_id IS NOT NULL").join(mapping.select(F.col("old_id").alias("entity_id"), "root_id"), "entity_id", "left").withColumn("keep_id", F.coalesce("root_id", "entity_id"))
     own = F.col("entity_id") == F.col("keep_id")
     more = F.array_distinct(F.concat(F.coalesce("aliases", F.array().cast("array<string>")), F.when(own, F.array().cast("array<string>")).otherwise(F.array("canonical_name"))))
     alias = df.select("keep_id", F.explode(more).alias("alias")).filter("alias IS NOT NULL").groupBy("keep_id").agg(F.array_join(F.sort_array(F.collect_set("alias")), "|").alias("aliases"))
+    meta = df.select("keep_id", "created_at", "entity_id", F.explode(_facts_of("meta_data")).alias("k", "v")).groupBy("keep_id", "k").agg(F.max_by("v", F.struct("created_at", "entity_id")).alias("v"))
+    meta = meta.groupBy("keep_id").agg(F.array_join(F.sort_array(F.collect_list(F.concat_ws("=", "k", "v"))), "|").alias("meta_data"))
     sound = F.when(~F.isnan("confidence"), F.col("confidence"))
     facts = df.groupBy("keep_id").agg(
         F.min_by("canonical_name", F.struct(~own, "created_at", "entity_id")).alias("canonical_name"),
         F.min_by("description", F.struct(-F.length(F.coalesce("description", F.lit(""))), ~own, "entity_id")).alias("description"),
         F.max(sound).alias("confidence"), F.max("importance_score").alias("importance_score"),
         F.array_join(F.sort_array(F.collect_set(F.when(~own, F.col("entity_id")))), "|").alias("merged_ids"))
-    return facts.join(alias, "keep_id", "left").select(F.col("keep_id").alias("entity_id"), "canonical_name", "description", "confidence", "importance_score", F.coalesce("aliases", F.lit("")).alias("aliases"), "merged_ids")
+    return facts.join(alias, "keep_id", "left").join(meta, "keep_id", "left").select(
+        F.col("keep_id").alias("entity_id"), "canonical_name", "description", "confidence", "importance_score", F.coalesce("aliases", F.lit("")).alias("aliases"), F.coalesce("meta_data", F.lit("")).alias("meta_data"), "merged_ids")
+
+
+def renamed(survived: DataFrame, decisions: DataFrame) -> DataFrame:
+    """``survived`` (see ``merged``) with what a resolution decided: ``decisions`` (keep_id, merged_name, merged_aliases, one row a survivor).
+
+    A new name leaves the old one among the aliases; aliases that a decision lists replace the united ones; nulls decide nothing.
+    """
+    said = decisions.select(F.col("keep_id").alias("entity_id"), "merged_name", "merged_aliases")
+    df = survived.join(said, "entity_id", "left")
+    name = F.coalesce(F.nullif("merged_name", F.lit("")), F.col("canonical_name"))
+    listed = F.when(F.size("merged_aliases") > 0, F.col("merged_aliases")).otherwise(F.filter(F.split("aliases", r"\|"), lambda x: x != ""))
+    kept = F.when(name != F.col("canonical_name"), F.array_union(listed, F.array("canonical_name"))).otherwise(listed)
+    return df.withColumn("aliases", F.array_join(F.array_sort(F.array_distinct(kept)), "|")).withColumn("canonical_name", name).select(survived.columns)
+
+
+def marked(entities: DataFrame, mapping: DataFrame) -> DataFrame:
+    """All entities; the metadata of those merged away name their survivor under ``merged_into``."""
+    df = entities.join(mapping.select(F.col("old_id").alias("entity_id"), F.col("root_id").alias("_into")), "entity_id", "left")
+    told = F.to_json(F.map_concat(F.map_filter(_facts_of("meta_data"), lambda k, v: k != "merged_into"), F.create_map(F.lit("merged_into"), F.col("_into"))))
+    return df.withColumn("meta_data", F.when(F.col("_into").isNotNull(), told).otherwise(F.col("meta_data"))).select(entities.columns)
 
 
 def remapped(edges: DataFrame, mapping: DataFrame, columns: list[str]) -> DataFrame:

@@ -9,9 +9,12 @@ or confidence is out of range do not survive (``rejected`` says why); null ids n
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plenum.operators import transcript
 from plenum.operators.transcript import CHUNK, OVERLAP
 
 #: What the schemas allow.
@@ -32,9 +35,9 @@ def located(found: DataFrame, placed: DataFrame, step: int = CHUNK - OVERLAP) ->
     return at.join(places, [*ITEM, "flat_index"])
 
 
-def mentions(found: DataFrame, placed: DataFrame) -> DataFrame:
+def mentions(found: DataFrame, placed: DataFrame, step: int = CHUNK - OVERLAP) -> DataFrame:
     """One direct mention per entity and sentence, however many chunks saw it; the context is the sentence's first 200 letters."""
-    at = located(found, placed).groupBy("entity_id", "sentence_id").agg(F.min(F.struct(*ITEM, "speech_block_index", "sentence_index", "video_id", "timestamp_seconds", F.left("full_text", F.lit(200)).alias("context"), F.col("speaker_name_original").alias("speaker"))).alias("m"))
+    at = located(found, placed, step).groupBy("entity_id", "sentence_id").agg(F.min(F.struct(*ITEM, "speech_block_index", "sentence_index", "video_id", "timestamp_seconds", F.left("full_text", F.lit(200)).alias("context"), F.col("speaker_name_original").alias("speaker"))).alias("m"))
     return at.select(F.left(F.sha2(F.concat_ws("|", "entity_id", F.col("sentence_id").cast("string")), 256), F.lit(16)).alias("mention_id"), "entity_id", "sentence_id", "m.*", F.lit("direct").alias("mention_type"))
 
 
@@ -74,3 +77,44 @@ def upserted(old: DataFrame, new: DataFrame) -> DataFrame:
     facts = every.filter("entity_id IS NOT NULL").groupBy("entity_id").agg(F.min_by(F.struct("canonical_name", "entity_type"), F.struct("seen", "canonical_name")).alias("f"), F.min("seen").alias("first_seen"))
     names = every.select("entity_id", F.explode("aliases").alias("a")).filter("a IS NOT NULL").groupBy("entity_id").agg(F.array_join(F.sort_array(F.collect_set("a")), "|").alias("aliases"))
     return facts.join(names, "entity_id", "left").select("entity_id", "f.*", (F.col("first_seen") > 0).alias("created"), F.coalesce("aliases", F.lit("")).alias("aliases"))
+
+
+def with_defaults(found: DataFrame) -> DataFrame:
+    """Extracted entities with what a provider left out: confidence 0.5, no aliases, an empty description."""
+    none = F.array().cast("array<string>")
+    fill = {"confidence": F.coalesce("confidence", F.lit(0.5)), "aliases": F.coalesce("aliases", none), "description": F.coalesce("description", F.lit(""))}
+    return found.withColumns({c: v for c, v in fill.items() if c in found.columns})
+
+
+def extracted(placed: DataFrame, find: Callable[[DataFrame], DataFrame], relate: Callable[[DataFrame], DataFrame], size: int = CHUNK, overlap: int = OVERLAP) -> dict[str, DataFrame]:
+    """All agenda items chunk by chunk: ``chunks`` with the speakers and entities before them, ``found`` entities, ``relations`` that keep the rules.
+
+    ``find`` takes chunk members and names their entities (chunk_index, local_index, entity_id, ...), ``relate`` takes what was
+    found. Chunks do not wait for each other: what earlier ones gave reaches a chunk as the column ``recent``.
+    """
+    keys = [*ITEM, "chunk_index"]
+    found = find(transcript.chunk_members(placed, size, overlap))
+    chunks = transcript.chunks(placed, size, overlap).join(transcript.recent_entities(found), keys, "left").withColumn("recent", F.coalesce("recent", F.lit("")))
+    judged = rejected(relate(found), found.select(*keys, "entity_id").distinct(), chunks.select(*keys, "speakers"))
+    return {"chunks": chunks, "found": found, "relations": judged.filter("reason IS NULL").drop("reason")}
+
+
+def evidence(relations: DataFrame, placed: DataFrame, step: int = CHUNK - OVERLAP) -> DataFrame:
+    """Relations with the sentence that shows them: place, second, and its text as the quote where a provider gave none."""
+    at = located(relations, placed, step)
+    quote = F.coalesce(F.col("evidence_quote"), F.col("full_text")) if "evidence_quote" in at.columns else F.col("full_text")
+    return at.withColumn("evidence_quote", quote).withColumnRenamed("timestamp_seconds", "evidence_timestamp_seconds").withColumn("source", F.lit("extraction"))
+
+
+def provenance(edges: DataFrame, session: str | None = None, video: str | None = None, first: int | None = None, last: int | None = None) -> DataFrame:
+    """The edges shown in a session, a video and between two seconds (each null: all), in order of session, video and second.
+
+    Edges without a second are in no range of seconds and stand last in their video.
+    """
+    df = edges
+    for column, value in (("session_id", session), ("video_id", video)):
+        df = df if value is None else df.filter(F.col(column) == value)
+    second = F.col("evidence_timestamp_seconds")
+    df = df if first is None else df.filter(second >= first)
+    df = df if last is None else df.filter(second <= last)
+    return df.orderBy("session_id", "video_id", F.asc_nulls_last("evidence_timestamp_seconds"), "source_id", "target_id")

@@ -171,3 +171,21 @@ def paper_tables(papers: DataFrame) -> dict[str, DataFrame]:
         "paper_speakers": _flat(n, "speakers", {"name": ("name",), "title": ("title",), "role": ("role",)}, "name"),
         "paper_items": _flat(n, "items", {"topic_title": ("topictitle", "title"), "primary_speaker": ("primaryspeaker",), "description": ("description",)}, "topic_title"),
     }
+
+
+def paper_headers(answers: DataFrame, key: str, text: str) -> DataFrame:
+    """(record_id, session_title, sitting_number, session_date) of order papers read by a service; a date that is none is null, as all is of a broken answer."""
+    df = _decoded(answers.select(F.col(key).alias("record_id"), F.col(text).alias("_text")), "_text")
+    cols = {"session_title": ("sessiontitle", "title"), "sitting_number": ("sittingnumber",), "_date": ("sessiondate", "date")}
+    df = df.select("record_id", *[F.expr(_text("_doc", *keys)).alias(n) for n, keys in cols.items()])
+    return df.withColumn("session_date", F.try_to_date("_date", "yyyy-MM-dd")).drop("_date")
+
+
+def quarantined(sessions: DataFrame, key: str = "session_id", text: str = "raw_transcript_json") -> DataFrame:
+    """(record_id, reason) of the transcripts that cannot be stored: ``empty``, ``no document`` (broken off or no JSON) or ``no agenda item``."""
+    n = transcript_nodes(sessions.select(key, text), key, text).select("record_id", (F.size("items") > 0).alias("_items"))
+    df = _decoded(sessions.select(F.col(key).alias("record_id"), F.col(text).alias("_text")), "_text").select("record_id", "_text", F.col("_doc").isNotNull().alias("_ok")).distinct()
+    held = n.groupBy("record_id").agg(F.max("_items").alias("_items"))
+    blank = F.trim(F.coalesce("_text", F.lit(""))) == ""
+    reason = F.when(blank, "empty").when(~F.col("_ok"), "no document").when(~F.coalesce("_items", F.lit(False)), "no agenda item")
+    return df.join(held, "record_id", "left").select("record_id", reason.alias("reason")).filter("reason IS NOT NULL").distinct()

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from plenum.functions.text import canonical_speaker_id, normalize_name, surname
+from plenum.functions.text import canonical_speaker_id, fill_if_empty, normalize_name, surname
 from plenum.operators.fuzzy import fuzzy_ratio_fast, similar_names
 
 THRESHOLD, GAP, ROLE_GATE, ROLE_SURE = 85, 5, 50, 70
@@ -49,3 +49,29 @@ def newcomers(matched: DataFrame) -> DataFrame:
     """(canonical_id, name): a new registry row for each normalised name that matched nobody."""
     new = matched.filter("canonical_id IS NULL").withColumn("norm", normalize_name(F.col("name"))).filter("norm <> ''")
     return new.groupBy("norm").agg(F.min("name").alias("name")).select(canonical_speaker_id(F.col("name")).alias("canonical_id"), "name")
+
+
+def resolved(labels: DataFrame, registry: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
+    """``labels`` (session_id, name, role) with ``canonical_id`` and ``stage``; a name that matches nobody has the id of its newcomer, stage new."""
+    cols = [c for c in labels.columns if c not in ("name", "role")]
+    told = match(labels.select("name", "role"), registry, threshold).withColumnsRenamed({"name": "_n", "role": "_r"})
+    df = labels.filter("name IS NOT NULL").join(told, F.col("name").eqNullSafe(F.col("_n")) & F.col("role").eqNullSafe(F.col("_r")))
+    fresh = F.when(normalize_name(F.col("name")) != "", canonical_speaker_id(F.col("name")))
+    return df.select(*cols, "name", "role", F.coalesce("canonical_id", fresh).alias("canonical_id"), F.when(F.col("canonical_id").isNotNull(), F.col("stage")).when(fresh.isNotNull(), "new").alias("stage"))
+
+
+def registry_after(registry: DataFrame, met: DataFrame) -> DataFrame:
+    """The registry once its people were met: ``met`` (canonical_id, name, title, role, party, chamber, session_id, at), any number of rows each.
+
+    Sessions are added once; title, role, party and chamber are filled where they are empty, from the first meeting that
+    gives them; people that the registry lacks are added, named by their smallest spelling. Null ids and sessions add nothing.
+    """
+    facts = ["title", "role", "party", "chamber"]
+    seen = met.filter("canonical_id IS NOT NULL").select("canonical_id", "name", "session_id", "at", *[F.nullif(F.col(c), F.lit("")).alias(c) for c in facts])
+    told = seen.groupBy("canonical_id").agg(F.min("name").alias("_name"), F.array_sort(F.collect_set("session_id")).alias("_sessions"), *[F.expr(f"min_by({c}, struct(at, {c})) FILTER (WHERE {c} IS NOT NULL)").alias(f"_{c}") for c in facts], F.min("at").alias("_at"), F.max("at").alias("_last"))
+    df = registry.join(told, "canonical_id", "full")
+    none = F.array().cast("array<string>")
+    sessions = F.array_union(F.coalesce("session_ids", none), F.coalesce("_sessions", none))
+    out = {"name": F.coalesce("name", "_name"), "session_ids": sessions, "created_at": F.coalesce("created_at", "_at"), "updated_at": F.greatest("updated_at", "_last")}
+    out |= {c: fill_if_empty(F.col(c), F.col(f"_{c}")) for c in facts}
+    return df.select(*[out[c].alias(c) if c in out else F.col(c) for c in registry.columns])

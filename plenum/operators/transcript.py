@@ -69,23 +69,41 @@ def chunks(placed: DataFrame, size: int = CHUNK, overlap: int = OVERLAP) -> Data
 
 
 def recent_entities(found: DataFrame, keep: int = 10) -> DataFrame:
-    """For each chunk, the last ``keep`` entities met in earlier chunks of its agenda item. ``found``: keys, chunk_index, entity_id."""
+    """For each chunk with entities, the last ``keep`` that earlier chunks of its agenda item gave, oldest first.
+
+    ``found``: keys, chunk_index, local_index, entity_id. A chunk gives an entity once, where it is first named; what two
+    chunks give stands twice. Each chunk hands on its last ``keep`` only, so nothing grows with the agenda item.
+    """
     keys = ["session_id", "agenda_item_index"]
-    first = found.groupBy(*keys, "entity_id").agg(F.min("chunk_index").alias("first_chunk"))
-    per = first.groupBy(*keys, F.col("first_chunk").alias("chunk_index")).agg(F.sort_array(F.collect_list("entity_id")).alias("es"))
-    all_chunks = found.select(*keys, "chunk_index").distinct().join(per, [*keys, "chunk_index"], "left")
-    held = all_chunks.withColumn("es", F.coalesce("es", F.array().cast("array<string>")))
-    rich = Window.partitionBy(*keys).orderBy("chunk_index").rowsBetween(Window.unboundedPreceding, -1)
-    gathered = F.slice(F.reverse(F.flatten(F.collect_list("es").over(rich))), 1, keep)
-    return held.select(*keys, "chunk_index", F.array_join(F.reverse(gathered), ",").alias("recent"))
+    once = found.groupBy(*keys, "chunk_index", "entity_id").agg(F.min("local_index").alias("at"))
+    late = Window.partitionBy(*keys, "chunk_index").orderBy(F.desc("at"), F.desc("entity_id"))
+    tail = once.withColumn("_r", -F.row_number().over(late)).filter(F.col("_r") >= -keep)
+    per = tail.groupBy(*keys, "chunk_index").agg(F.transform(F.array_sort(F.collect_list(F.struct("_r", "entity_id"))), lambda x: x["entity_id"]).alias("es"))
+    before = Window.partitionBy(*keys).orderBy("chunk_index").rowsBetween(-keep, -1)
+    gathered = F.slice(F.reverse(F.flatten(F.collect_list("es").over(before))), 1, keep)
+    return per.select(*keys, "chunk_index", F.array_join(F.reverse(gathered), ",").alias("recent"))
 
 
 def timeline(flat: DataFrame, sessions: DataFrame) -> DataFrame:
-    """What each speaker label said: newest session first, then by second; ``place`` numbers it."""
+    """What each speaker label said: newest session first, then by second; ``place`` numbers it.
+
+    Places are counted inside (label, session) and moved on by the sessions before, so a label is never one task's window.
+    """
     s = unique_rows(sessions, "session_id").select("session_id", "session_date", "sitting_number")
     said = flat.filter("speaker_name_original IS NOT NULL").join(s, "session_id")
-    order = Window.partitionBy("speaker_name_original").orderBy(F.desc("session_date"), F.asc_nulls_last("timestamp_seconds"), "sentence_id")
-    return said.select("speaker_name_original", "session_date", "sitting_number", "timestamp_seconds", "sentence_id", "full_text").withColumn("place", F.row_number().over(order))
+    inside = Window.partitionBy("speaker_name_original", "session_date", "session_id").orderBy(F.asc_nulls_last("timestamp_seconds"), "sentence_id")
+    part = said.withColumn("_k", F.row_number().over(inside))
+    counts = said.groupBy("speaker_name_original", "session_date", "session_id").agg(F.count("*").alias("_n"))
+    newest = Window.partitionBy("speaker_name_original").orderBy(F.desc("session_date"), "session_id")
+    before = counts.withColumn("_before", F.coalesce(F.sum("_n").over(newest.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("speaker_name_original", "session_id", "_before")
+    return part.join(before, ["speaker_name_original", "session_id"]).select(
+        "speaker_name_original", "session_date", "sitting_number", "timestamp_seconds", "sentence_id", "full_text", (F.col("_before") + F.col("_k")).cast("int").alias("place"))
+
+
+def first_seen(flat: DataFrame) -> DataFrame:
+    """(session_id, speaker_name_original, sentence_id): each label of a session and the sentence where it first stands, in order of speech."""
+    place = F.struct("agenda_item_index", "speech_block_index", "sentence_index", "sentence_id")
+    return flat.filter("speaker_name_original IS NOT NULL").groupBy("session_id", "speaker_name_original").agg(F.min_by("sentence_id", place).alias("sentence_id"))
 
 
 def coverage(flat: DataFrame, by: list[str] | None = None) -> DataFrame:
@@ -101,4 +119,4 @@ def snapshot(flat: DataFrame) -> DataFrame:
     b = flat.groupBy("session_id", "agenda_item_index", "speech_block_index").agg(F.min("speaker_name_original").alias("speaker_name"), F.min("topic_title").alias("topic_title"), F.array_sort(F.collect_list(s)).alias("sentences"))
     a = b.groupBy("session_id", "agenda_item_index").agg(F.min("topic_title").alias("topic_title"), F.array_sort(F.collect_list(F.struct("speech_block_index", "speaker_name", "sentences"))).alias("speech_blocks"))
     d = a.groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct("agenda_item_index", "topic_title", "speech_blocks"))).alias("agenda_items"))
-    return d.select("session_id", F.to_json(F.struct("agenda_items")).alias("document"))
+    return d.select("session_id", F.to_json(F.struct("agenda_items"), {"ignoreNullFields": "false"}).alias("document"))

@@ -6,10 +6,21 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def rollup(log: DataFrame, stage: str, duration: str) -> DataFrame:
-    """Calls, total, mean and longest duration per stage; null stages form a stage of their own."""
-    return log.groupBy(F.col(stage).alias("stage")).agg(
-        F.count("*").alias("calls"), F.round(F.sum(duration), 2).alias("total"), F.round(F.avg(duration), 4).alias("mean"), F.round(F.max(duration), 2).alias("longest"))
+def rollup(log: DataFrame, keys: dict[str, str], duration: str, tokens: dict[str, str] | None = None) -> DataFrame:
+    """Calls, total, mean and longest duration and summed tokens per group.
+
+    ``keys`` and ``tokens`` name the output columns and the columns or expressions they come from (stage, model; prompt,
+    output, total). Null keys form a group of their own; null tokens count nothing.
+    """
+    sums = [F.coalesce(F.sum(F.expr(c)), F.lit(0)).alias(n) for n, c in (tokens or {}).items()]
+    return log.groupBy(*[F.expr(c).alias(n) for n, c in keys.items()]).agg(
+        F.count("*").alias("calls"), F.round(F.sum(duration), 2).alias("total"), F.round(F.avg(duration), 4).alias("mean"), F.round(F.max(duration), 2).alias("longest"), *sums)
+
+
+def successes(results: DataFrame, status: str, by: list[str] | None = None) -> DataFrame:
+    """(n_results, n_success, n_failed) of a run, in all or by ``by``; a null status is a failure."""
+    good = F.coalesce(F.col(status) == "success", F.lit(False))
+    return results.groupBy(*(by or [])).agg(F.count("*").alias("n_results"), F.count(F.when(good, 1)).alias("n_success"), F.count(F.when(~good, 1)).alias("n_failed"))
 
 
 def rate_window(log: DataFrame, time: str, key: str, tie: str, period: int = 60, most: int = 60) -> DataFrame:

@@ -7,11 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from plenum.functions import search as fts
-from plenum.functions import similarity, text
+from plenum.functions import prompts, similarity, text
 from plenum.operators import dedup, graph, nested, searching, speakers, store, transcript, usage
-from plenum.plans.oracles import DICTIONARY, EXISTING_BEFORE, GONE_DIGIT, KEYWORDS, LIKE
+from plenum.plans.oracles import DICTIONARY, EXISTING_BEFORE, FIRST_SECOND, GONE_DIGIT, KEYWORDS, LAST_SECOND, LIKE, MERGED_TERMS
 from plenum.runtime import cut, table
+from plenum.settings import Settings
 from plenum.sources import html, providers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -133,7 +133,8 @@ def backfill_report(spark: SparkSession, base: str) -> DataFrame:
 @query
 def embedding_backfill(spark: SparkSession, base: str) -> DataFrame:
     """Vectors for the entities that have none, made from name and description by the offline provider."""
-    e = table(spark, base, "entities").select("entity_id", "embedding", F.concat_ws(" - ", "canonical_name", "description").alias("embedding_text"))
+    said = F.concat(F.coalesce("canonical_name", F.lit("")), F.lit(" - "), F.coalesce("description", F.lit("")))
+    e = table(spark, base, "entities").select("entity_id", "embedding", said.alias("embedding_text"))
     return store.backfill(e, "embedding", lambda d: providers.embed(d, "embedding_text")).select("entity_id", "embedding_text", F.size("embedding").alias("dimensions"))
 
 
@@ -215,13 +216,64 @@ def fill_if_empty(spark: SparkSession, base: str) -> DataFrame:
 
 
 @query
-def prompt_json(spark: SparkSession, base: str) -> DataFrame:
+def prompt_lines(spark: SparkSession, base: str) -> DataFrame:
     """Each agenda item as the numbered lines that a prompt shows."""
     df = _placed(spark, base)
     line = F.concat(F.lit("["), F.col("flat_index").cast("string"), F.lit("] "), F.coalesce("speaker_name_original", F.lit("")), F.lit(": "), F.coalesce("full_text", F.lit("")))
     return df.groupBy("session_id", "agenda_item_index").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("flat_index", line.alias("l")))), lambda x: x["l"]), "\n").alias("prompt"))
 
 
+@query
+def prompt_json(spark: SparkSession, base: str) -> DataFrame:
+    """Each block as a JSON object of its sentences' texts keyed by sentence id."""
+    df = _flat(spark, base)
+    rows = F.transform(F.array_sort(F.collect_list(F.struct("sentence_index", "sentence_id", F.coalesce("full_text", F.lit("")).alias("t")))), lambda x: F.struct(x["sentence_id"].cast("string").alias("id"), x["t"].alias("value")))
+    return df.groupBy("session_id", "agenda_item_index", "speech_block_index").agg(rows.alias("r")).select("session_id", "agenda_item_index", "speech_block_index", prompts.keyed_json(F.col("r")).alias("prompt"))
+
+
+@query
+def entity_prompts(spark: SparkSession, base: str) -> DataFrame:
+    """What an extraction service is asked for each chunk: speakers, those before, entities before, numbered sentences."""
+    placed = _placed(spark, base)
+    keys = ["session_id", "agenda_item_index", "chunk_index"]
+    made = graph.extracted(placed, lambda members: providers.dictionary_entities(members, _terms(spark)), providers.cooccurrence)["chunks"].select(*keys, "speakers", "context_speakers", "recent")
+    lines = transcript.chunk_members(placed).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col("local_index").alias("index"), F.concat(F.col("timestamp_seconds").cast("string"), F.lit("s")).alias("start_time"), F.col("full_text").alias("text")))).alias("ls"), F.min("topic_title").alias("topic"))
+    on = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+    asked = made.join(lines.withColumnsRenamed({k: f"_{k}" for k in keys}), on[0] & on[1] & on[2])
+    return asked.select(*keys, prompts.entity_prompt(F.col("topic"), F.col("speakers"), F.col("context_speakers"), F.col("recent"), F.col("ls")).alias("prompt"))
+
+
+@query
+def transcript_requests(spark: SparkSession, base: str) -> DataFrame:
+    """The request for each video's first ten minutes at half a frame a second."""
+    v = table(spark, base, "transcript_sentences").select("video_id", "session_id").filter("video_id IS NOT NULL").distinct()
+    s = transcript.unique_rows(table(spark, base, "sessions"), "session_id").select("session_id", "session_date", "chamber", "sitting_number")
+    asked = prompts.transcript_prompt(F.col("session_date"), F.col("chamber"), F.col("sitting_number"), F.array().cast("array<string>"))
+    url = F.concat(F.lit("https://example.invalid/watch?v="), "video_id")
+    return v.join(s, "session_id").select("video_id", "session_id", prompts.video_request(asked, url, 0.5, None, text.end_second(F.lit(10).cast("bigint")), "low").alias("request"))
+
+
+@query
+def end_seconds(spark: SparkSession, base: str) -> DataFrame:
+    """The last second to read of each session when as many minutes are wanted as its sitting number says."""
+    s = table(spark, base, "sessions").select("session_id", F.expr("try_cast(sitting_number AS bigint)").alias("minutes")).distinct()
+    return s.select("session_id", "minutes", text.end_second(F.col("minutes")).alias("end_second"))
+
+
+@query
+def paper_headers(spark: SparkSession, base: str) -> DataFrame:
+    """Order papers' headers written as a service's answer and read back."""
+    p = table(spark, base, "order_papers")
+    answer = F.to_json(F.struct("session_title", "sitting_number", F.date_format("session_date", "yyyy-MM-dd").alias("session_date")))
+    return nested.paper_headers(p.select("order_paper_id", answer.alias("answer")), "order_paper_id", "answer")
+
+
+@query
+def transcript_quarantine(spark: SparkSession, base: str) -> DataFrame:
+    """Transcripts that cannot be stored, with the reason."""
+    return nested.quarantined(table(spark, base, "sessions"))
+
+
 @query
 def html_links(spark: SparkSession, base: str) -> DataFrame:
     """Order papers written as a web page's table and read back."""
@@ -234,12 +286,36 @@ def html_links(spark: SparkSession, base: str) -> DataFrame:
 # speakers and entities --------------------------------------------------------------------------------------------------
 
 
+def _labels(spark: SparkSession, base: str) -> DataFrame:
+    """Labels of blocks (no role) and aliases of speakers (with their role)."""
+    said = table(spark, base, "speech_blocks").select(F.col("speaker_name").alias("name"), F.lit(None).cast("string").alias("role"))
+    listed = table(spark, base, "speakers").select(F.explode("aliases").alias("name"), "role")
+    return said.unionByName(listed).distinct()
+
+
 @query
 def speaker_match(spark: SparkSession, base: str) -> DataFrame:
-    """Labels of blocks (no role) and speakers of order papers (with role) against the registry."""
-    said = table(spark, base, "speech_blocks").select(F.col("speaker_name").alias("name"), F.lit(None).cast("string").alias("role"))
+    return speakers.match(_labels(spark, base), table(spark, base, "speakers"))
+
+
+@query
+def paper_speaker_match(spark: SparkSession, base: str) -> DataFrame:
+    """Speakers of order papers, with their roles, against the registry."""
     listed = nested.paper_tables(table(spark, base, "order_papers"))["paper_speakers"].select("name", "role")
-    return speakers.match(cut(said.unionByName(listed).distinct()), table(spark, base, "speakers"))
+    return speakers.match(cut(listed.distinct()), table(spark, base, "speakers"))
+
+
+@query
+def speaker_registry(spark: SparkSession, base: str) -> DataFrame:
+    """The registry after all blocks' labels that match it exactly were met: sessions added, the chamber filled where it was empty."""
+    reg = table(spark, base, "speakers").withColumn("session_ids", F.array_distinct(F.filter(F.coalesce("session_ids", F.array().cast("array<string>")), lambda x: x.isNotNull())))
+    sessions = transcript.unique_rows(table(spark, base, "sessions"), "session_id").select("session_id", "chamber")
+    exact = speaker_exact_match(spark, base)
+    said = table(spark, base, "speech_blocks").select(F.col("speaker_name").alias("name"), "session_id", F.col("created_at").alias("at"))
+    none = {c: F.lit(None).cast("string") for c in ("title", "role", "party")}
+    met = said.join(exact, "name").join(sessions, "session_id").withColumns(none)
+    out = speakers.registry_after(reg, met)
+    return out.select("canonical_id", "chamber", F.array_join(F.array_sort("session_ids"), "|").alias("sessions"))
 
 
 @query
@@ -251,7 +327,7 @@ def speaker_exact_match(spark: SparkSession, base: str) -> DataFrame:
 
 @query
 def hybrid_candidates(spark: SparkSession, base: str) -> DataFrame:
-    return dedup.candidates(table(spark, base, "entities"))
+    return dedup.ranked(dedup.candidates(table(spark, base, "entities")))
 
 
 @query
@@ -261,7 +337,7 @@ def resolve_pairs(spark: SparkSession, base: str) -> DataFrame:
 
 @query
 def dedup_statistics(spark: SparkSession, base: str) -> DataFrame:
-    return dedup.statistics(dedup.pair_scores(table(spark, base, "entity_matches")))
+    return dedup.statistics(dedup.pair_scores(table(spark, base, "entity_matches")), table(spark, base, "entities"))
 
 
 @query
@@ -285,14 +361,14 @@ def ingestion_counters(spark: SparkSession, base: str) -> DataFrame:
 @query
 def embedding_batches(spark: SparkSession, base: str) -> DataFrame:
     """Documents in batches of 100 in order of id, as a service takes them, with the letters of each batch."""
-    d = table(spark, base, "documents").filter("doc_id IS NOT NULL")
-    return d.groupBy(F.floor(F.col("doc_id") / 100).alias("batch")).agg(F.count("*").alias("n_docs"), F.sum(F.length(F.coalesce("text", F.lit("")))).alias("n_letters"))
+    d = table(spark, base, "documents").filter("doc_id IS NOT NULL").select("doc_id", F.length(F.coalesce("text", F.lit(""))).alias("letters"))
+    return store.batches(d, "doc_id", Settings.embedding_batch).groupBy("batch").agg(F.count("*").alias("n_docs"), F.sum("letters").alias("n_letters"), F.min("doc_id").alias("first_doc"))
 
 
 @query
 def dedup_components(spark: SparkSession, base: str) -> DataFrame:
-    """Merged ids with the root of their chain."""
-    return dedup.roots(dedup.id_map(table(spark, base, "entity_matches"), "entity1", "entity2"))
+    """Merged ids with the oldest record of all that is linked to them."""
+    return dedup.survivors(table(spark, base, "entity_matches"), "entity1", "entity2", table(spark, base, "entities"))
 
 
 @query
@@ -300,6 +376,22 @@ def entity_merge(spark: SparkSession, base: str) -> DataFrame:
     return dedup.merged(table(spark, base, "entities"), dedup_components(spark, base))
 
 
+@query
+def entity_marks(spark: SparkSession, base: str) -> DataFrame:
+    """The map that the marked entities' metadata give back, chains followed."""
+    e = table(spark, base, "entities")
+    return dedup.roots(dedup.stored_map(dedup.marked(e, dedup_components(spark, base))))
+
+
+@query
+def vector_similarity(spark: SparkSession, base: str) -> DataFrame:
+    """Cosine similarity of the two vectors of every match whose records both have one of full length."""
+    e = table(spark, base, "entities").filter(f"size(embedding) = {Settings.embedding_dimensions}").select("entity_id", "embedding")
+    m = table(spark, base, "entity_matches").select("match_id", "entity1", "entity2")
+    both = m.join(e.select(F.col("entity_id").alias("entity1"), F.col("embedding").alias("x")), "entity1").join(e.select(F.col("entity_id").alias("entity2"), F.col("embedding").alias("y")), "entity2")
+    return both.select("match_id", F.round(similarity.cosine(F.col("x"), F.col("y")), 5).alias("cosine"))
+
+
 @query
 def cosine_topk(spark: SparkSession, base: str) -> DataFrame:
     """The 20 nearest vectors of every vector whose id is divisible by 20."""
@@ -342,7 +434,7 @@ def mention_counts(spark: SparkSession, base: str) -> DataFrame:
 
 @query
 def recent_entities(spark: SparkSession, base: str) -> DataFrame:
-    return transcript.recent_entities(_found(spark, base).select("session_id", "agenda_item_index", "chunk_index", "entity_id").distinct())
+    return transcript.recent_entities(_found(spark, base))
 
 
 def _relations(spark: SparkSession, base: str) -> DataFrame:
@@ -354,6 +446,8 @@ def relationship_validate(spark: SparkSession, base: str) -> DataFrame:
     """Relations from co-occurrence, and copies with a wrong end or type, judged by the rules."""
     rel = _relations(spark, base)
     wrong = rel.withColumn("source_id", F.lit("nobody")).unionByName(rel.withColumn("target_id", F.lit("nothing"))).unionByName(rel.withColumn("relation_type", F.lit("likes")))
+    # a few break the rules on sentiment and confidence, by where they stand
+    wrong = wrong.unionByName(rel.filter("local_index < 3").withColumn("sentiment", F.lit("glad"))).unionByName(rel.filter("local_index > 4").withColumn("confidence", F.lit(1.5)))
     found = cut(_found(spark, base).select("session_id", "agenda_item_index", "chunk_index", "entity_id").distinct())
     who = transcript.chunks(_placed(spark, base)).select("session_id", "agenda_item_index", "chunk_index", "speakers")
     judged = graph.rejected(rel.unionByName(wrong), found, who)
@@ -396,9 +490,68 @@ def relationship_remap(spark: SparkSession, base: str) -> DataFrame:
     return dedup.unique_edges(led, ["source_id", "target_id"], "confidence", "match_id").select("match_id", "source_id", "target_id", "updates")
 
 
+@query
+def mention_remap(spark: SparkSession, base: str) -> DataFrame:
+    """Mentions led to the survivors of merged entities, one per entity and sentence, with the number of mentions that met."""
+    pairs = spark.createDataFrame(MERGED_TERMS, "a string, b string")
+    born = _terms(spark).select("entity_id", F.lit(None).cast("timestamp").alias("created_at"))
+    m = graph.mentions(_found(spark, base), _placed(spark, base)).select("entity_id", "sentence_id")
+    led = dedup.remapped(m, cut(dedup.survivors(pairs, "a", "b", born)), ["entity_id"])
+    return led.groupBy("entity_id", "sentence_id").agg(F.count("*").alias("n_mentions"), F.sum("updates").alias("updates"))
+
+
+@query
+def agenda_extraction(spark: SparkSession, base: str) -> DataFrame:
+    """Per agenda item what the whole loop of chunks gives: chunks, entities found, relations that keep the rules."""
+    kg = graph.extracted(_placed(spark, base), lambda members: providers.dictionary_entities(members, _terms(spark)), providers.cooccurrence)
+    keys = ["session_id", "agenda_item_index"]
+    n = kg["chunks"].groupBy(*keys).agg(F.count("*").alias("n_chunks"), F.count(F.when(F.col("recent") != "", 1)).alias("n_with_context"))
+    e = kg["found"].groupBy(*keys).agg(F.countDistinct("entity_id").alias("n_entities"))
+    r = kg["relations"].groupBy(*keys).agg(F.count("*").alias("n_relations"))
+    return n.join(e, keys).join(r, keys, "left").select(*keys, "n_chunks", "n_with_context", "n_entities", F.coalesce("n_relations", F.lit(0)).alias("n_relations"))
+
+
+@query
+def relationship_provenance(spark: SparkSession, base: str) -> DataFrame:
+    """Edges shown between two seconds, with their evidence, in order of session, video and second."""
+    edges = graph.evidence(_relations(spark, base), _placed(spark, base))
+    return graph.provenance(edges, first=FIRST_SECOND, last=LAST_SECOND).select("session_id", "video_id", "evidence_timestamp_seconds", "source_id", "target_id", "evidence_quote", "sentence_id", "chunk_index", "source")
+
+
+@query
+def entity_defaults(spark: SparkSession, base: str) -> DataFrame:
+    """Entities with what was left out filled in."""
+    e = graph.with_defaults(table(spark, base, "entities").select("entity_id", F.when(~F.isnan("confidence"), F.col("confidence")).alias("confidence"), "aliases", "description"))
+    return e.select("entity_id", "confidence", F.size("aliases").alias("n_aliases"), "description")
+
+
+@query
+def speaker_first_seen(spark: SparkSession, base: str) -> DataFrame:
+    return transcript.first_seen(_flat(spark, base))
+
+
 # maintenance ------------------------------------------------------------------------------------------------------------
 
 
+@query
+def entities_by_age(spark: SparkSession, base: str) -> DataFrame:
+    return store.by_age(table(spark, base, "entities").select("entity_id", "created_at"), "entity_id")
+
+
+@query
+def unspoken_lookup(spark: SparkSession, base: str) -> DataFrame:
+    """Blocks of one placeholder label, and those without any: point lookups by value and by null."""
+    b = table(spark, base, "speech_blocks").select("block_id", "session_id", "speaker_name")
+    return searching.lookup(b, speaker_name="Unknown Speaker").unionByName(searching.lookup(b, speaker_name=None))
+
+
+@query
+def ingest_success(spark: SparkSession, base: str) -> DataFrame:
+    """Per chamber the deliveries whose transcript is whole, and those that are broken off or missing."""
+    s = table(spark, base, "sessions").select("chamber", F.when(text.looks_truncated(F.col("raw_transcript_json")), "failed").otherwise(F.when(F.col("raw_transcript_json").isNotNull(), "success")).alias("status"))
+    return usage.successes(s, "status", ["chamber"])
+
+
 @query
 def cascade_delete(spark: SparkSession, base: str) -> DataFrame:
     """Rows left per table after sessions whose sitting number ends in a given digit are deleted."""
@@ -444,8 +597,15 @@ def ilike_search(spark: SparkSession, base: str) -> DataFrame:
 @query
 def lexeme_counts(spark: SparkSession, base: str) -> DataFrame:
     """Documents and hits of every lexeme of the sentences' inverted index."""
-    s = _flat(spark, base).select("sentence_id", F.explode(fts.lexemes(F.col("full_text"))).alias("x"))
-    return s.groupBy(F.col("x.lexeme").alias("lexeme")).agg(F.countDistinct("sentence_id").alias("n_docs"), F.count("*").alias("n_hits"))
+    found = searching.hits(_flat(spark, base), "sentence_id", "full_text")
+    return found.groupBy("lexeme").agg(F.countDistinct("sentence_id").alias("n_docs"), F.count("*").alias("n_hits"))
+
+
+@query
+def search_vector_backfill(spark: SparkSession, base: str) -> DataFrame:
+    """Text vectors for the sentences that have none: of freshly delivered ones, all."""
+    s = _flat(spark, base).select("sentence_id", "full_text", F.lit(None).cast("string").alias("search_vector"))
+    return store.backfill(s, "search_vector", lambda d: searching.text_vectors(d, "full_text")).select("sentence_id", "search_vector")
 
 
 # usage ------------------------------------------------------------------------------------------------------------------
@@ -453,7 +613,9 @@ def lexeme_counts(spark: SparkSession, base: str) -> DataFrame:
 
 @query
 def usage_rollup(spark: SparkSession, base: str) -> DataFrame:
-    return usage.rollup(table(spark, base, "events"), "event_type", "value")
+    """Calls per stage and model; the events' counter stands for tokens of the prompt, their user for those of the answer."""
+    prompt, output = "try_cast(get_json_object(props, '$.k') AS bigint)", "user_id"
+    return usage.rollup(table(spark, base, "events"), {"stage": "event_type", "model": "CASE WHEN value < 50 THEN 'small' ELSE 'large' END"}, "value", {"prompt_tokens": prompt, "output_tokens": output, "total_tokens": f"{prompt} + {output}"})
 
 
 @query

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import os
+import shutil
+import urllib.request
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,3 +35,45 @@ def to_fetch(links: DataFrame, stored: DataFrame) -> DataFrame:
     """The links whose file is not stored yet; a file is named by date and title."""
     named = links.withColumn("name", sanitize_filename(F.concat(F.coalesce("session_date", F.lit("undated")), F.lit("_"), "title", F.lit(".pdf"))))
     return named.join(stored.select("name").distinct(), "name", "left_anti")
+
+
+def _opened(url: str):
+    return urllib.request.urlopen(url, timeout=60)
+
+
+def download(links: DataFrame, folder: str, opener: Callable = _opened, piece: int = 1 << 16) -> DataFrame:
+    """(name, pdf_url, status, bytes) of every link (name, pdf_url) after its file was stored below ``folder``, a shared one.
+
+    A stored file is ``skipped``; a new one is streamed in pieces under another name and renamed when whole, so that a task
+    run again or two at once never leave half a file; what cannot be read is ``failed`` and tried again by the next run.
+    """
+
+    def run(batches):
+        import pyarrow as pa
+
+        os.makedirs(folder, exist_ok=True)
+        for b in batches:
+            names, urls = b.column(0).to_pylist(), b.column(1).to_pylist()
+            status, size = [], []
+            for name, url in zip(names, urls):
+                path = os.path.join(folder, name)
+                if os.path.exists(path):
+                    status.append("skipped")
+                    size.append(os.path.getsize(path))
+                    continue
+                part = f"{path}.{os.getpid()}.part"
+                try:
+                    with opener(url) as source, open(part, "wb") as out:
+                        shutil.copyfileobj(source, out, piece)
+                    os.replace(part, path)
+                    status.append("success")
+                    size.append(os.path.getsize(path))
+                except (OSError, ValueError):
+                    if os.path.exists(part):
+                        os.remove(part)
+                    status.append("failed")
+                    size.append(None)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(status, pa.string()), pa.array(size, pa.int64())], names=["name", "pdf_url", "status", "bytes"])
+
+    asked = links.filter("name IS NOT NULL").groupBy("name").agg({"pdf_url": "min"}).toDF("name", "pdf_url")
+    return asked.mapInArrow(run, "name string, pdf_url string, status string, bytes bigint")

@@ -32,7 +32,3 @@ def paper_links(pages: DataFrame, page: str, html: str, base_url: str, keep: lis
     title = F.coalesce(F.nullif(_plain(F.col("a")), F.lit("")), F.concat(F.lit("Session Paper "), F.col("row").cast("string")))
     return df.select(page, *keep, "row", title.alias("title"), absolute_url(base_url, F.replace("href", F.lit("&amp;"), F.lit("&"))).alias("pdf_url"), parse_date(_plain(F.get("cells", F.lit(1)))).alias("session_date"))
 
-
-def new_files(listed: DataFrame, existing: DataFrame, name: str) -> DataFrame:
-    """What is still to be downloaded: listed names that no stored file has."""
-    return listed.join(existing.select(name), name, "left_anti")

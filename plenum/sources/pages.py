@@ -1,7 +1,8 @@
 """A paginated source: ``spark.read.format("pages")`` calls a fetcher with a growing offset until a page is empty.
 
 Options: ``module`` and ``function`` name the fetcher, a callable (offset) -> list of row tuples; ``step`` (20), ``most`` (no
-limit), ``schema`` by ``.schema()``. Fetching is sequential by nature, so the source is one partition; downstream work is not.
+limit), ``pause`` (2 seconds, growing), ``schema`` by ``.schema()``. A page that fails is asked for three times; then the read
+fails, so that a listing is never cut short unnoticed. Fetching is sequential by nature, so the source is one partition; downstream work is not.
 """
 
 from __future__ import annotations
@@ -10,6 +11,8 @@ import importlib
 
 from pyspark.sql.datasource import DataSource, DataSourceReader
 
+from plenum.sources.providers import retrying
+
 
 class PagesSource(DataSource):
     @classmethod
@@ -29,12 +32,10 @@ class PagesReader(DataSourceReader):
 
     def read(self, partition):
         fetch = getattr(importlib.import_module(self.options["module"]), self.options["function"])
+        fetch = retrying(fetch, pause=float(self.options.get("pause", 2.0)))
         step, most, offset, given = int(self.options.get("step", 20)), self.options.get("most"), 0, 0
         while True:
-            try:
-                rows = fetch(offset)
-            except OSError:
-                return
+            rows = fetch(offset)
             if not rows:
                 return
             for row in rows:

@@ -2,7 +2,7 @@
 
 The defaults need no network: embeddings are hashed word counts, entities come from a dictionary of terms, relations from
 co-occurrence in a sentence, pairs are resolved by the thresholds. A service is plugged in by a callable of the same shape;
-``retrying`` and ``TokenBucket`` keep it within its limits.
+``retrying`` asks again after a failure, an ``Allowance`` per lane keeps all workers together within the service's limit.
 """
 
 from __future__ import annotations
@@ -16,10 +16,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plenum.settings import Settings
+
 Embedder = Callable[[list[str]], list[list[float]]]
 
 
-def hashed_embedder(dim: int = 64) -> Embedder:
+def hashed_embedder(dim: int = Settings.embedding_dimensions) -> Embedder:
     """Unit vectors of signed hashed word counts: the same text has the same vector on every run."""
 
     def embed(texts: list[str]) -> list[list[float]]:
@@ -49,28 +51,36 @@ def retrying(call: Callable, attempts: int = 3, pause: float = 2.0, sleep: Calla
     return run
 
 
-class TokenBucket:
-    """At most ``calls`` per ``period`` seconds in this worker."""
+class Allowance:
+    """A bucket that holds up to ``most`` tokens and gains ``rate`` a second; ``take`` waits for what is missing."""
 
-    def __init__(self, calls: int = 60, period: float = 60.0, clock=time.monotonic, sleep=time.sleep):
-        self.calls, self.period, self.clock, self.sleep = calls, period, clock, sleep
-        self.times: list[float] = []
+    def __init__(self, rate: float, most: float = 1.0, clock=time.monotonic, sleep=time.sleep):
+        self.rate, self.most, self.clock, self.sleep = rate, most, clock, sleep
+        self.level, self.filled_at = most, clock()
 
-    def wait(self) -> float:
+    def take(self, tokens: float = 1.0) -> float:
+        """Seconds waited. The level may fall below nought; the wait makes up for it."""
         now = self.clock()
-        self.times = [t for t in self.times if now - t < self.period]
-        pause = 0.0
-        if len(self.times) >= self.calls:
-            pause = self.period - (now - self.times[0])
-            self.sleep(pause)
-            self.times.pop(0)
-        self.times.append(now + pause)
-        return pause
+        self.level = min(self.most, self.level + self.rate * (now - self.filled_at)) - tokens
+        self.filled_at = now
+        wait = max(0.0, -self.level / self.rate)
+        if wait:
+            self.sleep(wait)
+        return wait
+
+
+def lanes_of(calls: int, period: float, cores: int) -> tuple[int, float]:
+    """(lanes, rate of each): so many partitions may call at once that all together stay within ``calls`` per ``period``.
+
+    Each lane starts with one token; the rest of the calls is what the lanes gain within a period.
+    """
+    lanes = max(1, min(cores, calls // 2))
+    return lanes, max(calls - lanes, 1) / (period * lanes)
 
 
 def embed(df: DataFrame, text: str, embedder: Embedder | None = None, batch: int = 32, out: str = "embedding") -> DataFrame:
     """``df`` with the vector of ``text`` in ``out``; the provider gets ``batch`` texts a call, null texts have no vector."""
-    use = embedder or hashed_embedder()
+    use = embedder or hashed_embedder(Settings.read().embedding_dimensions)
 
     def run(batches: Iterator[pa.RecordBatch]):
         for b in batches:
@@ -88,29 +98,31 @@ def embed(df: DataFrame, text: str, embedder: Embedder | None = None, batch: int
     return kept.mapInArrow(run, schema)
 
 
-def responses(df: DataFrame, prompt: str, call: Callable[[list[str]], list[str]], out: str = "response", batch: int = 8, bucket: TokenBucket | None = None) -> DataFrame:
+def responses(df: DataFrame, prompt: str, call: Callable[[list[str]], list[str]], out: str = "response", batch: int = 8, limit: tuple[int, float] | None = None) -> DataFrame:
     """``df`` with a provider's JSON answer to each ``prompt`` (documents, transcripts, extraction, resolution); null prompts have none.
 
     A failed batch is tried again; answers that are no complete JSON are null, to be asked for again by the next run.
+    ``limit`` (calls, seconds) holds for all workers together: the rows go through as many lanes as ``lanes_of`` allows.
     """
+    lanes, rate = lanes_of(*limit, df.sparkSession.sparkContext.defaultParallelism) if limit else (0, 0.0)
 
     def run(batches: Iterator[pa.RecordBatch]):
-        ask = retrying(call)
+        ask, allowance = retrying(call), Allowance(rate) if limit else None
         for b in batches:
             asked = b.column(b.schema.get_field_index(prompt)).to_pylist()
             todo = [i for i, t in enumerate(asked) if t is not None]
             said: list = [None] * len(asked)
             for s in range(0, len(todo), batch):
                 part = todo[s : s + batch]
-                if bucket is not None:
-                    bucket.wait()
+                if allowance is not None:
+                    allowance.take()
                 for i, v in zip(part, ask([asked[i] for i in part])):
                     said[i] = v
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(said, pa.string())], names=[*b.schema.names, out])
 
     kept = df.drop(out)
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields] + [f"{out} string"])
-    answered = kept.mapInArrow(run, schema)
+    answered = (kept.repartition(lanes) if lanes else kept).mapInArrow(run, schema)
     return answered.withColumn(out, F.when(F.expr(f"try_parse_json({out})").isNotNull(), F.col(out)))
 
 

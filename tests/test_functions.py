@@ -86,3 +86,14 @@ def test_search(spark):
     assert v.filter(search.matches(F.col("v"), [])).count() == 0
     ranks = {r[0]: r[1] for r in v.select("i", search.rank(F.col("v"), "water")).collect()}
     assert ranks[2] == pytest.approx(0.0607927, abs=1e-6) and ranks[1] == pytest.approx(0.0607927 * 1.25, abs=1e-6) and ranks[4] == 0
+
+
+@pytest.mark.parametrize("word, want", [
+    ("caresses", "caress"), ("ponies", "poni"), ("cats", "cat"), ("feed", "feed"), ("agreed", "agre"), ("plastered", "plaster"), ("bled", "bled"), ("motoring", "motor"), ("sing", "sing"), ("conflated", "conflat"),
+    ("troubled", "troubl"), ("sized", "size"), ("hopping", "hop"), ("falling", "fall"), ("hissing", "hiss"), ("failing", "fail"), ("filing", "file"), ("happy", "happi"), ("sky", "sky"), ("relational", "relat"),
+    ("conditional", "condit"), ("rational", "ration"), ("digitizer", "digit"), ("vietnamization", "vietnam"), ("sensibiliti", "sensibl"), ("triplicate", "triplic"), ("hopeful", "hope"), ("goodness", "good"),
+    ("revival", "reviv"), ("allowance", "allow"), ("adjustment", "adjust"), ("adoption", "adopt"), ("effective", "effect"), ("probate", "probat"), ("rate", "rate"), ("cease", "ceas"), ("controll", "control"), ("roll", "roll"), ("yes", "ye"), ("us", "us"), ("école", "école")])
+def test_stems(spark, word, want):
+    from plenum.functions.search import stem
+
+    assert spark.range(1).select(stem(F.lit(word))).first()[0] == want

@@ -33,9 +33,11 @@ def test_unique_rows(spark):
 
 
 def test_recent_entities(spark):
-    rows = [("s", 0, c, e) for c, e in [(0, "a"), (0, "b"), (1, "b"), (1, "c"), (2, "a")]]
-    got = {r["chunk_index"]: r["recent"] for r in transcript.recent_entities(spark.createDataFrame(rows, "session_id string, agenda_item_index int, chunk_index int, entity_id string")).collect()}
-    assert got == {0: "", 1: "a,b", 2: "a,b,c"}
+    rows = [("s", 0, c, i, e) for c, i, e in [(0, 0, "b"), (0, 1, "a"), (0, 2, "b"), (1, 0, "b"), (1, 3, "c"), (2, 0, "a")]]
+    df = spark.createDataFrame(rows, "session_id string, agenda_item_index int, chunk_index int, local_index int, entity_id string")
+    got = lambda **k: {r["chunk_index"]: r["recent"] for r in transcript.recent_entities(df, **k).collect()}
+    assert got() == {0: "", 1: "b,a", 2: "b,a,b,c"} and got(keep=2) == {0: "", 1: "b,a", 2: "b,c"}
+    assert transcript.recent_entities(df.limit(0)).count() == 0
 
 
 def registry(spark):
@@ -79,21 +81,65 @@ def test_candidates_against_all_pairs(spark, small):
     dedup.TILE = 2000
 
 
-def test_roots_follow_chains(spark):
-    m = spark.createDataFrame([(f"e{i:03d}", f"e{i - 1:03d}") for i in range(1, 60)] + [("x", "x"), (None, "y")], "a string, b string")
-    got = {r["old_id"]: r["root_id"] for r in dedup.roots(dedup.id_map(m, "a", "b")).collect()}
-    assert got == {f"e{i:03d}": "e000" for i in range(1, 60)}
-    assert dedup.roots(dedup.id_map(m.limit(0), "a", "b")).count() == 0
+def groups_of(rows):
+    up: dict[str, str] = {}
+
+    def top(x):
+        while up.setdefault(x, x) != x:
+            x = up[x]
+        return x
+
+    for a, b in rows:
+        if a is not None and b is not None:
+            lo, hi = sorted((top(a), top(b)))
+            up[hi] = lo
+    return {x: top(x) for x in list(up)}
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_links_are_never_lost(spark, seed):
+    import random
+
+    rng = random.Random(seed)
+    rows = [(f"{rng.randrange(90):02d}", f"{rng.randrange(90):02d}") for _ in range(70)] + [("x", "x"), (None, "y"), ("z", None)] + [("hub", f"h{i}") for i in range(40)]
+    chain = [(f"e{i:03d}", f"e{i + 1:03d}") for i in range(40)]
+    rng.shuffle(chain)
+    df = spark.createDataFrame(rows + chain, "a string, b string")
+    want = groups_of(rows + chain)
+    assert {r["id"]: r["group"] for r in dedup.linked(df, "a", "b").collect()} == {x: g for x, g in want.items() if x != g}
+    assert dedup.linked(df.limit(0), "a", "b").count() == 0
+
+
+def test_oldest_survives(spark):
+    t = lambda d: dt.datetime(2024, 1, d)
+    e = spark.createDataFrame([("a", t(3)), ("b", t(1)), ("c", t(2)), ("d", t(1))], "entity_id string, created_at timestamp")
+    # a-c and b-c share c only: one group; d and b are equally old; ghost has no record
+    pairs = spark.createDataFrame([("a", "c"), ("c", "b"), ("d", "b"), ("ghost", "a"), ("g2", "g1")], "x string, y string")
+    assert {tuple(r) for r in dedup.survivors(pairs, "x", "y", e).collect()} == {("a", "b"), ("c", "b"), ("d", "b"), ("ghost", "b"), ("g2", "g1")}
+
+
+def test_marks_and_chains(spark):
+    e = spark.createDataFrame([("a", '{"run": 1}'), ("b", None), ("c", "broken")], "entity_id string, meta_data string")
+    m = spark.createDataFrame([("b", "a"), ("c", "b")], "old_id string, root_id string")
+    told = dedup.marked(e, m)
+    assert {(r["old_id"], r["new_id"]) for r in dedup.stored_map(told).collect()} == {("b", "a"), ("c", "b")}
+    assert {(r["old_id"], r["root_id"]) for r in dedup.roots(dedup.stored_map(told)).collect()} == {("b", "a"), ("c", "a")}
+    assert told.filter("entity_id = 'a'").first()["meta_data"] == '{"run": 1}'
 
 
 def test_merge_and_remap(spark):
     t = dt.datetime(2024, 1, 1)
-    e = spark.createDataFrame([("a", "A", "short", ["x"], 0.4, 0.1, t), ("b", "B", "much longer", None, float("nan"), 0.9, t), ("c", "C", None, [], None, 0.2, t)],
-                              "entity_id string, canonical_name string, description string, aliases array<string>, confidence double, importance_score double, created_at timestamp")
+    late = dt.datetime(2024, 2, 1)
+    e = spark.createDataFrame([("a", "A", "short", ["x"], 0.4, 0.1, t, '{"k": 1, "own": "y"}'), ("b", "B", "much longer", None, float("nan"), 0.9, late, '{"k": 2}'), ("c", "C", None, [], None, 0.2, t, None)],
+                              "entity_id string, canonical_name string, description string, aliases array<string>, confidence double, importance_score double, created_at timestamp, meta_data string")
     roots = spark.createDataFrame([("b", "a")], "old_id string, root_id string")
     got = {r["entity_id"]: r for r in dedup.merged(e, roots).collect()}
     assert set(got) == {"a", "c"}
     assert (got["a"]["description"], got["a"]["confidence"], got["a"]["importance_score"], got["a"]["aliases"], got["a"]["merged_ids"]) == ("much longer", 0.4, 0.9, "B|x", "b")
+    assert (got["a"]["canonical_name"], got["a"]["meta_data"], got["c"]["meta_data"]) == ("A", "k=2|own=y", "")
+    said = spark.createDataFrame([("a", "New", None), ("c", None, ["p", "q"])], "keep_id string, merged_name string, merged_aliases array<string>")
+    named = {r["entity_id"]: (r["canonical_name"], r["aliases"]) for r in dedup.renamed(dedup.merged(e, roots), said).collect()}
+    assert named == {"a": ("New", "A|B|x"), "c": ("C", "p|q")}
     edges = spark.createDataFrame([(1, "b", "c", 0.5), (2, "a", "c", 0.9), (3, "b", "b", 0.1)], "i int, s string, t string, w double")
     led = dedup.remapped(edges, roots, ["s", "t"])
     assert {r["i"]: r["updates"] for r in led.collect()} == {1: 1, 2: 0, 3: 2}
@@ -149,7 +195,11 @@ def test_usage(spark):
     log = spark.createDataFrame([(i, "u", t + dt.timedelta(seconds=30 * i), 1.5) for i in range(4)] + [(9, None, None, None)], "event_id int, who string, at timestamp, ms double")
     got = [r["in_window"] for r in usage.rate_window(log, "at", "who", "event_id", 60, 2).orderBy("event_id").collect()]
     assert got == [1, 2, 3, 3]
-    assert {r["stage"]: (r["calls"], r["total"]) for r in usage.rollup(log, "who", "ms").collect()} == {"u": (4, 6.0), None: (1, None)}
+    assert {r["stage"]: (r["calls"], r["total"]) for r in usage.rollup(log, {"stage": "who"}, "ms").collect()} == {"u": (4, 6.0), None: (1, None)}
+    tokens = usage.rollup(log, {"stage": "who", "model": "'m'"}, "ms", {"prompt_tokens": "event_id", "total_tokens": "event_id + 5"}).collect()
+    assert {(r["stage"], r["model"], r["prompt_tokens"], r["total_tokens"]) for r in tokens} == {("u", "m", 6, 26), (None, "m", 9, 14)}
+    done = spark.createDataFrame([("success",), ("failed",), (None,)], "status string")
+    assert tuple(usage.successes(done, "status").first()) == (3, 1, 2)
 
 
 def test_nearest(spark):
@@ -159,3 +209,43 @@ def test_nearest(spark):
     assert got == [(1, 1), (7, 2), (3, 3)]
     assert searching.nearest(e, e.filter("i = 5"), "i", "v", 2).count() == 0
     assert searching.postings(spark.createDataFrame([(1, "a water water")], "i int, t string"), "i", "t").first()["positions"] == [2, 3]
+
+
+def test_batches_by_position(spark):
+    ids = [3 * i + i % 2 for i in range(257)]
+    got = {r["k"]: r["batch"] for r in store.batches(spark.createDataFrame([(i,) for i in ids], "k long"), "k", 100).collect()}
+    assert got == {k: n // 100 for n, k in enumerate(sorted(ids))}
+    assert store.batches(spark.createDataFrame([], "k long"), "k", 100).count() == 0
+
+
+def test_lookups_and_order(spark):
+    df = spark.createDataFrame([("b", 1, None), ("a", 1, dt.datetime(2024, 1, 1)), ("c", None, dt.datetime(2023, 1, 1))], "k string, v int, created_at timestamp")
+    assert [r["k"] for r in searching.lookup(df, v=1, k="a").collect()] == ["a"] and [r["k"] for r in searching.lookup(df, v=None).collect()] == ["c"]
+    assert [r["k"] for r in store.by_age(df, "k").collect()] == ["b", "c", "a"]
+
+
+def test_registry_after(spark):
+    t = dt.datetime(2024, 1, 1)
+    reg = spark.createDataFrame([("p", "Ann", None, "Clerk", ["s1"], t, t)], "canonical_id string, name string, title string, role string, session_ids array<string>, created_at timestamp, updated_at timestamp").withColumns({"party": F.lit(""), "chamber": F.lit(None).cast("string")})
+    late = dt.datetime(2024, 3, 1)
+    met = spark.createDataFrame([("p", "ANN", "Dr.", "Minister", "Tide", None, "s2", late), ("p", "Ann", None, None, None, "house", "s1", t), ("new", "Bo", None, None, None, "house", "s2", late), (None, "x", None, None, None, None, "s2", t)],
+                                "canonical_id string, name string, title string, role string, party string, chamber string, session_id string, at timestamp")
+    got = {r["canonical_id"]: r for r in speakers.registry_after(reg, met).collect()}
+    assert set(got) == {"p", "new"} and (got["new"]["name"], got["new"]["session_ids"], got["new"]["chamber"]) == ("Bo", ["s2"], "house")
+    p = got["p"]
+    assert (p["name"], p["title"], p["role"], p["party"], p["chamber"], sorted(p["session_ids"]), p["updated_at"]) == ("Ann", "Dr.", "Clerk", "Tide", "house", ["s1", "s2"], late)
+
+
+def test_search_ranks_by_nearness(spark):
+    docs = spark.createDataFrame([(1, "water prices and cleaner"), (2, "clean waters; the price"), (3, "clean water"), (4, None), (5, "water " * 3 + "x " * 200 + "price clean")], "i int, t string")
+    got = [(r["i"], r["rank"]) for r in searching.keyword(docs, "i", "t", "the water price").collect()]
+    assert [i for i, _ in got] == [1, 2, 5] and got[0][1] > got[1][1] > 0 and got[2][1] == 0
+    assert [r["i"] for r in searching.keyword(docs, "i", "t", "watering").collect()] == [5, 1, 2, 3]
+    assert searching.keyword(docs, "i", "t", "the").count() == 0
+    assert searching.text_vectors(docs, "t").orderBy("i").collect()[1]["search_vector"] == "'clean':1 'price':4 'water':2"
+
+
+def test_provenance(spark):
+    e = spark.createDataFrame([("s1", "v", 5, "a", "b"), ("s1", "v", 50, "a", "c"), ("s1", "w", None, "a", "d"), ("s0", "v", 7, "a", "e")], "session_id string, video_id string, evidence_timestamp_seconds int, source_id string, target_id string")
+    got = lambda **k: [r["target_id"] for r in graph.provenance(e, **k).collect()]
+    assert got() == ["e", "b", "c", "d"] and got(session="s1", video="v", first=6) == ["c"] and got(last=7) == ["e", "b"]
