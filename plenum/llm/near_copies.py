@@ -1,16 +1,22 @@
-"""Near-duplicate records with small edits: a binary trie self-join on Hamming codes, exactly verified.
-
-A record is the set of its words. Records with equal sets form one class and are compared once. Each set has
-
-* a parity code of ``BITS`` bits (each word flips the bit it hashes to). Codes differ in no more bits than the sets
-  differ in words, and sets of overlap >= t differ in at most (1-t)/(1+t)(|a|+|b|) words: that is the Hamming error
-  budget of a pair, and pruning by it loses nothing;
-* ``BANDS`` keys of ``ROWS`` minimum hashes each. Sets that share a key meet in one trie; at overlap 0.70 two sets
-  miss each other with probability 0.0003, at 0.75 below 0.00001.
-
-In each trie, node pairs are traversed together, differing bits accumulated, and a pair of nodes is dropped once its
-bits exceed the budget of the largest sets below it; leaves compare by XOR and bit count. What is left is verified on
-the full word sets.
+"""Near-duplicate records with small edits: a self-join of binary tries on Hamming codes, exactly verified.
+
+A record is the set of its words, in order of rarity. Records with equal sets form one class and are compared once. Two
+sets of overlap >= t differ in at most ``k = (1-t)/(1+t) (|a|+|b|)`` words: the Hamming error budget of the pair.
+
+1. The trie over the words in order of rarity is entered below the first word that both sets have: all words before it
+   differ, and their number is what the traversal has accumulated there. Two sets that share none of their first
+   ``n - ceil(t n) + 1`` words have used up the budget, so the trie's nodes below those words are all that can be met, and
+   they are the partitions of the join. Nothing is sampled and nothing is lost.
+2. Inside a node a record is a parity code of ``BITS`` bits: each of its later words flips the bit it hashes to. Codes differ
+   in no more bits than the sets differ in words. Node pairs of the binary trie over these codes are traversed together, all
+   nodes of a task level by level; differing bits are added to what was accumulated, and a node pair is pruned once they
+   exceed the budget of the largest sets below it. Pairs of leaves (``LEAF`` codes) compare by XOR and bit count.
+3. What is left is verified on the full word sets.
+
+Hot nodes: a node with more than ``HOT`` records (a word that a third of all rows begin with) is split by the next word that
+both sets have among their first words, one more of them counted; what is still hot after that is cut into ``TILE``-sized tiles
+whose pairs are tasks of their own. The sizes come from counters over all rows, ``SLOTS`` of them whatever the table's size;
+a counter that several words share only splits sooner.
 
 Defined results
 * a record without a description of its own (see ``own_text``) or without id takes no part; null names and aliases add no words;
@@ -28,12 +34,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plenum.llm.own_text import tokens, with_own_description
+from plenum.runtime import cut, received, ship
 
-BITS, BANDS, ROWS = 128, 64, 6
+BITS = 128
 #: Codes that a trie leaf holds.
-LEAF = 32
-#: Members of one block of a class, about: pairs are written out block by block.
-BLOCK = 512
+LEAF = 8
+#: Counters of words, and how many records make a node hot and fill a tile.
+SLOTS, HOT, TILE = 1 << 18, 50_000, 25_000
+#: Rows that a task takes up at once, node pairs of one step of the traversal, and members of one block of a class.
+ROWS, PAIRS, BLOCK = 200_000, 2_000_000, 512
 
 _U = np.uint64
 
@@ -44,133 +53,239 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-def _sketch(batches):
-    """(rep, hashes) to one row for each band."""
-    rng = np.random.default_rng(20)
-    factors = rng.integers(1, 2**63, BANDS * ROWS, dtype=np.uint64) * _U(2) + _U(1)
-    for batch in batches:
-        if not batch.num_rows:
-            continue
+def _slot(h: np.ndarray) -> np.ndarray:
+    return (_mixed(h) >> _U(3)) & _U(SLOTS - 1)
+
+
+def first_words(n: np.ndarray, t: float, more: int = 0) -> np.ndarray:
+    """How many of a set's rarest words a set of overlap >= t must share one of (``more`` = 1: two of)."""
+    return np.minimum(n, n - np.ceil(t * n - 1e-9).astype(np.int64) + 1 + more)
+
+
+class Ordered:
+    """Word sets of one batch, flat, each in order of rarity, with the parity code of what follows each word."""
+
+    def __init__(self, batch: pa.RecordBatch, counts: np.ndarray | None):
         lists = batch.column(1)
         h = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
         offsets = np.asarray(lists.offsets)[: batch.num_rows + 1].astype(np.int64)
         offsets = offsets - offsets[0]
-        starts, n = offsets[:-1], np.diff(offsets)
-        h = _mixed(h)
-        code = []
+        self.n = np.diff(offsets)
+        self.row = np.repeat(np.arange(len(self.n)), self.n)
+        often = counts[_slot(h)] if counts is not None else np.zeros(len(h), np.int64)
+        order = np.lexsort((h, often, self.row))
+        self.h, self.starts = h[order], offsets[:-1]
+        self.pos = np.arange(len(h)) - self.starts[self.row]
+        m = _mixed(self.h)
+        self.codes = []
         for half in (0, 1):
-            mine = ((h >> _U(6)) & _U(1)) == _U(half)
-            code.append(np.bitwise_xor.reduceat(np.where(mine, _U(1) << (h & _U(63)), _U(0)), starts))
-        keys = np.empty((len(n), BANDS), np.uint64)
-        for band in range(BANDS):
-            key = np.full(len(n), band + 1, np.uint64)
-            for f in factors[band * ROWS : (band + 1) * ROWS]:
-                key = _mixed(key * _U(0x9E3779B97F4A7C15) + np.minimum.reduceat((h * f) >> _U(24), starts))
-            keys[:, band] = key
-        rep = batch.column(0).take(pa.array(np.repeat(np.arange(len(n)), BANDS)))
-        again = lambda a: pa.array(np.repeat(a, BANDS))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(keys.ravel().view(np.int64)), rep, again(n.astype(np.int32)), again(code[0].view(np.int64)), again(code[1].view(np.int64))],
-            names=["band_key", "rep", "n", "c0", "c1"])
+            bit = np.where(((m >> _U(6)) & _U(1)) == _U(half), _U(1) << (m & _U(63)), _U(0))
+            # what follows a word: the whole row's parity without the words up to it
+            upto = np.bitwise_xor.accumulate(bit) if len(bit) else bit
+            last = upto[offsets[1:] - 1] if len(self.n) else upto
+            self.codes.append(last[self.row] ^ upto)
+
+
+def _counted(kind: str, t: float, known):
+    """Batches of (ck, hashes) to (slot, n): how many records have a word, begin with it, or stand below two of their first words."""
+
+    def run(batches):
+        total = np.zeros(SLOTS, np.int64)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            if kind == "word":
+                h = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+                total += np.bincount(_slot(h), minlength=SLOTS)
+                continue
+            often, hot = received(known)
+            o = Ordered(batch, often)
+            if kind == "first":
+                total += np.bincount(_slot(o.h[o.pos < first_words(o.n, t)[o.row]]), minlength=SLOTS)
+            else:
+                total += np.bincount(_slot(_below(o, hot, t)[0]), minlength=SLOTS)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at])], names=["slot", "n"])
+
+    return run
+
+
+def _counters(sets: DataFrame, kind: str, t: float, known=None) -> np.ndarray:
+    """``SLOTS`` numbers, added up on the executors: the driver gets one row a slot, however many rows there are."""
+    rows = sets.mapInArrow(_counted(kind, t, known), "slot int, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(SLOTS, np.int64)
+    out[rows.column("slot").to_numpy()] = rows.column("n").to_numpy()
+    return out
+
+
+def _below(o: Ordered, hot: np.ndarray, t: float) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, places) of the nodes that take the place of hot ones: below a hot first word, each other one of the first words and one more."""
+    keys, places = [], []
+    wide = first_words(o.n, t, 1)
+    for i in np.flatnonzero((o.pos < first_words(o.n, t)[o.row]) & hot[_slot(o.h)]):
+        r = o.row[i]
+        others = np.arange(o.starts[r], o.starts[r] + wide[r])
+        others = others[others != i]
+        keys.append(_mixed(o.h[i] * _U(0x9E3779B97F4A7C15) + o.h[others]))
+        # a set of one word has no other: it stays below its only one
+        keys[-1] = keys[-1] if len(others) else o.h[i : i + 1]
+        places.append(np.full(max(len(others), 1), i))
+    if not keys:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    return np.concatenate(keys), np.concatenate(places)
+
+
+NODES = "node bigint, tiles int, ck bigint, n int, gone int, c0 bigint, c1 bigint"
+
+
+def _nodes(t: float, known):
+    """Batches of (ck, hashes) to one row for each node that a record stands below; ``gone``: words before the node."""
+
+    def run(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            often, hot, filled = received(known)
+            o = Ordered(batch, often)
+            cold = (o.pos < first_words(o.n, t)[o.row]) & ~hot[_slot(o.h)]
+            at = np.flatnonzero(cold)
+            node, tiles = o.h[at], np.ones(len(at), np.int64)
+            if hot.any():
+                keys, places = _below(o, hot, t)
+                full = filled[_slot(keys)]
+                node, at = np.concatenate([node, keys]), np.concatenate([at, places])
+                tiles = np.concatenate([tiles, np.where(full > HOT, -(-full // TILE), 1)])
+            cks = batch.column(0).to_numpy(zero_copy_only=False)[o.row[at]]
+            # a second word may stand before or after the node's first: the code below it holds in either case
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(_mixed(node).view(np.int64)), pa.array(tiles, pa.int32()), pa.array(cks, pa.int64()), pa.array(o.n[o.row[at]], pa.int32()), pa.array(o.pos[at], pa.int32()), pa.array(o.codes[0][at].view(np.int64)), pa.array(o.codes[1][at].view(np.int64))],
+                names=["node", "tiles", "ck", "n", "gone", "c0", "c1"])
+
+    return run
 
 
 def _differing(c0, c1, i, j):
     return np.bitwise_count(c0[i] ^ c0[j]).astype(np.int32) + np.bitwise_count(c1[i] ^ c1[j])
 
 
-def _allowed(n, i, j, t):
-    return np.floor((1 - t) / (1 + t) * (n[i] + n[j]) + 1e-9)
-
+def trie_pairs(starts: np.ndarray, ends: np.ndarray, c0: np.ndarray, c1: np.ndarray, n: np.ndarray, gone: np.ndarray, t: float, seen: list | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs within their Hamming budget inside each range ``starts[i]:ends[i]`` of rows sorted by (c0, c1): one joint traversal of all tries.
 
-def trie_pairs(c0: np.ndarray, c1: np.ndarray, n: np.ndarray, t: float) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs of one bucket within their Hamming budget, by a joint traversal of the binary trie."""
-    order = np.lexsort((c1, c0))
-    a0, a1, size = c0[order], c1[order], n[order]
+    ``seen`` collects (node pairs met, node pairs pruned, code pairs compared).
+    """
     ratio = (1 - t) / (1 + t)
+    slack = ratio * n - gone
     left, right = [], []
-
-    def split(lo: int, hi: int, depth: int) -> int:
-        """First index of the node's part whose bit at ``depth`` is set."""
-        word, bit = (a0, 63 - depth) if depth < 64 else (a1, 127 - depth)
-        return lo + int(np.searchsorted((word[lo:hi] >> _U(bit)) & _U(1), 1))
-
-    stack = [(0, len(a0), 0, len(a0), 0, 0)]
-    while stack:
-        alo, ahi, blo, bhi, depth, bits = stack.pop()
-        if alo == ahi or blo == bhi or bits > ratio * (int(size[alo:ahi].max()) + int(size[blo:bhi].max())):
+    tally = [0, 0, 0]
+
+    # the largest slack of any range, from those of all ranges of 1, 2, 4, ... rows
+    tops, step = [slack], 1
+    while len(starts) and 2 * step <= int((ends - starts).max()):
+        tops.append(np.maximum(tops[-1][:-step], tops[-1][step:]))
+        step *= 2
+
+    def most(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        level = np.frexp(b - a)[1] - 1
+        out = np.empty(len(a))
+        for k in np.unique(level):
+            at = level == k
+            out[at] = np.maximum(tops[k][a[at]], tops[k][b[at] - (1 << int(k))])
+        return out
+
+    def compare(al, ah, bl, bh):
+        for s in range(0, len(al), max(1, PAIRS // (LEAF * LEAF))):
+            e = s + max(1, PAIRS // (LEAF * LEAF))
+            na, nb = ah[s:e] - al[s:e], bh[s:e] - bl[s:e]
+            size = na * nb
+            which = np.repeat(np.arange(len(size)), size)
+            k = np.arange(len(which)) - np.repeat(np.cumsum(size) - size, size)
+            i, j = al[s:e][which] + k // nb[which], bl[s:e][which] + k % nb[which]
+            own = (al[s:e] == bl[s:e])[which]
+            keep = ~own | (i < j)
+            i, j = i[keep], j[keep]
+            tally[2] += len(i)
+            ok = _differing(c0, c1, i, j) + gone[i] + gone[j] <= np.floor(ratio * (n[i] + n[j]) + 1e-9)
+            left.append(i[ok])
+            right.append(j[ok])
+
+    work = [(starts, ends, starts, ends, np.zeros(len(starts), np.int64), 0)]
+    while work:
+        al, ah, bl, bh, bits, depth = work.pop()
+        if len(al) > PAIRS:
+            h = len(al) // 2
+            work += [(al[:h], ah[:h], bl[:h], bh[:h], bits[:h], depth), (al[h:], ah[h:], bl[h:], bh[h:], bits[h:], depth)]
+            continue
+        alive = (al < ah) & (bl < bh)
+        al, ah, bl, bh, bits = (x[alive] for x in (al, ah, bl, bh, bits))
+        if not len(al):
             continue
-        own = alo == blo and ahi == bhi
-        if depth == BITS or max(ahi - alo, bhi - blo) <= LEAF:
-            i, j = np.meshgrid(np.arange(alo, ahi), np.arange(blo, bhi), indexing="ij")
-            i, j = i.ravel(), j.ravel()
-            if own:
-                i, j = i[i < j], j[i < j]
-            ok = _differing(a0, a1, i, j) <= _allowed(size, i, j, t)
-            left.append(order[i[ok]])
-            right.append(order[j[ok]])
+        tally[0] += len(al)
+        within = bits <= most(al, ah) + most(bl, bh) + 1e-9
+        tally[1] += int((~within).sum())
+        al, ah, bl, bh, bits = (x[within] for x in (al, ah, bl, bh, bits))
+        leaf = (np.maximum(ah - al, bh - bl) <= LEAF) | (depth == BITS)
+        if leaf.any():
+            compare(al[leaf], ah[leaf], bl[leaf], bh[leaf])
+        al, ah, bl, bh, bits = (x[~leaf] for x in (al, ah, bl, bh, bits))
+        if not len(al):
             continue
-        am, bm = split(alo, ahi, depth), split(blo, bhi, depth)
-        stack.append((alo, am, blo, bm, depth + 1, bits))
-        stack.append((am, ahi, bm, bhi, depth + 1, bits))
-        stack.append((alo, am, bm, bhi, depth + 1, bits + 1))
-        if not own:
-            stack.append((am, ahi, blo, bm, depth + 1, bits + 1))
+        word, bit = (c0, 63 - depth) if depth < 64 else (c1, 127 - depth)
+        # ones before each row: a node's codes are sorted, so its ones stand at its end
+        ones = np.concatenate([[0], np.cumsum(((word >> _U(bit)) & _U(1)).astype(np.int64))])
+        am, bm = ah - (ones[ah] - ones[al]), bh - (ones[bh] - ones[bl])
+        other = ~((al == bl) & (ah == bh))
+        work.append((np.concatenate([al, am, al, am[other]]), np.concatenate([am, ah, am, ah[other]]), np.concatenate([bl, bm, bm, bl[other]]), np.concatenate([bm, bh, bh, bm[other]]),
+                     np.concatenate([bits, bits, bits + 1, bits[other] + 1]), depth + 1))
+    if seen is not None:
+        seen.append(tuple(tally))
     if not left:
-        return np.zeros(0, int), np.zeros(0, int)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     return np.concatenate(left), np.concatenate(right)
 
 
-def _bucket_join(t: float):
-    """Rows sorted by band key to candidate pairs."""
+def _joined(t: float):
+    """Rows sorted by (node, c0, c1) to candidate pairs; a tile pair's rows of different tiles meet, those of one tile where it is paired with itself."""
 
     def pairs_of(table: pa.Table):
-        key = table.column("band_key").to_numpy()
-        n = table.column("n").to_numpy()
-        c0, c1 = (table.column(c).to_numpy().view(np.uint64) for c in ("c0", "c1"))
+        key = table.column("node").to_numpy()
+        n, gone, tile = (table.column(c).to_numpy() for c in ("n", "gone", "tile"))
+        c0, c1 = (table.column(c).to_numpy() for c in ("c0", "c1"))
+        # as unsigned numbers in order
+        c0, c1 = c0.view(np.uint64), c1.view(np.uint64)
+        order = np.lexsort((c1, c0, key))
+        key, n, gone, tile, c0, c1 = (x[order] for x in (key, n, gone, tile, c0, c1))
+        ck = table.column("ck").to_numpy()[order]
         starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-        sizes = np.diff(np.r_[starts, len(key)])
-        small = np.repeat(sizes <= LEAF, sizes)
-        i_all, j_all = [], []
-        for d in range(1, LEAF):  # tries of a single leaf, all at once
-            i = np.flatnonzero((key[:-d] == key[d:]) & small[:-d])
-            if not len(i):
-                break
-            ok = _differing(c0, c1, i, i + d) <= _allowed(n, i, i + d, t)
-            i_all.append(i[ok])
-            j_all.append(i[ok] + d)
-        for s, m in zip(starts[sizes > LEAF], sizes[sizes > LEAF]):
-            i, j = trie_pairs(c0[s : s + m], c1[s : s + m], n[s : s + m], t)
-            i_all.append(i + s)
-            j_all.append(j + s)
-        i, j = (np.concatenate(x) if x else np.zeros(0, int) for x in (i_all, j_all))
-        fits = np.minimum(n[i], n[j]) >= t * np.maximum(n[i], n[j]) - 1e-9
+        ends = np.r_[starts[1:], len(key)]
+        many = ends - starts > 1
+        i, j = trie_pairs(starts[many], ends[many], c0, c1, n.astype(np.int64), gone.astype(np.int64), t)
+        fits = (np.minimum(n[i], n[j]) >= t * np.maximum(n[i], n[j]) - 1e-9) & (ck[i] != ck[j]) & ((tile[i] < 0) | (tile[i] != tile[j]))
         i, j = i[fits], j[fits]
-        # pairs met in several buckets of one call leave once
-        rep = table.column("rep").combine_chunks().dictionary_encode()
-        r = rep.indices.to_numpy()
-        a, b = np.minimum(r[i], r[j]).astype(np.int64), np.maximum(r[i], r[j]).astype(np.int64)
-        met = np.unique(a * len(rep.dictionary) + b) if len(a) else np.zeros(0, np.int64)
-        names = rep.dictionary
-        if not len(met):
+        if not len(i):
             return None
-        x, y = names.take(pa.array(met // len(names))), names.take(pa.array(met % len(names)))
-        return pa.RecordBatch.from_arrays([x, y], names=["a", "b"])
+        # pairs met below several nodes of one call leave once
+        both = np.unique(np.stack([np.minimum(ck[i], ck[j]), np.maximum(ck[i], ck[j])]), axis=1)
+        return pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], names=["a", "b"])
 
     def run(batches):
         held: list = []
+        rows = 0
         for batch in batches:
             if not batch.num_rows:
                 continue
             held.append(batch)
-            if sum(b.num_rows for b in held) < 200_000:
+            rows += batch.num_rows
+            if rows < ROWS:
                 continue
             table = pa.Table.from_batches(held).combine_chunks()
-            key = table.column("band_key").to_numpy()
+            key = table.column("node").to_numpy()
             last = int(np.searchsorted(key, key[-1], "left"))
-            if last:  # the last bucket may go on in the next batch
+            if last:  # the last node may go on in the next batch
                 if (out := pairs_of(table.slice(0, last).combine_chunks())) is not None:
                     yield out
             held = table.slice(last).combine_chunks().to_batches()
+            # a node above ROWS waits until as much again has come
+            rows = sum(b.num_rows for b in held) // 2
         if held:
             if (out := pairs_of(pa.Table.from_batches(held).combine_chunks())) is not None:
                 yield out
@@ -188,20 +303,42 @@ def word_sets(entities: DataFrame) -> DataFrame:
 
 def classes(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(entity_id, ck) of every record, and one row (ck, rep, copies, hashes) of each class of equal sets."""
-    keyed = sets.withColumn("ck", F.xxhash64("hashes", F.size("hashes")))
+    keyed = cut(sets.withColumn("ck", F.xxhash64("hashes", F.size("hashes"))))
     whole = keyed.groupBy("ck").agg(F.min("entity_id").alias("rep"), F.count("*").alias("copies"), F.first("hashes").alias("hashes"))
-    return keyed.select("entity_id", "ck"), whole
+    return keyed.select("entity_id", "ck"), cut(whole)
+
+
+def candidate_pairs(whole: DataFrame, threshold: float) -> DataFrame:
+    """(a, b): the keys of classes whose codes stay within their Hamming budget, each pair once."""
+    spark = whole.sparkSession
+    sets = whole.select("ck", "hashes")
+    often = _counters(sets, "word", threshold)
+    hot = _counters(sets, "first", threshold, ship(spark, (often, None))) > HOT
+    filled = _counters(sets, "second", threshold, ship(spark, (often, hot))) if hot.any() else None
+    rows = sets.mapInArrow(_nodes(threshold, ship(spark, (often, hot, filled))), NODES)
+    if hot.any():
+        # a tile meets every tile of its node, once
+        own = F.pmod(F.xxhash64("ck"), F.col("tiles")).cast("int")
+        rows = rows.withColumn("own", own).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+        one = (F.col("tiles") == 1) | (F.col("own") == F.col("o"))
+        node = F.when(F.col("tiles") == 1, F.col("node")).otherwise(F.xxhash64("node", F.least("own", "o"), F.greatest("own", "o")))
+        # rows of two tiles that meet: only pairs across count, pairs inside a tile are the tile's own task
+        rows = rows.select(node.alias("node"), "ck", "n", "gone", "c0", "c1", F.when(one, -1).otherwise(F.col("own")).alias("tile"))
+    else:
+        rows = rows.drop("tiles").withColumn("tile", F.lit(-1))
+    met = rows.repartition("node").sortWithinPartitions("node").mapInArrow(_joined(threshold), "a bigint, b bigint")
+    return met.distinct()
 
 
 def class_links(whole: DataFrame, threshold: float = 0.7) -> DataFrame:
     """(a, b, na, nb, similarity): the representatives of different classes whose word sets overlap by ``threshold`` or more, and the records of both."""
-    banded = whole.select("rep", "hashes").mapInArrow(_sketch, "band_key bigint, rep string, n int, c0 bigint, c1 bigint")
-    met = banded.repartition("band_key").sortWithinPartitions("band_key").mapInArrow(_bucket_join(threshold), "a string, b string")
-    cand = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    one = whole.select(F.col("rep").alias("a"), F.col("hashes").alias("ha"), F.col("copies").alias("na"))
-    two = whole.select(F.col("rep").alias("b"), F.col("hashes").alias("hb"), F.col("copies").alias("nb"))
+    cand = candidate_pairs(whole, threshold)
+    one = whole.select(F.col("ck").alias("a"), F.col("rep").alias("ra"), F.col("hashes").alias("ha"), F.col("copies").alias("na"))
+    two = whole.select(F.col("ck").alias("b"), F.col("rep").alias("rb"), F.col("hashes").alias("hb"), F.col("copies").alias("nb"))
     common = F.size(F.array_intersect("ha", "hb"))
-    exact = cand.join(one, "a").join(two, "b").select("a", "b", "na", "nb", common.alias("c"), (F.size("ha") + F.size("hb")).alias("s"))
+    turned = F.col("ra") > F.col("rb")
+    exact = cand.join(one, "a").join(two, "b").select(
+        F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b"), F.when(turned, F.col("nb")).otherwise(F.col("na")).alias("na"), F.when(turned, F.col("na")).otherwise(F.col("nb")).alias("nb"), common.alias("c"), (F.size("ha") + F.size("hb")).alias("s"))
     # whole numbers decide: c / (s - c) >= threshold
     return exact.filter(F.col("c") >= F.lit(threshold) * (F.col("s") - F.col("c")) - F.lit(1e-9)).select("a", "b", "na", "nb", (F.col("c") / (F.col("s") - F.col("c"))).alias("similarity"))
 
@@ -213,9 +350,7 @@ def _blocks(copies: str) -> Column:
 
 def near_pairs(entities: DataFrame, threshold: float = 0.7, expand: int | None = None) -> DataFrame:
     """(entity_id_a, entity_id_b), smaller id first, of records whose word sets overlap by ``threshold`` or more."""
-    from plenum.runtime import cut
-
-    member, whole = classes(cut(word_sets(entities)))
+    member, whole = classes(word_sets(entities))
     links = class_links(whole, threshold).select("a", "b", "na", "nb")
     group = member.join(whole.select("ck", "rep", "copies"), "ck").select("entity_id", "rep", "copies")
     shown = group if expand is None else group.filter((F.col("copies") <= expand) | (F.col("entity_id") == F.col("rep")))
@@ -237,9 +372,7 @@ def near_pairs(entities: DataFrame, threshold: float = 0.7, expand: int | None =
 
 def near_classes(entities: DataFrame, threshold: float = 0.7) -> DataFrame:
     """(entity_id, class_id, copies, links): each record's class of equal word sets and how many other classes are near it."""
-    from plenum.runtime import cut
-
-    member, whole = classes(cut(word_sets(entities)))
+    member, whole = classes(word_sets(entities))
     links = class_links(whole, threshold)
     ends = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("links"))
     group = member.join(whole.select("ck", "rep", "copies"), "ck").join(ends, "rep", "left")

@@ -36,8 +36,20 @@ def found(spark, rows, **kw):
 
 def test_against_all_pairs(spark):
     rows = records()
-    want, got = brute(rows), found(spark, rows)
-    assert got <= want and len(got) >= 0.99 * len(want) and len(want) > 100
+    assert found(spark, rows) == brute(rows) and len(brute(rows)) > 100
+
+
+def test_hot_nodes_lose_nothing(spark, monkeypatch):
+    # few words, and one that begins a third of all sets: split by the next word, then cut into tiles
+    rng = random.Random(4)
+    rows = [(f"e{i:04d}", "Name", " ".join(["head"] * (i % 3 == 0) + rng.sample([f"w{k}" for k in range(14)], 10)), None, "x", "y") for i in range(300)]
+    want = brute(rows)
+    for hot, tile in ((20, 10), (60, 1000), (20, 1000)):
+        monkeypatch.setattr(near_copies, "HOT", hot)
+        monkeypatch.setattr(near_copies, "TILE", tile)
+        assert found(spark, rows) == want
+    monkeypatch.setattr(near_copies, "ROWS", 50)
+    assert found(spark, rows) == want and len(want) > 1000
 
 
 def test_trie_equals_all_pairs():
@@ -46,16 +58,22 @@ def test_trie_equals_all_pairs():
     codes = np.repeat(base, 12, axis=0)
     for _ in range(6):
         codes[:, rng.integers(2)] ^= np.uint64(1) << rng.integers(0, 64, len(codes)).astype(np.uint64)
-    n = rng.integers(20, 60, len(codes)).astype(np.int64)
-    i, j = near_copies.trie_pairs(codes[:, 0], codes[:, 1], n, 0.7)
+    codes = codes[np.lexsort((codes[:, 1], codes[:, 0]))]
+    n, gone = rng.integers(20, 60, len(codes)).astype(np.int64), rng.integers(0, 4, len(codes)).astype(np.int64)
+    half = len(codes) // 2
+    seen = []
+    i, j = near_copies.trie_pairs(np.array([0, half]), np.array([half, len(codes)]), codes[:, 0], codes[:, 1], n, gone, 0.7, seen)
     got = {tuple(sorted(p)) for p in zip(i.tolist(), j.tolist())}
     want = set()
     for a in range(len(codes)):
         for b in range(a + 1, len(codes)):
             bits = int(codes[a, 0] ^ codes[b, 0]).bit_count() + int(codes[a, 1] ^ codes[b, 1]).bit_count()
-            if bits <= int(0.3 / 1.7 * (n[a] + n[b]) + 1e-9):
+            if (a < half) == (b < half) and bits + gone[a] + gone[b] <= int(0.3 / 1.7 * (n[a] + n[b]) + 1e-9):
                 want.add((a, b))
     assert got == want and want
+    # the budget prunes: far fewer codes are compared than there are pairs
+    met, pruned, compared = seen[0]
+    assert pruned > 40 and compared < 0.3 * half * half
 
 
 def test_copies_expand_or_star(spark):
