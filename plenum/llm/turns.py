@@ -1,15 +1,20 @@
 """Speech transcripts into clean speaker turns.
 
-1. Text: time marks, annotations and speaker labels at a sentence's head are told from speech, fillers are classified
-   token by token (the hesitations always, "you know" and "I mean" as set phrases); a sentence with no word left does not count.
+1. Text: time marks, annotations and speaker labels at a sentence's head are told from speech. Fillers are classified token
+   by token: boosted trees judge a word or phrase by how it stands (set off by marks before or after it, how often words of
+   its form are), not by what it is; they learn from the hesitations of a fixed list against all other
+   words, and judge the hesitations and set phrases in each context. A sentence with no word left does not count.
 2. Labels: block labels and head labels are normalised by ``names.Registry``; a head label holds until the next or the block's end.
 3. Order: spoken second, block, sentence; a sentence without time takes the time of the one before it in its block
    (the first: of the next; a block without any: of the block before).
-4. Boundaries: gradient-boosted trees decide for each two adjacent sentences whether a turn ends between them, from
-   labels, gaps and context. They are trained on at most ``TRAIN_PAIRS`` adjacent pairs (smallest hashes) whose speakers
-   are certain, a part of them disguised as uncertain, and scored as one SQL expression.
+4. Boundaries: gradient-boosted trees give each two adjacent sentences log-odds that a turn ends between them, from the labels
+   as they are typed (equal, alike, surname, initials, kind), gaps and context (block, head label, the label two sentences
+   back, a question before). They never see whom the registry finds, which is what they are trained on: at most
+   ``TRAIN_PAIRS`` adjacent pairs (smallest hashes) whose speakers it knows. The registry's finding joins as further log-odds
+   of ``KNOWN``, which outweigh the trees; where it does not know one of the speakers, the trees decide alone.
 
-Scale: one shuffle by block, one by agenda item; sentences never leave the JVM but for distinct labels.
+Scale: one shuffle by block, one by agenda item; sentences never leave the JVM but for distinct labels. The filler model is
+fitted on counts of the ``FORMS`` most frequent word forms.
 
 Defined results
 * null, empty and filler-only texts do not count; sentences delivered again count once (smallest delivery time);
@@ -19,6 +24,8 @@ Defined results
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -27,9 +34,14 @@ from plenum.llm.names import Registry
 from plenum.runtime import cut
 
 TRAIN_PAIRS, TREES, DEPTH = 20_000, 24, 3
-
-#: Hesitations and set phrases that are fillers.
-FILLERS = r"(?:um+|uh+|er+|erm+|ah+|hm+|mhm+|eh|you know|i mean)"
+#: Log-odds of what the registry knows: more than all trees together can give.
+KNOWN = 40.0
+#: Word forms that the filler model is fitted on, the most frequent ones.
+FORMS = 2000
+
+#: Hesitations, and set phrases that may be fillers.
+HESITATIONS, PHRASES = r"um+|uh+|er+|erm+|ah+|hm+|mhm+|eh", ["you know", "i mean"]
+FILLERS = rf"(?:{HESITATIONS}|{'|'.join(PHRASES)})"
 _CLOCK = r"\d{1,2}:\d{2}(?::\d{2})?(?:\.\d+)?"
 _SPELT = r"(?:\d+\s?h\s?)?\d+\s?m\s?\d+(?:\.\d+)?\s?s"
 TIME_MARK = rf"(?:\[\s*(?:{_CLOCK}|{_SPELT})\s*\]|\(\s*(?:{_CLOCK}|{_SPELT})\s*\)|\b(?:{_CLOCK})(?:\s+(?:-|–|-->)(?=\s))?)"
@@ -54,15 +66,84 @@ def _without(text: Column, *patterns: str) -> Column:
     return text
 
 
-def clean(text: Column) -> Column:
-    """``text`` without time marks, annotations and fillers, white space and stray commas tidied."""
+def clean(text: Column, fillers: str = FILLERS) -> Column:
+    """``text`` without time marks, annotations and ``fillers``, white space and stray commas tidied."""
     t = _without(text, TIME_MARK, ANNOTATION)
-    t = F.regexp_replace(t, rf"(?i)(?<![\p{{L}}\p{{N}}'’]){FILLERS}(?![\p{{L}}\p{{N}}'’])(?:\.\.\.|…|,|\s+—)?", " ")
+    t = F.regexp_replace(t, rf"(?i)(?<![\p{{L}}\p{{N}}'’]){fillers}(?![\p{{L}}\p{{N}}'’])(?:\.\.\.|…|,|\s+—)?", " ")
     t = F.regexp_replace(t, r"\s+", " ")
     t = F.regexp_replace(t, r"\s+([,.;:!?])", "$1")
     return F.trim(F.regexp_replace(t, r"^[\s,;.…—-]+", ""))
 
 
+_MARK = "[,.;:!?…—-]"
+
+
+def _units(text: Column) -> Column:
+    """The words of ``text``, and its set phrases, as structs (form, before, after): set off by a mark before, after?"""
+    words = F.filter(F.split(F.lower(_without(text, TIME_MARK, ANNOTATION)), r"\s+"), lambda w: w != "")
+    at = lambda i: F.coalesce(F.get(words, i), F.lit("."))
+    bare = lambda w: F.regexp_replace(w, r"[^\p{L}'’]", "")
+    unit = lambda form, i, j: F.struct(form.alias("form"), F.when(i == 0, True).otherwise(at(i - 1).rlike(f"{_MARK}$")).alias("before"), (at(j).rlike(f"{_MARK}$") | F.get(words, j + 1).isNull() | at(j + 1).rlike("^[—–-]+$")).alias("after"))
+    single = F.transform(words, lambda w, i: unit(bare(w), i, i))
+    double = F.filter(F.transform(words, lambda w, i: unit(F.concat(bare(w), F.lit(" "), bare(at(i + 1))), i, i + 1)), lambda u: u["form"].isin(PHRASES))
+    return F.concat(single, double)
+
+
+class FillerModel:
+    """Boosted trees on how words stand; ``pattern`` is the regular expression of all that they take for fillers."""
+
+    #: What holds without any data: what is mostly set off is a filler, what mostly is not is a word.
+    PRIOR = [(b, a, share, share / 3, y) for b in (0, 1) for a in (0, 1) for share, y in ((0.5, 1), (0.9, 1), (0.05, 0), (0.0, 0))]
+
+    def __init__(self, rows: list[tuple]):
+        """``rows``: (form, n, n of those set off only before, only after, on both sides)."""
+        x, y, w = [r[:-1] for r in self.PRIOR], [r[-1] for r in self.PRIOR], [3.0] * len(self.PRIOR)
+        self.forms: dict[str, list[list[float]]] = {}
+        for form, n, nb, na, nba in rows:
+            if not form:
+                continue
+            counts = {(0, 0): n - nb - na - nba, (1, 0): nb, (0, 1): na, (1, 1): nba}
+            about = [(na + nba + 1) / (n + 4), (nb + nba + 1) / (n + 4)]
+            self.forms[form] = [[b, a, *about] for b, a in counts]
+            if form not in PHRASES:
+                for (b, a), k in counts.items():
+                    if k:
+                        x.append((b, a, *about))
+                        y.append(int(re.fullmatch(HESITATIONS, form) is not None))
+                        w.append(float(min(k, 200)))
+        self.trees = BoostedTrees(np.array(x, float), np.array(y, float), np.array(w), trees=12)
+
+    def is_filler(self, form: str, before: bool, after: bool) -> bool:
+        """A form that was never counted is judged as one that is set off every other time."""
+        seen = self.forms.get(form) or [[b, a, 0.5, 0.2] for b in (0, 1) for a in (0, 1)]
+        row = next(r for r in seen if (r[0], r[1]) == (int(before), int(after)))
+        return bool(self.trees.score(np.array([row], float))[0] > 0)
+
+    def pattern(self) -> str:
+        ahead = {True: rf"(?=\s*(?:{_MARK}|$))", False: rf"(?!\s*(?:{_MARK}|$))"}
+        behind = {True: rf"(?<=^\s{{0,3}}|{_MARK}\s{{0,3}})", False: rf"(?<!^\s{{0,3}}|{_MARK}\s{{0,3}})"}
+        known = [f for f in self.forms if re.fullmatch(HESITATIONS, f)]
+        parts = []
+        for shape, forms in [(HESITATIONS, known or ["um"])] + [(p, [p]) for p in PHRASES]:
+            yes = [(b, a) for b in (False, True) for a in (False, True) if 2 * sum(self.is_filler(f, b, a) for f in forms) >= len(forms)]
+            if len(yes) == 4:
+                parts.append(f"(?:{shape})")
+            else:
+                parts += [f"{behind[b]}(?:{shape}){ahead[a]}" for b, a in yes]
+        # a pattern that nothing meets, if nothing is a filler
+        return f"(?:{'|'.join(parts)})" if parts else r"(?!)"
+
+
+def filler_model(scanned: DataFrame) -> FillerModel:
+    """The filler classifier of the sentences of ``scanned``: one count of all words' contexts, of which ``FORMS`` forms reach the driver."""
+    units = scanned.select(F.explode(_units(F.col("_t"))).alias("u")).select("u.*")
+    told = lambda b, a: F.count(F.when((F.col("before") == b) & (F.col("after") == a), 1))
+    per = units.groupBy("form").agg(F.count("*").alias("n"), told(True, False).alias("nb"), told(False, True).alias("na"), told(True, True).alias("nba"))
+    candidate = F.col("form").isin(PHRASES) | F.col("form").rlike(f"^({HESITATIONS})$")
+    rows = per.orderBy(F.desc(candidate), F.desc("n"), "form").limit(FORMS).collect()
+    return FillerModel(sorted(tuple(r) for r in rows))
+
+
 def _scanned(sentences: DataFrame) -> DataFrame:
     """Each sentence once, with its second, a possible head label and what follows it."""
     cols = ["block_id", "session_id", "agenda_item_index", "speech_block_index", "sentence_index", "start_time", "text"]
@@ -78,7 +159,7 @@ def _scanned(sentences: DataFrame) -> DataFrame:
 
 # gradient-boosted trees -------------------------------------------------------------------------------------------------
 
-FEATURES = ["same", "known", "surname", "initial", "kind", "block", "gap", "label"]
+FEATURES = ["label_equal", "label_alike", "surname", "initial", "kind_same", "block", "gap", "label_here", "back", "asked"]
 
 
 class BoostedTrees:
@@ -136,30 +217,25 @@ class BoostedTrees:
 
 
 def _prior() -> tuple[np.ndarray, np.ndarray]:
-    """What holds without any data: known speakers part where they differ; uncertain ones where their names don't fit."""
+    """What holds without any data: a turn goes on where labels are equal, or surname and initials fit."""
     x, y = [], []
-    for same in (0, 1):
-        for known in (0, 1):
-            for surname in (0, 1):
-                for initial in (0, 1):
-                    for kind in (0, 1):
-                        for block in (0, 1):
-                            x.append([same, known, surname, initial, kind, block, 5, 0])
-                            y.append(0 if same or (not known and surname and initial) else 1)
+    for equal in (0, 1):
+        for surname in (0, 1):
+            for initial in (0, 1):
+                for kind in (0, 1):
+                    for block in (0, 1):
+                        x.append([equal, 1.0 if equal else 0.3, surname, initial, kind, block, 5, 0, 0, 0])
+                        y.append(0 if equal or (surname and initial) else 1)
     return np.array(x, float), np.array(y, float)
 
 
 def boundary_model(pairs: DataFrame) -> BoostedTrees:
-    """Trees trained on a bounded sample of certain ``pairs`` (features, certain, raw_same, differ), half of them disguised as uncertain."""
-    rows = pairs.filter("certain").orderBy(F.xxhash64("sentence_id"), "sentence_id").limit(TRAIN_PAIRS).select(*[F.col(f).cast("double") for f in FEATURES], F.col("raw_same").cast("double"), F.col("differ").cast("double"), F.pmod(F.xxhash64("sentence_id", F.lit(1)), F.lit(2)).cast("double")).toPandas().to_numpy(float)
-    px, py = _prior()
-    x, y, w = px, py, np.full(len(py), 0.5)
+    """Trees trained on a bounded sample of ``pairs`` (features, certain, differ) whose speakers the registry knows."""
+    rows = pairs.filter("certain").orderBy(F.xxhash64("sentence_id"), "sentence_id").limit(TRAIN_PAIRS).select(*[F.col(f).cast("double") for f in FEATURES], F.col("differ").cast("double")).toPandas().to_numpy(float)
+    x, y = _prior()
+    w = np.full(len(y), max(0.5, 0.0005 * len(rows)))
     if len(rows):
-        own = rows[:, : len(FEATURES)].copy()
-        hide = rows[:, -1] == 1
-        own[hide, 0], own[hide, 1] = rows[hide, len(FEATURES)], 0
-        x, y = np.vstack([x, own]), np.r_[y, rows[:, len(FEATURES) + 1]]
-        w = np.r_[np.full(len(py), max(0.5, 0.002 * len(own))), np.ones(len(own))]
+        x, y, w = np.vstack([x, rows[:, :-1]]), np.r_[y, rows[:, -1]], np.r_[w, np.ones(len(rows))]
     return BoostedTrees(x, y, w)
 
 
@@ -176,7 +252,8 @@ def labelled(sentences: DataFrame, blocks: DataFrame, speakers: DataFrame) -> Da
     known = reg.resolve(uses.select("label", "session_id"))
     surnames = reg.people.select(F.col("s").alias("_s"), F.lit(True).alias("real")).distinct()
     known = known.join(surnames, F.col("s") == F.col("_s"), "left")
-    key = F.struct("who", "form", "kind", "s", F.substring(F.coalesce("inits", F.lit("")), 1, 1).alias("init"))
+    # the label as it is typed, but for case and white space
+    key = F.struct("who", "form", "kind", "s", F.substring(F.coalesce("inits", F.lit("")), 1, 1).alias("init"), F.lower(F.trim(F.regexp_replace("label", r"\s+", " "))).alias("typed"))
     known = cut(known.select("label", "session_id", key.alias("key"), F.coalesce("real", F.lit(False)).alias("real")))
     names = lambda pre: known.select(F.col("label").alias(f"{pre}_l"), F.col("session_id").alias(f"{pre}_i"), F.col("key").alias(f"{pre}_key"), F.col("real").alias(f"{pre}_real"))
     on = lambda pre, col: F.col(col).eqNullSafe(F.col(f"{pre}_l")) & F.col("session_id").eqNullSafe(F.col(f"{pre}_i"))
@@ -186,11 +263,11 @@ def labelled(sentences: DataFrame, blocks: DataFrame, speakers: DataFrame) -> Da
     nobody = (F.col("h_key.kind") == "nobody") & F.col("head").rlike(r"\p{L}{2}")
     accepted = F.coalesce(F.col("h_key").isNotNull() & (named | shaped | nobody | (F.col("marked") & F.col("h_key.kind").isin("person", "org", "office"))), F.lit(False))
     df = df.withColumn("label", accepted).withColumn("h_key", F.when(accepted, F.col("h_key")))
-    words = clean(F.when(accepted, F.coalesce("rest", F.lit(""))).otherwise(F.col("_t")))
+    words = clean(F.when(accepted, F.coalesce("rest", F.lit(""))).otherwise(F.col("_t")), filler_model(scanned).pattern())
     df = df.withColumn("clean_text", words)
     inside = Window.partitionBy("session_id", "block_id").orderBy("sentence_index", "sentence_id")
     back, ahead = inside.rowsBetween(Window.unboundedPreceding, 0), inside.rowsBetween(0, Window.unboundedFollowing)
-    nobody_key = F.struct(F.lit(None).cast("string").alias("who"), F.lit("nobody").alias("form"), F.lit("nobody").alias("kind"), F.lit(None).cast("string").alias("s"), F.lit("").alias("init"))
+    nobody_key = F.struct(F.lit(None).cast("string").alias("who"), F.lit("nobody").alias("form"), F.lit("nobody").alias("kind"), F.lit(None).cast("string").alias("s"), F.lit("").alias("init"), F.lit("").alias("typed"))
     df = df.withColumn("key", F.coalesce(F.last("h_key", True).over(back), F.col("b_key"), nobody_key))
     df = df.withColumn("sec", F.coalesce(F.last("sec", True).over(back), F.first("sec", True).over(ahead)))
     item = Window.partitionBy("session_id", "agenda_item_index").orderBy("speech_block_index", "sentence_index", "sentence_id").rowsBetween(Window.unboundedPreceding, 0)
@@ -200,32 +277,31 @@ def labelled(sentences: DataFrame, blocks: DataFrame, speakers: DataFrame) -> Da
 
 
 def _pairs(df: DataFrame) -> DataFrame:
-    """``df`` with the features of each sentence and the one before it in its agenda item."""
+    """``df`` with the features of each sentence and the one before it in its agenda item, and what the registry says of the two."""
     order = Window.partitionBy("session_id", "agenda_item_index").orderBy("sec", "speech_block_index", "sentence_index", "sentence_id")
-    fields = ["who", "form", "kind", "s", "init", "block_id", "sec"]
-    df = df.withColumn("_p", F.lag(F.struct(*fields)).over(order))
+    fields = ["who", "form", "kind", "s", "init", "typed", "block_id", "sec", F.col("clean_text").rlike(r"\?\W*$").alias("asks")]
+    df = df.withColumn("_p", F.lag(F.struct(*fields)).over(order)).withColumn("_pp", F.lag("typed", 2).over(order))
     fixed = lambda who, kind: F.col(who).isNotNull() | F.col(kind).isin("presiding", "nobody", "number", "office")
     key = lambda pre: F.coalesce(F.col(f"{pre}who"), F.col(f"{pre}form"))
     fits = (F.col("s") == F.col("_p.s")) & ((F.col("init") == F.col("_p.init")) | (F.col("init") == "") | (F.col("_p.init") == ""))
-    certain = fixed("who", "kind") & fixed("_p.who", "_p.kind")
+    certain = F.coalesce(fixed("who", "kind") & fixed("_p.who", "_p.kind"), F.lit(False)) & F.col("_p").isNotNull()
     num = lambda c: F.coalesce(c, F.lit(False)).cast("int")
     same_office = (F.col("kind") == F.col("_p.kind")) & F.col("kind").isin("presiding", "nobody")
+    longest = F.greatest(F.length("typed"), F.length("_p.typed"))
     return df.withColumns({
-        "first": F.col("_p").isNull(), "certain": F.coalesce(certain, F.lit(False)) & F.col("_p").isNotNull(),
-        "same": num((key("") == key("_p.")) | same_office), "known": num(certain), "raw_same": num((F.col("form") == F.col("_p.form")) | same_office), "differ": 1 - num((key("") == key("_p.")) | same_office),
+        "first": F.col("_p").isNull(), "certain": certain, "differ": 1 - num((key("") == key("_p.")) | same_office),
+        "label_equal": num(F.col("typed") == F.col("_p.typed")), "label_alike": F.when(longest > 0, 1 - F.levenshtein("typed", "_p.typed") / longest).otherwise(F.lit(1.0)),
         "surname": num(F.col("s") == F.col("_p.s")), "initial": num(fits), "kind_same": num(F.col("kind") == F.col("_p.kind")), "block": num(F.col("block_id") == F.col("_p.block_id")),
-        "gap": F.coalesce(F.col("sec") - F.col("_p.sec"), F.lit(0)), "label_here": num(F.col("label"))})
+        "gap": F.coalesce(F.col("sec") - F.col("_p.sec"), F.lit(0)), "label_here": num(F.col("label")), "back": num(F.col("typed") == F.col("_pp")), "asked": num(F.col("_p.asks"))}).drop("_p", "_pp")
 
 
-def turn_sentences(sentences: DataFrame, blocks: DataFrame, speakers: DataFrame) -> DataFrame:
-    """Every sentence that counts with the number of its ``turn`` inside its agenda item."""
+def turn_sentences(sentences: DataFrame, blocks: DataFrame, speakers: DataFrame, known: float = KNOWN) -> DataFrame:
+    """Every sentence that counts with the number of its ``turn`` inside its agenda item; ``known`` 0 leaves all to the trees."""
     df = cut(_pairs(labelled(sentences, blocks, speakers)))
-    shown = df.withColumnsRenamed({"kind": "kind_name", "label": "_label"}).withColumnsRenamed({"kind_same": "kind", "label_here": "label"})
-    model = boundary_model(shown)
-    cols = ["same", "known", "surname", "initial", "kind_same", "block", "gap", "label_here"]
-    ends = F.when(F.col("first"), F.lit(1)).otherwise((F.expr(model.sql(cols)) > 0).cast("int"))
+    odds = F.expr(boundary_model(df).sql(FEATURES)) + F.when(F.col("certain"), known * (2 * F.col("differ") - 1)).otherwise(0.0)
+    df = df.withColumn("ends", F.when(F.col("first"), F.lit(1)).otherwise((odds > 0).cast("int")))
     order = Window.partitionBy("session_id", "agenda_item_index").orderBy("sec", "speech_block_index", "sentence_index", "sentence_id")
-    return df.withColumn("ends", ends).withColumn("turn", F.sum("ends").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    return df.withColumn("turn", F.sum("ends").over(order.rowsBetween(Window.unboundedPreceding, 0)))
 
 
 def turns(sentences: DataFrame, blocks: DataFrame, speakers: DataFrame) -> DataFrame:

@@ -69,3 +69,25 @@ def test_boosted_trees_learn_and_score_alike(spark):
     assert ((held > 0) == (y[3000:] == 1)).mean() > 0.98
     df = spark.createDataFrame([tuple(map(float, r)) for r in x[3000:3100]], "a double, b double, c double, d double")
     assert np.allclose([r[0] for r in df.selectExpr(m.sql(["a", "b", "c", "d"])).collect()], held[:100])
+
+
+def test_fillers_are_judged_by_how_they_stand():
+    # hesitations are set off most of the time, words seldom; one phrase is used like the ones, the other like the others
+    rows = [(f, 1000, 100, 500, 60) for f in ("um", "uh", "er", "erm", "ah")] + [(f"word{c}", 1000, 60, 50, 3) for c in "abcdefgh"] + [("you know", 400, 40, 190, 30), ("i mean", 400, 24, 16, 1)]
+    m = turns.FillerModel(rows)
+    assert m.is_filler("you know", False, True) and m.is_filler("uh", False, False) and not m.is_filler("i mean", False, False) and not m.is_filler("worda", True, True)
+    assert "you know" in m.pattern() and m.pattern().count("i mean") < 4
+    # without data the list holds
+    assert turns.FillerModel([]).is_filler("um", False, True) and turns.FillerModel([]).is_filler("you know", True, True)
+
+
+def test_units_know_their_marks(spark):
+    got = spark.createDataFrame([("Well, um, we — you know — [noise] agree",)], "t string").select(F.explode(turns._units(F.col("t"))).alias("u")).select("u.*").collect()
+    assert [tuple(r) for r in got if r["form"] in ("um", "we", "you know", "agree")] == [("um", True, True), ("we", True, True), ("agree", True, True), ("you know", True, True)]
+
+
+def test_trees_decide_where_the_registry_does_not(spark):
+    # nobody of these is registered: equal labels and fitting initials go on, others end the turn
+    rows = [(0, 0, "0m1s", "a."), (1, 0, "0m5s", "b."), (2, 0, "0m9s", "c."), (3, 0, "0m12s", "d.")]
+    labels = {0: "Zebulon Quorn", 1: "Z. Quorn", 2: "Mathilda Brack", 3: "Mathilda Brack"}
+    assert ends(spark, rows, labels) == [(0, 1), (2, 3)]
