@@ -93,7 +93,7 @@ class FillerModel:
     """Boosted trees on how words stand; ``pattern`` is the regular expression of all that they take for fillers."""
 
     #: What holds without any data: what is mostly set off is a filler, what mostly is not is a word.
-    PRIOR = [(b, a, share, share / 3, y) for b in (0, 1) for a in (0, 1) for share, y in ((0.5, 1), (0.9, 1), (0.05, 0), (0.0, 0))]
+    PRIOR = [(b, a, share, share / 2, share / 3, y) for b in (0, 1) for a in (0, 1) for share, y in ((0.5, 1), (0.9, 1), (0.05, 0), (0.0, 0))]
 
     def __init__(self, rows: list[tuple]):
         """``rows``: (form, n, n of those set off only before, only after, on both sides)."""
@@ -103,7 +103,7 @@ class FillerModel:
             if not form:
                 continue
             counts = {(0, 0): n - nb - na - nba, (1, 0): nb, (0, 1): na, (1, 1): nba}
-            about = [(na + nba + 1) / (n + 4), (nb + nba + 1) / (n + 4)]
+            about = [(na + nba + 1) / (n + 4), (nb + nba + 1) / (n + 4), nba / (n + 4)]
             self.forms[form] = [[b, a, *about] for b, a in counts]
             if form not in PHRASES:
                 for (b, a), k in counts.items():
@@ -115,7 +115,7 @@ class FillerModel:
 
     def is_filler(self, form: str, before: bool, after: bool) -> bool:
         """A form that was never counted is judged as one that is set off every other time."""
-        seen = self.forms.get(form) or [[b, a, 0.5, 0.2] for b in (0, 1) for a in (0, 1)]
+        seen = self.forms.get(form) or [[b, a, 0.5, 0.25, 0.2] for b in (0, 1) for a in (0, 1)]
         row = next(r for r in seen if (r[0], r[1]) == (int(before), int(after)))
         return bool(self.trees.score(np.array([row], float))[0] > 0)
 
