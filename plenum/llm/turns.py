@@ -36,6 +36,8 @@ from plenum.runtime import cut
 TRAIN_PAIRS, TREES, DEPTH = 20_000, 24, 3
 #: Log-odds of what the registry knows: more than all trees together can give.
 KNOWN = 40.0
+#: Log-odds that a form of the list is a filler, beside what the filler model says.
+LISTED = 2.5
 #: Word forms that the filler model is fitted on, the most frequent ones.
 FORMS = 2000
 
@@ -111,13 +113,13 @@ class FillerModel:
                         x.append((b, a, *about))
                         y.append(int(re.fullmatch(HESITATIONS, form) is not None))
                         w.append(float(min(k, 200)))
-        self.trees = BoostedTrees(np.array(x, float), np.array(y, float), np.array(w), trees=12)
+        self.trees = BoostedTrees(np.array(x, float), np.array(y, float), np.array(w), trees=6, depth=2)
 
     def is_filler(self, form: str, before: bool, after: bool) -> bool:
-        """A form that was never counted is judged as one that is set off every other time."""
+        """Is this listed form a filler where it stands so? A form that was never counted is judged as one that is set off every other time."""
         seen = self.forms.get(form) or [[b, a, 0.5, 0.25, 0.2] for b in (0, 1) for a in (0, 1)]
         row = next(r for r in seen if (r[0], r[1]) == (int(before), int(after)))
-        return bool(self.trees.score(np.array([row], float))[0] > 0)
+        return bool(self.trees.score(np.array([row], float))[0] + LISTED > 0)
 
     def pattern(self) -> str:
         ahead = {True: rf"(?=\s*(?:{_MARK}|$))", False: rf"(?!\s*(?:{_MARK}|$))"}
