@@ -8,13 +8,16 @@ For each group, field and source the source's preferred record makes its claim.
 * vote of a claim: ln(N A / (1 - A)), times the probability that it was not copied from a source counted before it;
 * posterior of a value: its votes and the prior of its rank, normalised over the values of its group and field.
 
+Aliases have no single true value: each alias of a group is believed or not by itself, from the discounted votes
+ln(A / (1 - A)) of the sources that offer it against a prior of ``ALIAS_PRIOR``.
+
 The prior falls by ``prior`` a rank of the stated preference. With ``strict`` the fall is larger than any sum of votes, so
 that the stated preference decides and the votes only grade it (this is what ``p7_found`` asks for); with a small one
 the evidence can overrule the preference.
 
 Scale: a group may hold a third of all rows, so records are first reduced to one claim a source by a partially
-aggregated minimum; all that follows is as large as groups x fields x sources. Only the sources' pair statistics are
-small tables.
+aggregated minimum; all that follows is as large as groups x fields x sources. The dependences of pairs of sources are
+joined by the pair, whatever their number.
 
 Defined results
 * a group counts if at least two of its ids have a record; ids without record and records in no group are ignored;
@@ -35,6 +38,8 @@ from plenum.runtime import cut
 #: False values assumed for a field, probability that a copier copies a value, and that two sources depend on each other beforehand.
 FALSE_VALUES, COPY_RATE, COPY_PRIOR = 50, 0.8, 0.1
 ROUNDS = 2
+#: Log-odds that an alias is true before any source's vote.
+ALIAS_PRIOR = -1.0
 #: Accuracies stay within these bounds.
 FLOOR, CEILING = 0.05, 0.95
 
@@ -85,8 +90,20 @@ def _dependence(claimed: DataFrame, accuracy: DataFrame) -> DataFrame:
     return df.select("s", "t", (1 / (1 + F.exp(odds))).alias("dep"))
 
 
-def fuse(records: DataFrame, groups: DataFrame, prior: float = 0.5, strict: bool = False) -> DataFrame:
-    """(group_id, field_name, entity_id, value, posterior, votes): the accepted value of each field and the record it comes from."""
+def _free(claimed: DataFrame, dep: DataFrame, item: list[str]) -> DataFrame:
+    """``claimed`` (``item``, source, accuracy, ...) with ``free``: the probability that a claim was not copied from one that counts before it.
+
+    Within an item the more accurate source counts first; each pair of a claim and one before it meets the pair's dependence.
+    """
+    before = Window.partitionBy(*item).orderBy(F.desc("accuracy"), "source").rowsBetween(Window.unboundedPreceding, -1)
+    df = claimed.withColumn("ahead", F.collect_list("source").over(before))
+    pairs = df.select(*item, "source", F.explode("ahead").alias("other")).withColumns({"s": F.least("source", "other"), "t": F.greatest("source", "other")}).join(dep, ["s", "t"])
+    free = pairs.groupBy(*item, "source").agg(F.exp(F.sum(F.log(1 - COPY_RATE * F.col("dep")))).alias("free"))
+    return df.drop("ahead").join(free, [*item, "source"], "left").withColumn("free", F.coalesce("free", F.lit(1.0)))
+
+
+def _fused(records: DataFrame, groups: DataFrame, prior: float, strict: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The accepted values, the sources' accuracies (source, accuracy) and dependences (s, t, dep)."""
     made = cut(claims(records, groups))
     sources = [r[0] for r in made.select("source").distinct().limit(4097).collect()]
     if len(sources) > 4096:
@@ -96,21 +113,15 @@ def fuse(records: DataFrame, groups: DataFrame, prior: float = 0.5, strict: bool
     fall = most if strict else prior
     field = Window.partitionBy("group_id", "field_name")
     # distinct values are ranked by their best claim
-    per_value = Window.partitionBy("group_id", "field_name", "value")
+    item = ["group_id", "field_name", "value"]
+    per_value = Window.partitionBy(*item)
     df = made.withColumn("lead", F.min("pref").over(per_value)).withColumn("rank", F.dense_rank().over(field.orderBy("lead")) - 1)
     accuracy = cut(made.select("source").distinct().withColumn("accuracy", F.lit(0.8)))
     dep = None
     for last in [False] * ROUNDS + [True]:
+        # accuracies: at most 4096 rows
         votes = df.join(F.broadcast(accuracy), "source").withColumn("vote", F.log(FALSE_VALUES * F.col("accuracy") / (1 - F.col("accuracy"))))
-        if dep is None:
-            counted = votes.withColumn("v", F.col("vote"))
-        else:
-            # within one value the more accurate source counts first; a later one counts as far as it did not copy
-            ahead = F.collect_list("source").over(per_value.orderBy(F.desc("accuracy"), "source").rowsBetween(Window.unboundedPreceding, -1))
-            both = dep.select(F.explode(F.expr("array(struct(s AS source, t AS other, dep), struct(t AS source, s AS other, dep))")).alias("p")).select("p.*")
-            known = both.groupBy("source").agg(F.map_from_entries(F.collect_list(F.struct("other", "dep"))).alias("deps"))
-            free = F.expr(f"aggregate(ahead, 1D, (p, o) -> p * (1D - {COPY_RATE}D * coalesce(try_element_at(deps, o), 0D)))")
-            counted = votes.withColumn("ahead", ahead).join(F.broadcast(known), "source", "left").withColumn("v", F.col("vote") * free).drop("ahead", "deps")
+        counted = votes.withColumn("v", F.col("vote")) if dep is None else _free(votes, dep, item).withColumn("v", F.col("vote") * F.col("free")).drop("free")
         scored = counted.withColumn("votes", F.sum("v").over(per_value))
         scored = scored.withColumn("score", F.col("votes") - (F.lit(fall) * F.col("rank") if last else F.lit(min(fall, prior)) * F.col("rank")))
         top = F.max("score").over(field)
@@ -121,13 +132,30 @@ def fuse(records: DataFrame, groups: DataFrame, prior: float = 0.5, strict: bool
         scored = scored.withColumn("posterior", F.col("w") / F.sum(F.when(F.col("first"), F.col("w"))).over(field))
         if last:
             pick = F.row_number().over(field.orderBy(F.desc("score"), "lead"))
-            return scored.filter("first").withColumn("_r", pick).filter("_r = 1").select("group_id", "field_name", "entity_id", "value", "posterior", "votes")
+            won = scored.filter("first").withColumn("_r", pick).filter("_r = 1").select("group_id", "field_name", "entity_id", "value", "posterior", "votes")
+            return won, accuracy, dep
         judged = cut(scored.withColumn("accepted", F.col("score") == top).select("group_id", "field_name", "source", "value", "accepted", "posterior"))
         accuracy = cut(judged.groupBy("source").agg(F.least(F.lit(CEILING), F.greatest(F.lit(FLOOR), F.avg("posterior"))).alias("accuracy")))
         dep = cut(_dependence(judged, accuracy))
     raise AssertionError
 
 
+def fuse(records: DataFrame, groups: DataFrame, prior: float = 0.5, strict: bool = False) -> DataFrame:
+    """(group_id, field_name, entity_id, value, posterior, votes): the accepted value of each field and the record it comes from."""
+    return _fused(records, groups, prior, strict)[0]
+
+
+def fused_aliases(records: DataFrame, groups: DataFrame, prior: float = 0.5) -> DataFrame:
+    """(group_id, alias, n_sources, posterior, accepted): every alias that a group's records offer, case and blanks aside, and whether it is believed."""
+    _, accuracy, dep = _fused(records, groups, prior, False)
+    member = _members(records.select("entity_id", "aliases", "source"), groups)
+    offered = member.select("group_id", F.coalesce("source", F.lit("")).alias("source"), F.explode("aliases").alias("a")).withColumn("alias", F.lower(F.trim(F.regexp_replace("a", r"\s+", " ")))).filter("alias <> ''")
+    once = offered.select("group_id", "alias", "source").distinct().join(F.broadcast(accuracy), "source", "left").withColumn("accuracy", F.coalesce("accuracy", F.lit(0.5)))
+    voted = _free(once, dep, ["group_id", "alias"]).withColumn("v", F.log(F.col("accuracy") / (1 - F.col("accuracy"))) * F.col("free"))
+    per = voted.groupBy("group_id", "alias").agg(F.countDistinct("source").alias("n_sources"), (1 / (1 + F.exp(-(F.sum("v") + ALIAS_PRIOR)))).alias("posterior"))
+    return per.withColumn("accepted", F.col("posterior") > 0.5)
+
+
 def fused_records(records: DataFrame, groups: DataFrame, strict: bool = True) -> DataFrame:
     """One surviving record for each group: group_id, description and its origin, confidence and its origin."""
     won = fuse(records, groups, strict=strict)

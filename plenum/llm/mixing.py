@@ -68,6 +68,12 @@ def _sized(docs: DataFrame, targets: DataFrame) -> tuple[DataFrame, dict]:
     return size, {s: (w or 0.0, have.get(s, 0), r or 0) for s, (w, r) in wanted.items()}
 
 
+def available(docs: DataFrame, targets: DataFrame) -> float:
+    """Tokens of all documents whose source has a target, each counted once."""
+    size = count_tokens(docs.filter("doc_id IS NOT NULL").join(targets.filter("source IS NOT NULL").select("source").distinct(), "source", "left_semi"))
+    return float(size.agg(F.coalesce(F.sum("n_tokens"), F.lit(0))).first()[0])
+
+
 def mixture(docs: DataFrame, targets: DataFrame, total: float | None = None, block: int = 2048, seed: int = 1, _made: tuple | None = None) -> DataFrame:
     """(slot, source, block, place, doc_id, repeat, n_tokens): the mixture in order of ``slot`` and ``place``."""
     size, supply = _made or _sized(docs, targets)

@@ -2,22 +2,26 @@
 
 1. Every distinct spelling is read once: titles, post-nominals, offices and brackets go, reordered parts are put in
    order, initials split; what names an office, a number or nobody is set apart.
-2. Misspelt tokens: a prefix-filtered set-similarity join on the tokens' padded bigrams. Tokens keep only their rarest
-   bigrams (as many as ``EDITS`` edits could spoil, plus one), meet on them, and are verified by edit distance. A rare
-   token may stand for one at least ``TIMES`` as frequent.
-3. Organisations meet on rare tokens and are verified by soft weighted token similarity: each token counts by its
-   inverse frequency, near tokens in part; words that are missing on both sides speak against it (``org_variants``).
-   Spellings become candidates of a person by their corrected surname and are ranked by how the given name is written
-   (fixed ranks, no frequencies). The best one is taken if no other comes close.
-4. What stays open (initials, surnames alone) is settled by who attended the session.
+2. Misspelt tokens: a prefix-filtered set-similarity join on the tokens' padded trigrams. Tokens keep only their rarest
+   trigrams (as many as the edits allowed could spoil, plus one), meet on them, and are verified by edit distance. A token may
+   stand for a more frequent one: for one at least ``TIMES`` as frequent as such, for any other if of the given
+   names that are written with it ``SHARED`` are written with the other as well (for given names: of the surnames).
+3. Short forms of given names are learned from the tables: two given names that stand with one surname in a row and its
+   aliases, or a given name unknown for a surname where one person of that surname attended (``short_forms``).
+4. Candidates are verified by soft weighted token similarity: each token counts by its inverse frequency, so that rare
+   tokens count more, and as far as its partner is like it. Organisations meet on rare tokens; words that are missing on both
+   sides speak against them, initials stand for the words that they begin (``org_variants``). People meet on their corrected
+   surname; what the label says is weighed token by token (``resolve``), and the best one is taken if no other is as good.
+5. What stays open (initials, surnames alone) is settled by who attended the session.
 
 Scale: everything is per distinct spelling or token and joins on tokens, people or sessions; labels go back to their
 blocks by one join. Frequent surnames are no hot group: candidates are bounded by the people of that surname.
 
 Defined results
 * null, empty and wordless labels, numbers, offices and placeholders name nobody;
-* null elements and duplicates among aliases and sessions are ignored; rows repeated under one id count once;
-* a surname alone needs exactly one attending person of that surname; initials that fit several attending people name nobody.
+* null elements and duplicates among aliases and sessions are ignored; of rows repeated under one id the first counts;
+* a surname alone needs exactly one attending person of that surname; initials that fit several attending people name nobody;
+* two or more initials after a word, without a comma, are an organisation's (people's stand before the surname or after a comma).
 """
 
 from __future__ import annotations
@@ -31,9 +35,9 @@ from pyspark.sql import functions as F
 
 from plenum.runtime import cut
 
-EDITS, TIMES = 2, 4
-#: Least similarity of two spellings of one organisation, and how far behind any other one must be.
-ALIKE, CLEAR = 0.75, 0.1
+EDITS, TIMES, SHARED = 2, 4, 0.75
+#: Least similarity of two spellings of one organisation, how far behind any other one must be, and the share of weight in equal words.
+ALIKE, CLEAR, EXACT = 0.75, 0.1, 0.4
 
 #: Titles, post-nominals, words that begin an office, words that mark an organisation.
 TITLES = set("the hon honourable honorable rt right dr mr mrs ms miss mx sir dame lord lady prof professor senator sen rev reverend madam madame mdm mister".split())
@@ -43,24 +47,13 @@ PRESIDING = {"speaker", "president", "chair", "chairman", "chairperson", "chairw
 NOBODY = set("unknown unidentified unnamed inaudible crowd audience several voices voice members member person speaker an name not caught some all honourable hon a male female various gallery public".split())
 ORGANISATION = set("trust company federation association union cooperative chamber council board society institute agency authority corporation limited bank party group commission committee foundation guild league university college".split())
 #: Abbreviations inside names of organisations.
-SHORT = {"fed": "federation", "assoc": "association", "assn": "association", "coop": "cooperative", "co-op": "cooperative", "co": "company", "ltd": "limited", "corp": "corporation", "inst": "institute", "soc": "society", "auth": "authority", "dept": "department", "univ": "university",
-         "fishing": "fish", "fishermen": "fish", "fisheries": "fish", "fishers": "fish"}
-INITIALISMS = {"t.u.": "teachers union", "p.&h.": "port harbour", "p. & h.": "port harbour", "c. of c.": "chamber commerce", "n.a.": "nurses association", "f.c.": "fishing cooperative", "s.f.f.": "small farmers federation", "w.c.": "water company", "w.co.": "water company", "s.f.": "small farmers"}
+SHORT = {"fed": "federation", "assoc": "association", "assn": "association", "coop": "cooperative", "co-op": "cooperative", "co": "company", "ltd": "limited", "corp": "corporation", "inst": "institute", "soc": "society", "auth": "authority", "dept": "department", "univ": "university"}
 SMALL_WORDS = set("the of and for in at on de la limited".split())
-#: Short forms of given names.
-NICKNAMES = {
-    "alden": "al", "alexander": "alex sandy", "andrew": "andy drew", "anthony": "tony ant", "bartholomew": "bart", "benjamin": "ben", "catherine": "cathy kate kitty cat", "charles": "charlie chuck", "christopher": "chris kit",
-    "daniel": "dan danny", "deborah": "debbie deb", "dorothy": "dot dolly dottie", "edward": "ed eddie ned ted", "elizabeth": "betty beth liz lizzie eliza", "esmond": "es", "florine": "flo", "frances": "fran frannie", "francis": "frank",
-    "frederick": "fred freddie", "geraldine": "gerry geri", "george": "geordie", "gloria": "glo", "harold": "harry hal", "henrietta": "etta hettie", "henry": "hank harry", "hubert": "bert hugh", "isabella": "bella izzy", "james": "jim jamie jimmy",
-    "jocelyn": "joss", "john": "jack johnny", "josephine": "josie jo", "joseph": "joe", "katrina": "trina kat", "keturah": "ketty", "lawrence": "larry laurie", "leonard": "len lenny leo", "lionel": "leo", "margaret": "maggie peggy meg madge",
-    "michael": "mike mick", "nathaniel": "nat nate", "nicholas": "nick", "odessa": "dessa", "oliver": "ollie", "patricia": "pat patty trish", "patrick": "pat paddy", "percival": "percy", "peter": "pete", "philippa": "pippa", "quentin": "quin", "quincy": "quin",
-    "raymond": "ray", "richard": "dick rick", "robert": "rob bob bobby robbie", "rosalind": "roz rosie", "rudyard": "rudy", "samuel": "sam sammy", "selwyn": "sel", "stephanie": "steph steffi", "stephen": "steve", "susan": "sue", "thelma": "thel",
-    "theodore": "theo ted", "thomas": "tom tommy", "timothy": "tim timmy", "ulric": "rick", "ursula": "ulla", "victoria": "vicky tori vic", "wendell": "wen", "william": "bill will billy", "winifred": "winnie freda", "yolanda": "yola", "zachary": "zack zac",
-}
-BASES: dict[str, list[str]] = {}
-for _full, _shorts in NICKNAMES.items():
-    for _s in _shorts.split():
-        BASES.setdefault(_s, []).append(_full)
+#: How often a short form must be met, and from where on it need not look like the full one; letters that words of one stem share.
+SUPPORT, PLENTY, ATTENDED, STEM = 2, 6, 4, 4
+#: What a label's token counts for a person: the name itself, a short form of it, its initial; no middle initial known.
+SHORTENED, INITIAL, OPEN = 0.95, 0.8, 0.5
+_INITIALS = re.compile(r"(?<=[^\W\d_]{2})\s+((?:[^\W\d_]\.\s?(?:(?:&|and|of|the)\s?)?){2,})(?=\s|$)")
 
 PARSED = "label string, kind string, given string, inits string, surname string, comma boolean, words array<string>"
 
@@ -96,14 +89,16 @@ def parse(label: str | None) -> tuple:
         return none
     if core[0] in OFFICES:
         return ("office", None, None, None, False, core)
-    # organisations keep what stands in brackets, except a role
-    text = low
-    for short, full in INITIALISMS.items():
-        text = re.sub(rf"(?<![\w.]){re.escape(short)}(?!\w)", f" {full} ", text)
+    # organisations keep what stands in brackets, except a role; initials become one token
+    brief = _INITIALS.search(low) if "," not in low and bare[0] not in TITLES - {"the"} else None
+    if brief and re.sub(r"\W", "", brief[1]) in POSTNOMINALS:
+        brief = None
+    initials = ["=" + "".join(sorted(re.findall(r"([^\W\d_])\.", brief[1])))] if brief else []
+    text = low[: brief.start()] + " " + low[brief.end() :] if brief else low
     words = [w.replace("'", "").replace("’", "") for w in re.findall(r"[^\W\d_]+(?:['’-][^\W\d_]+)*", text)]
     full = [SHORT.get(w, w) for w in words]
-    if any(w in ORGANISATION for w in full) and not (words[0] in TITLES - {"the"}):
-        kept = sorted({_stem(w) for w in full if w not in SMALL_WORDS and w not in POSTNOMINALS})
+    if words and (initials or any(w in ORGANISATION for w in full)) and not (words[0] in TITLES - {"the"}):
+        kept = sorted({_stem(w) for w in full if w not in SMALL_WORDS and w not in POSTNOMINALS} | set(initials))
         return ("org", None, None, None, False, kept)
     s = re.sub(r"\(.*?\)", " ", s)
     parts = [p.strip() for p in s.split(",") if p.strip()]
@@ -155,49 +150,104 @@ def _parse_batches(batches):
 
 def read_labels(labels: DataFrame) -> DataFrame:
     """``labels`` (label, n), distinct, with what each spelling says."""
-    parsed = labels.select("label").mapInArrow(_parse_batches, PARSED)
+    # few bytes, much work: spread over all cores
+    spread = labels.repartition(4 * labels.sparkSession.sparkContext.defaultParallelism, "label")
+    parsed = spread.select("label").mapInArrow(_parse_batches, PARSED)
     return labels.join(parsed, "label").select("label", "n", "kind", "given", "inits", "surname", "comma", "words")
 
 
-def _bigrams(token: Column) -> Column:
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(token) + 1), lambda i: F.concat("role", F.lit(":"), F.substring(F.concat(F.lit("^"), token, F.lit("$")), i, F.lit(2)))))
+def _trigrams(token: Column) -> Column:
+    padded = F.concat(F.lit("^^"), token, F.lit("$$"))
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(token) + 2), lambda i: F.concat("role", F.lit(":"), F.substring(padded, i, F.lit(3)))))
+
+
+def _allowed(token: Column, far: Column, other: Column) -> Column:
+    """Is ``other`` within the edits that a token of this length may have? Swapped letters count as one."""
+    swapped = (F.length(token) == F.length(other)) & (F.array_sort(F.split(token, "")) == F.array_sort(F.split(other, "")))
+    return far <= F.when(F.length(token) >= 6, EDITS).when((F.length(token) >= 4) & swapped, 2).otherwise(1)
 
 
 def token_variants(tokens: DataFrame) -> DataFrame:
-    """(role, token, to, sim): the more frequent tokens that a rare one may be a misspelling of. ``tokens``: role, token, n."""
+    """(role, token, to, n, to_n, far, sim): the more frequent tokens that a token may be a misspelling of. ``tokens``: role, token, n, fixed (no misspelling)."""
     long = tokens.filter("length(token) >= 3")
-    grams = long.select("role", "token", "n", F.explode(_bigrams(F.col("token"))).alias("g"))
+    grams = long.select("role", "token", "n", "fixed", F.explode(_trigrams(F.col("token"))).alias("g"))
     freq = grams.groupBy("g").agg(F.count("*").alias("gn"))
-    # one edit spoils at most three bigrams: what survives EDITS edits shows in the rarest 3 x EDITS + 1
+    # an edit spoils at most three trigrams, swapped letters four: what survives shows in the rarest of one more
     ranked = grams.join(freq, "g").withColumn("r", F.row_number().over(Window.partitionBy("role", "token").orderBy("gn", "g")))
-    prefix = cut(ranked.filter(F.col("r") <= F.when(F.length("token") < 6, 4).otherwise(3 * EDITS + 1)).select("role", "token", "n", "g"))
-    # short forms that are in the list are no misspellings
-    rare = prefix.select("g", "role", "token", "n").filter(~((F.col("role") == "g") & F.col("token").isin(sorted(BASES))))
-    often = prefix.filter(F.col("n") >= TIMES).select("g", F.col("token").alias("to"), F.col("n").alias("to_n"))
-    met = rare.join(often, "g").filter(F.col("to_n") >= TIMES * F.col("n")).filter(F.abs(F.length("token") - F.length("to")) <= EDITS).select("role", "token", "to", "to_n").distinct()
+    prefix = cut(ranked.filter(F.col("r") <= F.when(F.length("token") < 6, 5).otherwise(3 * EDITS + 1)).select("role", "token", "n", "fixed", "g"))
+    rare = prefix.filter("NOT fixed").drop("fixed")
+    often = prefix.select("g", F.col("token").alias("to"), F.col("n").alias("to_n"))
+    met = rare.join(often, "g").filter("token <> to AND (to_n > n OR (to_n = n AND to < token))").filter(F.abs(F.length("token") - F.length("to")) <= EDITS).select("role", "token", "to", "n", "to_n").distinct()
     swapped = (F.length("token") == F.length("to")) & (F.array_sort(F.split("token", "")) == F.array_sort(F.split("to", "")))
-    far = F.levenshtein("token", "to")
-    allowed = F.when(F.length("token") >= 6, 2).when((F.length("token") >= 4) & swapped, 2).otherwise(1)
-    return met.withColumn("far", far).filter(F.col("far") <= allowed).select("role", "token", "to", "to_n", F.when(swapped, 1).otherwise(F.col("far")).alias("far"), (1 - F.when(swapped, 1).otherwise(F.col("far")) / F.greatest(F.length("token"), F.length("to"))).alias("sim"))
+    near = met.withColumn("far", F.levenshtein("token", "to")).filter(_allowed(F.col("token"), F.col("far"), F.col("to"))).withColumn("far", F.when(swapped, 1).otherwise(F.col("far")))
+    return near.withColumn("sim", 1 - F.col("far") / F.greatest(F.length("token"), F.length("to")))
+
+
+def short_forms(parsed: DataFrame, spelt: DataFrame, uses: DataFrame, attended: DataFrame) -> DataFrame:
+    """(short, full): given names that stand for another one, as the tables show it.
+
+    A row of the registry with both under one surname counts twice; so does a surname of which one attended ``ATTENDED``
+    sessions or more, and the other all of these; a session counts once if a label gives a name that no
+    row has with the surname while all rows of that surname that attended have one other. ``SUPPORT`` must be reached, and
+    names that share neither their first letter nor two letters in a row need ``PLENTY``. Names within the edits of a
+    misspelling are left to the correction, unless they differ twice and are met ``PLENTY`` times.
+    """
+    whole = parsed.filter("kind = 'person' AND length(given) > 1").select("label", "given", "surname")
+    rows = spelt.select("canonical_id", "label").join(whole, "label").select("canonical_id", "given", "surname").distinct()
+    rows = cut(rows)
+    other = rows.select("canonical_id", "surname", F.col("given").alias("full"))
+    one = rows.join(other, ["canonical_id", "surname"]).filter("given <> full").groupBy("given", "full").agg((2 * F.countDistinct("canonical_id")).alias("k"))
+    there = rows.join(attended, "canonical_id").select("surname", "session_id", F.col("given").alias("full")).distinct()
+    said = uses.join(whole, "label").select("given", "surname", "session_id").distinct().join(rows.select("surname", "given").distinct(), ["surname", "given"], "left_anti")
+    alone = said.join(there, ["surname", "session_id"]).groupBy("given", "surname", "session_id").agg(F.min("full").alias("full"), F.max("full").alias("_most")).filter("full = _most")
+    two = alone.groupBy("given", "full").agg(F.count("*").alias("k"))
+    # a name whose sessions are all among those of another one with its surname
+    met = there.join(there.select("surname", "session_id", F.col("full").alias("given")), ["surname", "session_id"])
+    inside = met.groupBy("surname", "given", "full").agg(F.count("*").alias("c"))
+    size = inside.filter("given = full").select("surname", "given", F.col("c").alias("size"))
+    three = inside.filter("given <> full").join(size, ["surname", "given"]).filter((F.col("c") == F.col("size")) & (F.col("size") >= ATTENDED)).groupBy("given", "full").agg((2 * F.count("*")).alias("k"))
+    number = rows.groupBy("given").agg(F.count("*").alias("rn"))
+    # a misspelling in a row or two with its origin is no short form, nor has it any
+    twice = number.select(F.col("given").alias("full"), F.col("rn").alias("fn"))
+    typos = rows.join(other, ["canonical_id", "surname"]).filter("given <> full").groupBy("given", "full").agg(F.count("*").alias("c")).filter("c <= 2").join(number, "given").join(twice, "full")
+    typos = typos.filter(_allowed(F.col("given"), F.levenshtein("given", "full"), F.col("full")) & (F.length("given") >= 5) & (F.col("fn") >= 2 * F.col("rn"))).select("given").distinct()
+    both = one.unionByName(two).unionByName(three).groupBy("given", "full").agg(F.sum("k").alias("k")).filter(F.col("k") >= SUPPORT)
+    both = both.join(typos, "given", "left_anti").join(typos.withColumnRenamed("given", "full"), "full", "left_anti")
+    both = both.join(number, "given", "left").join(twice, "full")
+    shape = lambda c: F.transform(F.sequence(F.lit(1), F.length(c) - 1), lambda i: F.substring(c, i, F.lit(2)))
+    like = (F.left("given", F.lit(1)) == F.left("full", F.lit(1))) | F.arrays_overlap(shape(F.col("given")), shape(F.col("full")))
+    far = F.levenshtein("given", "full")
+    apart = ~_allowed(F.col("given"), far, F.col("full")) | ((F.col("k") >= PLENTY) & (far >= 2))
+    # the longer one is the full one, unless the shorter is met in many rows and the longer in less than half as many
+    rn, longer, even = F.coalesce("rn", F.lit(0)), F.length("full") > F.length("given"), F.length("full") == F.length("given")
+    fuller = (longer & ((2 * F.col("fn") >= rn) | (F.col("k") < PLENTY))) | (even & (F.col("fn") > rn)) | (~longer & ~even & (F.col("fn") > 2 * rn) & (F.col("k") >= PLENTY))
+    kept = both.filter(apart & (like | (F.col("k") >= PLENTY)) & fuller)
+    # a name that fits several times as often elsewhere was met by chance
+    most = F.max("k").over(Window.partitionBy("given"))
+    return kept.withColumn("_m", most).filter("5 * k >= _m").select(F.col("given").alias("short"), "full")
 
 
 def org_variants(orgs: DataFrame) -> DataFrame:
     """(org, to): the more frequent word set of the same organisation. ``orgs``: org (sorted words), n."""
+    brief = F.col("org").startswith("=")
+    spelt_out = _spelt_out(orgs.filter(brief), orgs.filter(~brief))
+    orgs = orgs.filter(~brief)
     words = orgs.select("org", F.explode(F.split("org", " ")).alias("w"))
     weight = words.groupBy("w").agg(F.log(1 + F.lit(float(orgs.count())) / F.count("*")).alias("idf"))
     words = words.join(weight, "w")
     every = Window.partitionBy("org")
     before = F.coalesce(F.sum("idf").over(every.orderBy(F.desc("idf"), "w").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
     total = F.sum("idf").over(every)
-    # similar sets share ALIKE / (2 - ALIKE) of either weight, so they meet on a token before the rest falls below that
-    words = cut(words.select("org", "w", "idf", (before <= (1 - ALIKE / (2 - ALIKE)) * total + 1e-9).alias("rare")))
+    # similar sets have EXACT of either weight in words that are equal, so they meet on a word before the rest falls below that
+    words = cut(words.select("org", "w", "idf", (before <= (1 - EXACT) * total + 1e-9).alias("rare")))
     sets = orgs.join(words.groupBy("org").agg(F.collect_list(F.struct("w", "idf")).alias("ws"), F.sum("idf").alias("total")), "org")
     rare = words.filter("rare").select("org", "w")
     met = rare.join(rare.select(F.col("org").alias("to"), "w"), "w").filter("org <> to").select("org", "to").distinct()
     met = met.join(sets, "org").join(sets.select(F.col("org").alias("to"), F.col("n").alias("to_n"), F.col("ws").alias("to_ws"), F.col("total").alias("to_total")), "to")
     met = met.filter("to_n > n OR (to_n = n AND to < org)")
+    stem = f"length(x.w) > {STEM} AND length(y.w) > {STEM} AND left(x.w, {STEM}) = left(y.w, {STEM})"
     near = ("CASE WHEN x.w = y.w THEN 1D WHEN least(length(x.w), length(y.w)) >= 4 AND levenshtein(x.w, y.w) <= CASE WHEN length(x.w) >= 6 THEN 2 ELSE 1 END "
-            "THEN 1 - levenshtein(x.w, y.w) / greatest(length(x.w), length(y.w)) ELSE 0D END")
+            f"THEN 1 - levenshtein(x.w, y.w) / greatest(length(x.w), length(y.w)) WHEN {stem} THEN 0.5D ELSE 0D END")
     fit = lambda a, b: F.expr(f"transform({a}, x -> struct(x.idf AS idf, array_max(transform({b}, y -> {near})) AS fit))")
     met = met.withColumn("one", fit("ws", "to_ws")).withColumn("two", fit("to_ws", "ws"))
     # a word that each side lacks is another place or trade, not another spelling
@@ -207,18 +257,33 @@ def org_variants(orgs: DataFrame) -> DataFrame:
     best = Window.partitionBy("org").orderBy(F.desc("alike"), "to")
     met = met.withColumn("r", F.row_number().over(best)).withColumn("next", F.lead("alike").over(best))
     found = cut(met.filter((F.col("r") == 1) & (F.col("next").isNull() | (F.col("next") < F.col("alike") - CLEAR))).select("org", "to"))
-    # what is a variant itself leads on to its own origin
-    return found.join(found.select(F.col("org").alias("to"), F.col("to").alias("end")), "to", "left").select("org", F.coalesce("end", "to").alias("to"))
+    # what is a variant itself leads on to its own origin; each step leads to a more frequent one
+    found = cut(found.unionByName(spelt_out))
+    for _ in range(2):
+        found = found.join(found.select(F.col("org").alias("to"), F.col("to").alias("end")), "to", "left").select("org", F.coalesce("end", "to").alias("to"))
+    return found
+
+
+def _spelt_out(brief: DataFrame, orgs: DataFrame) -> DataFrame:
+    """(org, to): sets with initials, and the one set of organisations that has all their other words and whose further words begin with the initials."""
+    words = orgs.select(F.col("org").alias("to"), "n", F.split("org", " ").alias("to_ws"), F.explode(F.split("org", " ")).alias("w"))
+    often = words.groupBy("w").agg(F.count("*").alias("wn"))
+    # the first token is the initials: "=" sorts before letters
+    said = brief.select("org", F.substring(F.split("org", " ")[0], 2, 9).alias("letters"), F.slice(F.split("org", " "), 2, 99).alias("ws")).filter("size(ws) > 0")
+    # met on the rarest word
+    rare = said.select("org", F.explode("ws").alias("w")).join(often, "w").groupBy("org").agg(F.min_by("w", F.struct("wn", "w")).alias("w"))
+    met = said.join(rare, "org").join(words, "w").filter("size(array_except(ws, to_ws)) = 0")
+    begun = F.array_join(F.array_sort(F.transform(F.array_except("to_ws", "ws"), lambda w: F.left(w, F.lit(1)))), "")
+    return met.filter(begun == F.col("letters")).groupBy("org").agg(F.max_by("to", F.struct("n", "to")).alias("to"))
 
 
-def _nick(given: Column) -> Column:
-    """The given names that a given name may stand for."""
-    table = F.create_map(*[x for s, fulls in sorted(BASES.items()) for x in (F.lit(s), F.array(*[F.lit(f) for f in fulls]))])
-    return F.when(given.isNull(), F.array().cast("array<string>")).otherwise(F.array_distinct(F.concat(F.array(given), F.coalesce(F.try_element_at(table, given), F.array().cast("array<string>")))))
+def _with_fulls(df: DataFrame, given: str, shorts: DataFrame) -> DataFrame:
+    """``df`` with ``fulls``: the given names that its given name may stand for; null where it is no short form."""
+    return df.join(shorts.groupBy(F.col("short").alias(given)).agg(F.collect_set("full").alias("fulls")), given, "left")
 
 
-def corrected(parsed: DataFrame) -> DataFrame:
-    """``parsed`` labels with parts in order and misspelt tokens replaced: adds ``g`` (given), ``s`` (surname), ``org``."""
+def corrected(parsed: DataFrame, shorts: DataFrame) -> DataFrame:
+    """``parsed`` labels with parts in order and misspelt tokens replaced: adds ``g`` (given), ``s`` (surname), ``org``, and how like the tokens are (``g_sim``, ``s_sim``)."""
     people = parsed.filter("kind = 'person'")
     plain = people.filter("NOT comma AND given IS NOT NULL")
     sides = plain.select(F.explode(F.array(F.struct(F.col("given").alias("token"), F.lit(1).alias("first"), "n"), F.struct(F.col("surname").alias("token"), F.lit(0).alias("first"), "n"))).alias("x")).select("x.*")
@@ -231,21 +296,29 @@ def corrected(parsed: DataFrame) -> DataFrame:
     df = cut(df.withColumnsRenamed({"_g": "given", "_s": "surname"}))
     tokens = df.select("n", F.expr(
         "inline(concat(array(struct('g' AS role, given AS token), struct('s' AS role, surname AS token)), transform(words, w -> struct('o' AS role, w AS token))))"), "kind")
-    tokens = tokens.filter("token IS NOT NULL AND kind IN ('person', 'org')").groupBy("role", "token").agg(F.sum("n").alias("n"))
-    near = cut(token_variants(tokens))
+    tokens = tokens.filter("token IS NOT NULL AND token NOT LIKE '=%' AND kind IN ('person', 'org')").groupBy("role", "token").agg(F.sum("n").alias("n"))
+    # short forms are no misspellings
+    listed = shorts.select(F.lit("g").alias("role"), F.col("short").alias("token"), F.lit(True).alias("fixed")).distinct()
+    near = cut(token_variants(tokens.join(listed, ["role", "token"], "left").withColumn("fixed", F.coalesce("fixed", F.lit(False)))))
+    # a token about as frequent as its origin must be written with little that its origin is not written with
+    pairs = cut(df.filter("kind = 'person' AND given IS NOT NULL").groupBy("given", "surname").agg(F.sum("n").alias("pn")))
+    partner = pairs.select(F.lit("s").alias("role"), F.col("surname").alias("token"), F.col("given").alias("with")).unionByName(pairs.select(F.lit("g").alias("role"), F.col("given").alias("token"), F.col("surname").alias("with")))
+    sure = F.col("to_n") >= TIMES * F.col("n")
+    held = near.filter(~sure).join(partner, ["role", "token"]).join(partner.select("role", F.col("token").alias("to"), "with", F.lit(1).alias("also")), ["role", "to", "with"], "left")
+    held = held.groupBy("role", "token", "to").agg(F.count("*").alias("wn"), F.count("also").alias("an")).filter(F.col("an") >= SHARED * F.col("wn")).select("role", "token", "to")
+    near = cut(near.filter(sure).unionByName(near.filter(~sure).join(held, ["role", "token", "to"], "left_semi")))
     # what is a misspelling itself is no origin of another one
     near = near.join(near.select("role", F.col("token").alias("to")).distinct(), ["role", "to"], "left_anti")
     # the likelier origin: frequent, and few edits away
     best = Window.partitionBy("role", "token").orderBy(F.desc(F.log("to_n") - 4 * F.col("far")), "to")
-    near = cut(near.withColumn("r", F.row_number().over(best)).filter("r <= 3"))
+    near = cut(near.withColumn("r", F.row_number().over(best)))
     # the pairs that are written often decide between several corrections
-    pairs = df.filter("kind = 'person' AND given IS NOT NULL").groupBy("given", "surname").agg(F.sum("n").alias("pn"))
-    first = near.filter("role = 's' AND r = 1").select(F.col("token").alias("surname"), F.col("to").alias("s_to"))
-    df = cut(df.join(first, "surname", "left").withColumn("s", F.coalesce("s_to", "surname")).drop("s_to"))
+    first = near.filter("role = 's' AND r = 1").select(F.col("token").alias("surname"), F.col("to").alias("s_to"), F.col("sim").alias("s_sim"))
+    df = cut(df.join(first, "surname", "left").withColumn("s", F.coalesce("s_to", "surname")).withColumn("s_sim", F.coalesce("s_sim", F.lit(1.0))).drop("s_to"))
     options = df.filter("given IS NOT NULL").select("given", "s").distinct().join(near.filter("role = 'g'").select(F.col("token").alias("given"), F.col("to").alias("g_to"), "r", "sim"), "given")
     options = options.join(pairs.select(F.col("given").alias("g_to"), F.col("surname").alias("s"), "pn"), ["g_to", "s"], "left")
-    pick = options.groupBy("given", "s").agg(F.max_by("g_to", F.struct(F.col("pn").isNotNull(), "sim", F.coalesce("pn", F.lit(0)), -F.col("r"))).alias("g_to"))
-    df = df.join(pick, ["given", "s"], "left").withColumn("g", F.coalesce("g_to", "given")).drop("g_to")
+    pick = options.groupBy("given", "s").agg(F.max_by(F.struct("g_to", F.col("sim").alias("g_sim")), F.struct(F.col("pn").isNotNull(), "sim", F.coalesce("pn", F.lit(0)), -F.col("r"))).alias("x")).select("given", "s", "x.*")
+    df = df.join(pick, ["given", "s"], "left").withColumn("g", F.coalesce("g_to", "given")).withColumn("g_sim", F.coalesce("g_sim", F.lit(1.0))).drop("g_to")
     words = df.filter("kind = 'org'").select("label", F.explode("words").alias("token")).join(near.filter("role = 'o' AND r = 1").select("token", "to"), "token", "left")
     orgs = words.groupBy("label").agg(F.array_join(F.array_sort(F.collect_set(F.coalesce("to", "token"))), " ").alias("org"))
     orgs = cut(orgs)
@@ -257,16 +330,19 @@ def corrected(parsed: DataFrame) -> DataFrame:
 class Registry:
     """People and organisations of a speakers table, and how labels name them."""
 
-    def __init__(self, speakers: DataFrame, labels: DataFrame):
-        """``labels``: every label in use (label, n); a null label names nobody."""
-        sp = speakers.filter("canonical_id IS NOT NULL").dropDuplicates(["canonical_id"])
+    def __init__(self, speakers: DataFrame, uses: DataFrame):
+        """``uses``: every label in use (label, session_id, n); a null label names nobody."""
+        cols = ["name", "role", "party", "chamber", "title", "aliases", "session_ids"]
+        sp = speakers.filter("canonical_id IS NOT NULL").groupBy("canonical_id").agg(F.min_by(F.struct(*cols), F.struct("created_at", F.xxhash64(*cols))).alias("r")).select("canonical_id", "r.*")
         self.rows = sp.select("canonical_id", "role", "party", "chamber", "title")
         spelt = sp.select("canonical_id", F.explode(F.concat(F.array(F.struct(F.col("name").alias("label"), F.lit(1).alias("own"))), F.transform(F.coalesce("aliases", F.array().cast("array<string>")), lambda a: F.struct(a.alias("label"), F.lit(0).alias("own"))))).alias("x")).select("canonical_id", "x.*").filter("label IS NOT NULL")
         self.spelt = spelt
-        used = labels.filter("label IS NOT NULL").select("label", "n").unionByName(spelt.select("label", F.lit(2).cast("bigint").alias("n")))
+        used = uses.filter("label IS NOT NULL").select("label", "n").unionByName(spelt.select("label", F.lit(2).cast("bigint").alias("n")))
         distinct = cut(used.groupBy("label").agg(F.sum("n").alias("n")))
-        self.read = cut(corrected(read_labels(distinct)))
         self.attended = sp.select("canonical_id", F.explode("session_ids").alias("session_id")).filter("session_id IS NOT NULL").distinct()
+        parsed = cut(read_labels(distinct))
+        self.shorts = cut(short_forms(parsed, spelt, uses.filter("label IS NOT NULL").select("label", "session_id"), self.attended))
+        self.read = cut(corrected(parsed, self.shorts))
         self.members = cut(self._members())
         # who stands for whom: one row for each person or organisation and each session of any of its rows
         self.present = cut(self.members.join(self.attended, "canonical_id").select("who", "session_id").distinct())
@@ -281,11 +357,12 @@ class Registry:
         orgs = forms.filter("kind = 'org'").groupBy("canonical_id").agg(F.max_by("org", F.struct("own", "n")).alias("o"))
         orgs = orgs.select("canonical_id", F.concat(F.lit("o:"), "o").alias("who"))
         full = forms.filter("kind = 'person' AND g IS NOT NULL AND length(g) > 1").join(orgs, "canonical_id", "left_anti")
-        wide = full.select("canonical_id", "own", "n", "s", F.explode(_nick(F.col("g"))).alias("base"), "g")
+        full = _with_fulls(full, "g", self.shorts)
+        stands = F.array_distinct(F.concat(F.array("g"), F.coalesce("fulls", F.array().cast("array<string>"))))
+        wide = full.select("canonical_id", "own", "n", "s", F.explode(stands).alias("base"), "g", F.col("fulls").isNotNull().alias("short"))
         seen = wide.filter("base = g").groupBy("base", "s").agg(F.sum("n").alias("pn"), F.countDistinct("canonical_id").alias("rn"))
         # a short form stands for the longer name that occurs with the surname; the longer name for itself
-        short = F.col("g").isin(sorted(BASES))
-        scored = wide.join(seen, ["base", "s"], "left").withColumn("fit", F.coalesce(F.when(short & (F.col("base") == F.col("g")), F.lit(0)).otherwise(F.col("pn")), F.lit(-1)))
+        scored = wide.join(seen, ["base", "s"], "left").withColumn("fit", F.coalesce(F.when(F.col("short") & (F.col("base") == F.col("g")), F.lit(0)).otherwise(F.col("pn")), F.lit(-1)))
         per = scored.groupBy("canonical_id", "base", "s").agg(F.count("*").alias("k"), F.max("fit").alias("fit"), F.max("own").alias("own"))
         named = per.groupBy("canonical_id").agg(F.max_by(F.struct("base", "s"), F.struct("k", F.col("fit") > 0, "own", "fit", "base")).alias("p"))
         named = named.select("canonical_id", F.concat_ws(" ", F.lit("p:"), "p.base", "p.s").alias("who"))
@@ -328,25 +405,39 @@ class Registry:
 
     def resolve(self, labels: DataFrame) -> DataFrame:
         """``labels`` (label, session_id), distinct, with ``kind``, ``who`` (null: nobody known), ``form`` and surname ``s``."""
-        df = labels.join(self.read.select("label", "kind", "given", "g", "s", "inits", "org"), "label")
+        df = labels.join(self.read.select("label", "kind", "given", "g", "s", "g_sim", "s_sim", "inits", "org"), "label")
         names = df.filter("kind = 'person'")
-        # the surname is equal after correction; the given name ranks by how it is written. Three joins, each on all that the label says, so that no surname's labels meet all its people
-        middle = F.when((F.length("inits") > 1) & F.col("mid").isNotNull(), F.when(F.substring("inits", 2, 1) == F.col("mid"), F.lit(0.05)).otherwise(F.lit(-0.3))).otherwise(F.lit(0.0))
+        # every token weighs by its inverse frequency among the people; an initial by that of all who begin with it
+        people = self.people
+        total = F.lit(float(max(1, people.count())))
+        weigh = lambda c, out: people.groupBy(c).agg(F.log(1 + total / F.count("*")).alias(out))
+        names = names.withColumn("init", F.nullif(F.substring(F.coalesce("inits", F.lit("")), 1, 1), F.lit("")))
+        names = names.join(weigh("s", "ws"), "s").join(weigh("base", "wb").withColumnRenamed("base", "g"), "g", "left").join(weigh("init", "wi"), "init", "left")
+        given = F.coalesce(F.when(F.col("g").isNotNull(), F.coalesce("wb", F.log(1 + total))), F.when(F.col("init").isNotNull(), F.coalesce("wi", F.log(1 + total))), F.lit(0.0))
+        middle = F.when((F.length("inits") > 1), F.log(F.lit(27.0)) / 4).otherwise(F.lit(0.0))
+        same = F.when(F.col("mid").isNull(), OPEN).when(F.substring("inits", 2, 1) == F.col("mid"), 1.0).otherwise(0.0)
+        # soft weighted similarity of the label's tokens to the person's
+        alike = lambda fit: (F.col("ws") * F.col("s_sim") + F.col("wg") * fit + F.col("wm") * same) / (F.col("ws") + F.col("wg") + F.col("wm"))
+        names = _with_fulls(names.withColumn("wg", given).withColumn("wm", middle), "g", self.shorts)
+        # the surname is equal after correction. Three joins, each on all that the label says, so that no surname's labels meet all its people
         kept = ["label", "session_id", "who"]
-        whole = names.filter("g IS NOT NULL").withColumn("base", F.explode(_nick(F.col("g")))).join(self.people.drop("init"), ["s", "base"])
-        whole = whole.select(*kept, F.when(F.col("base") == F.col("g"), F.lit(1.0)).otherwise(0.9 + middle).alias("fit"))
-        brief = names.filter("length(inits) > 0").withColumn("init", F.substring("inits", 1, 1)).join(self.people, ["s", "init"])
-        brief = brief.filter("g IS NULL OR base IS NULL").select(*kept, (F.when(F.col("g").isNull(), 0.6).otherwise(0.5) + middle).alias("fit"))
-        alone = names.filter("g IS NULL AND length(inits) = 0").join(self.people.join(self.present, "who").select("s", "session_id", "who"), ["s", "session_id"])
-        alone = alone.select(*kept, F.lit(0.4).alias("fit"))
+        stands = F.array_distinct(F.concat(F.array("g"), F.coalesce("fulls", F.array().cast("array<string>"))))
+        whole = names.filter("g IS NOT NULL").withColumn("base", F.explode(stands)).join(people.drop("init"), ["s", "base"])
+        named = F.col("base") == F.col("g")
+        clash = (F.length("inits") > 1) & F.col("mid").isNotNull() & (F.substring("inits", 2, 1) != F.col("mid"))
+        whole = whole.select(*kept, F.when(named, 3).when(~clash, 2).otherwise(1).alias("level"), alike(F.when(named, F.col("g_sim")).otherwise(F.lit(SHORTENED))).alias("fit"))
+        brief = names.filter("length(inits) > 0").join(people, ["s", "init"])
+        brief = brief.filter("g IS NULL OR base IS NULL").select(*kept, F.when(~clash, 2).otherwise(1).alias("level"), alike(F.lit(INITIAL)).alias("fit"))
+        alone = names.filter("g IS NULL AND length(inits) = 0").join(people.join(self.present, "who").select("s", "session_id", "who", "mid"), ["s", "session_id"])
+        alone = alone.select(*kept, F.lit(0).alias("level"), alike(F.lit(0.0)).alias("fit"))
         cand = cut(whole.unionByName(brief).unionByName(alone))
         cand = cand.join(self.present.withColumn("there", F.lit(1)), ["who", "session_id"], "left").withColumn("there", F.coalesce("there", F.lit(0)))
         # a full name needs no attendance; of several, one that attended is meant; a surname alone must have attended
-        rank = F.struct((F.col("fit") >= 0.95).cast("int").alias("a"), "there", "fit")
+        rank = F.struct((F.col("level") == 3).cast("int").alias("a"), "there", F.round("fit", 6).alias("fit"))
         order = Window.partitionBy("label", "session_id").orderBy(F.desc(rank), "who")
         cand = cand.withColumn("rank", rank).withColumn("next", F.lead(rank).over(order)).withColumn("r", F.row_number().over(order)).filter("r = 1")
         clear = F.col("next").isNull() | (F.col("next") < F.col("rank"))
-        allowed = (F.col("fit") >= 0.5) | (F.col("there") == 1)
+        allowed = (F.col("level") >= 2) | (F.col("there") == 1)
         person = cand.filter(clear & allowed).select(F.col("label").alias("_l"), F.col("session_id").alias("_i"), F.col("who").alias("_p"))
         orgs = self.members.filter("who LIKE 'o:%'").select(F.col("who").alias("_o")).distinct()
         df = df.join(person, F.col("label").eqNullSafe(F.col("_l")) & F.col("session_id").eqNullSafe(F.col("_i")), "left").drop("_l", "_i")
@@ -361,7 +452,7 @@ def linked(speakers: DataFrame, blocks: DataFrame) -> DataFrame:
     said = said.groupBy("block_id").agg(F.max_by(F.struct("session_id", "label"), F.struct("created_at", "label")).alias("b")).select("block_id", "b.*")
     said = cut(said)
     uses = cut(said.groupBy("label", "session_id").agg(F.count("*").alias("n")))
-    reg = Registry(speakers, uses.groupBy("label").agg(F.sum("n").alias("n")))
+    reg = Registry(speakers, uses)
     named = cut(reg.resolve(uses.select("label", "session_id")).filter("who IS NOT NULL").select("label", "session_id", "who"))
     named = named.withColumnsRenamed({"label": "_l", "session_id": "_i"})
     there = said.join(named, F.col("label").eqNullSafe(F.col("_l")) & F.col("session_id").eqNullSafe(F.col("_i"))).select("block_id", "who")

@@ -63,6 +63,11 @@ def p7_aliases(spark: SparkSession, base: str) -> DataFrame:
     return fusion.group_aliases(table(spark, base, "entities"), cut(p6_found(spark, base)))
 
 
+def p7_fused_aliases(spark: SparkSession, base: str) -> DataFrame:
+    """Which aliases of a group its sources make believed."""
+    return fusion.fused_aliases(table(spark, base, "entities"), cut(p6_found(spark, base)))
+
+
 def p8_ids(spark: SparkSession, base: str) -> DataFrame:
     return tokens.encode(table(spark, base, "documents"))
 
@@ -72,6 +77,12 @@ def p8_round_trip(spark: SparkSession, base: str) -> DataFrame:
     return tokens.decode(tokens.encode(table(spark, base, "documents")))
 
 
+def p9_filled(spark: SparkSession, base: str) -> DataFrame:
+    """The shares of a mixture of all the tokens that there are: capped sources are used up, the others share the rest."""
+    docs, targets = table(spark, base, "documents"), table(spark, base, "mix_targets")
+    return mixing.shares(docs, targets, total=mixing.available(docs, targets))
+
+
 def p9_mixture(spark: SparkSession, base: str) -> DataFrame:
     return mixing.mixture(table(spark, base, "documents"), table(spark, base, "mix_targets"))
 
@@ -94,7 +105,7 @@ def p10_segments(spark: SparkSession, base: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_turns, p2_found, p3_found, p4_found, p4_classes, p6_found, p7_found, p7_fused, p7_records, p7_aliases, p8_ids, p8_round_trip, p9_mixture, p9_shares, p10_found, p10_documents, p10_segments)
+    f.__name__: f for f in (p1_found, p1_turns, p2_found, p3_found, p4_found, p4_classes, p6_found, p7_found, p7_fused, p7_records, p7_aliases, p7_fused_aliases, p8_ids, p8_round_trip, p9_mixture, p9_shares, p9_filled, p10_found, p10_documents, p10_segments)
 }
 
 _PLACEHOLDERS = ", ".join(f"'{p}'" for p in PLACEHOLDERS)
@@ -119,6 +130,11 @@ ORACLES: dict[str, str] = {
     "p4_found": f"""WITH {_OWN}, s AS (SELECT entity_id, list_distinct(regexp_extract_all(lower(concat_ws(' ', canonical_name, description, array_to_string(aliases, ' '))), '[\\p{{L}}\\p{{N}}]+')) AS ws FROM o WHERE own IS NOT NULL),
         j AS (SELECT x.entity_id AS a, y.entity_id AS b, len(list_intersect(x.ws, y.ws)) AS c, len(x.ws) + len(y.ws) AS t FROM s x JOIN s y ON x.entity_id < y.entity_id AND least(len(x.ws), len(y.ws)) >= 0.7 * greatest(len(x.ws), len(y.ws)))
         SELECT a AS entity_id_a, b AS entity_id_b FROM j WHERE c >= 0.7 * (t - c) - 1e-9""",
+    "p4_classes": f"""WITH {_OWN}, s AS (SELECT entity_id, list_sort(list_distinct(regexp_extract_all(lower(concat_ws(' ', canonical_name, description, array_to_string(aliases, ' '))), '[\\p{{L}}\\p{{N}}]+'))) AS ws FROM o WHERE own IS NOT NULL),
+        c AS (SELECT ws, min(entity_id) AS rep, count(*) AS copies FROM s WHERE len(ws) > 0 GROUP BY 1),
+        j AS (SELECT x.rep, len(list_intersect(x.ws, y.ws)) AS c, len(x.ws) + len(y.ws) AS t FROM c x JOIN c y ON x.rep <> y.rep AND least(len(x.ws), len(y.ws)) >= 0.7 * greatest(len(x.ws), len(y.ws))),
+        l AS (SELECT rep, count(*) AS links FROM j WHERE c >= 0.7 * (t - c) - 1e-9 GROUP BY 1)
+        SELECT s.entity_id, c.rep AS class_id, c.copies, coalesce(l.links, 0) AS links FROM s JOIN c USING (ws) LEFT JOIN l ON l.rep = c.rep""",
     "p6_found": f"WITH RECURSIVE {_GROUPS} SELECT entity_id, group_id FROM g",
     "p7_found": f"""WITH RECURSIVE {_GROUPS}, {_OWN}, m AS (SELECT g.group_id, o.*, CASE WHEN NOT isnan(confidence) AND confidence BETWEEN 0 AND 1 THEN confidence END AS c,
           count(*) OVER (PARTITION BY g.group_id) AS size FROM g JOIN o ON o.entity_id = g.entity_id),
@@ -130,3 +146,6 @@ ORACLES: dict[str, str] = {
         SELECT group_id, alias, count(DISTINCT entity_id) AS n_records FROM a WHERE alias <> '' GROUP BY ALL""",
     "p8_round_trip": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
 }
+ORACLES["p7_records"] = f"""WITH RECURSIVE w AS ({ORACLES["p7_found"]}), d AS (SELECT group_id, entity_id FROM w WHERE field_name = 'description'), c AS (SELECT group_id, entity_id FROM w WHERE field_name = 'confidence')
+    SELECT coalesce(d.group_id, c.group_id) AS group_id, x.description, d.entity_id AS description_from, y.confidence, c.entity_id AS confidence_from
+    FROM d FULL JOIN c USING (group_id) LEFT JOIN entities x ON x.entity_id = d.entity_id LEFT JOIN entities y ON y.entity_id = c.entity_id"""

@@ -250,7 +250,7 @@ def labelled(sentences: DataFrame, blocks: DataFrame, speakers: DataFrame) -> Da
     of_blocks = df.select("session_id", F.col("block_label").alias("label"), F.lit(1).alias("n"))
     of_heads = df.select("session_id", F.col("head").alias("label"), F.lit(0).alias("n"))
     uses = cut(of_blocks.unionByName(of_heads).filter("label IS NOT NULL").groupBy("label", "session_id").agg(F.sum("n").cast("bigint").alias("n")))
-    reg = Registry(speakers, uses.groupBy("label").agg(F.sum("n").alias("n")))
+    reg = Registry(speakers, uses)
     known = reg.resolve(uses.select("label", "session_id"))
     surnames = reg.people.select(F.col("s").alias("_s"), F.lit(True).alias("real")).distinct()
     known = known.join(surnames, F.col("s") == F.col("_s"), "left")

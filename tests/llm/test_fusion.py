@@ -1,4 +1,5 @@
 import datetime as dt
+import random
 
 from plenum.llm import fusion
 
@@ -50,3 +51,37 @@ def test_copied_votes_count_less(spark):
 
 def test_empty(spark):
     assert run(spark, [], [])[0] == {}
+
+
+def planted(n=150, seed=5):
+    """Two sources that are mostly right, one that is mostly wrong, and two that copy its values, false ones included."""
+    rng = random.Random(seed)
+    rows, groups, truth = [], [], {}
+    for i in range(n):
+        right = rng.randrange(5, 60) / 100
+        wrong = lambda: rng.randrange(61, 100) / 100
+        bad = right if rng.random() < 0.3 else wrong()
+        said = {"a": right if rng.random() < 0.9 else wrong(), "b": right if rng.random() < 0.85 else wrong(), "c": bad, "d": bad if rng.random() < 0.95 else wrong(), "e": bad if rng.random() < 0.95 else wrong()}
+        truth[f"g{i}"] = right
+        for s, v in said.items():
+            names = ["True Name", "True   name"] if s in "ab" else ["False Name"] if bad != right else []
+            rows.append((f"{i}{s}", f"N{i}", None, v, s, T, names, None, None))
+            groups.append((f"{i}{s}", f"g{i}"))
+    return rows, groups, truth
+
+
+def test_copied_votes_are_discounted(spark):
+    rows, groups, truth = planted()
+    r, g = spark.createDataFrame(rows, SCHEMA), spark.createDataFrame(groups, "entity_id string, group_id string")
+    got = {x["group_id"]: float(x["value"]) for x in fusion.fuse(r, g, prior=0.0).collect()}
+    said: dict[str, list[float]] = {}
+    for (e, gid), row in zip(groups, rows):
+        said.setdefault(gid, []).append(row[3])
+    score = lambda chosen: sum(abs(chosen[k] - v) < 1e-9 for k, v in truth.items()) / len(truth)
+    majority = score({k: max(v, key=v.count) for k, v in said.items()})
+    assert score(got) > 0.85 > majority + 0.1
+    _, accuracy, dep = fusion._fused(r, g, 0.0, False)
+    pairs = {(x["s"], x["t"]): x["dep"] for x in dep.collect()}
+    assert min(pairs["c", "d"], pairs["c", "e"]) > 0.9 > 0.1 > pairs["a", "b"]
+    alias = {x["alias"]: x for x in fusion.fused_aliases(r, g, 0.0).filter("group_id = 'g0' OR group_id = 'g1'").collect()}
+    assert alias["true name"]["accepted"] and (alias.get("false name") is None or not alias["false name"]["accepted"])

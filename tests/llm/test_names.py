@@ -24,9 +24,11 @@ def test_kinds(label, kind):
 
 
 def test_organisations():
-    same = ["Grekoban P.&H. Trust", "The Grekoban Port & Harbour Trust", "Harbour and Port Trust, Grekoban", "GREKOBAN PORT AND HARBOUR TRUST (witness)"]
+    same = ["Grekoban Port & Harbour Trust", "The Grekoban Port & Harbour Trust", "Harbour and Port Trust, Grekoban", "GREKOBAN PORT AND HARBOUR TRUST (witness)"]
     assert len({tuple(names.parse(x)[5]) for x in same}) == 1
     assert names.parse("Federation of Small Farmers (Soltirine)")[5] == names.parse("Soltirine Small Farmers Fed.")[5]
+    assert names.parse("Grekoban P.&H. Trust")[5] == ["=hp", "grekoban", "trust"] and names.parse("Yemudow C. of C.")[5] == ["=cc", "yemudow"]
+    assert names.parse("Ann Lee M.P.")[0] == "person" and names.parse("Lee, A. B.")[0] == "person"
 
 
 def speakers(spark, rows):
@@ -37,7 +39,7 @@ def blocks(spark, rows):
     return spark.createDataFrame([(i, s, l, T) for i, (l, s) in enumerate(rows)], "block_id long, session_id string, speaker_name string, created_at timestamp")
 
 
-PEOPLE = [("r1", "Theodore Cashanan", ["T. Cashanan", None], ["s1", "s2"]), ("r2", "Cashanan, Theo", [], ["s1"]), ("r3", "Odessa Tafimoft", None, ["s1"]), ("r4", "Oliver Tafimoft", None, ["s2"]),
+PEOPLE = [("r1", "Theodore Cashanan", ["T. Cashanan", "Theo Cashanan", None], ["s1", "s2"]), ("r2", "Cashanan, Theo", [], ["s1"]), ("r3", "Odessa Tafimoft", None, ["s1"]), ("r4", "Oliver Tafimoft", None, ["s2"]),
           ("r5", "Water Board Trust", None, None), ("r6", "THE WATER BOARD TRUST (witness)", [""], ["s9"]), ("r7", None, None, None)]
 
 
@@ -67,3 +69,27 @@ def test_empty(spark):
     assert names.linked(speakers(spark, []), blocks(spark, [])).count() == 0
     assert names.linked(speakers(spark, PEOPLE), blocks(spark, [])).count() == 2
     assert names.linked(speakers(spark, []), blocks(spark, [("Ann Lee", "s")])).count() == 0
+
+
+def test_organisations_by_initials_and_stems(spark):
+    rows = [("r1", "Grekoban Port and Harbour Trust", [], []), ("r2", "Grekoban P.&H. Trust", [], []), ("r3", "Grekoban Teachers' Union", ["Grekoban T.U."], []), ("r4", "Soltirine Fishing Cooperative", [], []), ("r5", "Soltirine Teachers' Union", [], []), ("r6", "Grekoban Fishing Cooperative", [], []), ("r7", "Yemudow Fishing Cooperative", [], [])]
+    labels = ["Grekoban T.U.", "Cooperative of Soltirine fishermen", "Grekoban N.A.", "Soltirine T.U."]
+    got = {tuple(r) for r in names.linked(speakers(spark, rows), blocks(spark, [(x, "s1") for x in labels] + [("Soltirine Fishing Cooperative", "s1")] * 3)).collect()}
+    mine = {b: {y for x, y in got if x == f"block:{b}"} for b in range(4)}
+    assert mine == {0: {"speaker:r3"}, 1: {"speaker:r4"}, 2: set(), 3: {"speaker:r5"}} and ("speaker:r1", "speaker:r2") in got
+
+
+def test_short_forms_are_learned(spark):
+    # Drew stands beside Andrew in two rows; Bill speaks twice where William alone attended; Kim does once
+    rows = [("a", "Andrew Golo", ["Drew Golo"], []), ("b", "Andrew Hape", ["Drew Hape", "Andrwe Hape"], []), ("c", "William Isu", [], ["s1", "s2", "s3"]), ("d", "William Jar", [], ["s4"]), ("e", "Odessa Jar", [], ["s5"])]
+    labels = [("Bill Isu", "s1"), ("Bill Jar", "s4"), ("Kim Isu", "s2"), ("Drew Golo", None), ("Bill Jar", "s5"), ("Bill Isu", "s9")]
+    reg = names.Registry(speakers(spark, rows), spark.createDataFrame([(l, s, 1) for l, s in labels], "label string, session_id string, n long"))
+    assert {tuple(r) for r in reg.shorts.collect()} == {("drew", "andrew"), ("bill", "william")}
+    got = {tuple(r) for r in names.linked(speakers(spark, rows), blocks(spark, labels)).collect()}
+    assert {(a, b) for a, b in got if a.startswith("block")} == {("block:0", "speaker:c"), ("block:1", "speaker:d"), ("block:3", "speaker:a"), ("block:4", "speaker:d"), ("block:5", "speaker:c")}
+
+
+def test_equally_frequent_spellings_meet(spark):
+    # one row each, and nothing but the surname's spelling apart; the other pair has given names of its own
+    rows = [("a", "Theodore Cashanan", [], ["s1"]), ("b", "Theodore Cashannan", [], ["s1"]), ("c", "Odessa Tafimoft", [], ["s1"]), ("d", "Quincy Tafimort", [], ["s1"])]
+    assert {tuple(r) for r in names.linked(speakers(spark, rows), blocks(spark, [])).collect()} == {("speaker:a", "speaker:b")}
