@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
@@ -40,11 +40,11 @@ def ratio(a: str, b: str) -> int:
     return 100 if not total else round(200 * lcs(a, b) / total)
 
 
-@F.pandas_udf(IntegerType())
-def fuzzy_ratio_fast(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+@F.arrow_udf(IntegerType())
+def fuzzy_ratio_fast(parts: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
     """``fuzzy_ratio`` of two columns in Arrow batches."""
     for a, b in parts:
-        yield pd.Series([None if x is None or y is None else ratio(x, y) for x, y in zip(a, b)], dtype="Int32")
+        yield pa.array([None if x is None or y is None else ratio(x, y) for x, y in zip(a.to_pylist(), b.to_pylist())], pa.int32())
 
 
 def _bigrams(name: Column) -> Column:
