@@ -233,7 +233,8 @@ def _prior() -> tuple[np.ndarray, np.ndarray]:
 
 def boundary_model(pairs: DataFrame) -> BoostedTrees:
     """Trees trained on a bounded sample of ``pairs`` (features, certain, differ) whose speakers the registry knows."""
-    rows = pairs.filter("certain").orderBy(F.xxhash64("sentence_id"), "sentence_id").limit(TRAIN_PAIRS).select(*[F.col(f).cast("double") for f in FEATURES], F.col("differ").cast("double")).toPandas().to_numpy(float)
+    rows = pairs.filter("certain").orderBy(F.xxhash64("sentence_id"), "sentence_id").limit(TRAIN_PAIRS).select(*[F.col(f).cast("double") for f in FEATURES], F.col("differ").cast("double")).toArrow()
+    rows = np.column_stack([c.to_numpy() for c in rows.columns]) if rows.num_rows else np.zeros((0, len(FEATURES) + 1))
     x, y = _prior()
     w = np.full(len(y), max(0.5, 0.0005 * len(rows)))
     if len(rows):
