@@ -197,7 +197,7 @@ def short_forms(parsed: DataFrame, spelt: DataFrame, uses: DataFrame, attended:
     rows = cut(rows)
     other = rows.select("canonical_id", "surname", F.col("given").alias("full"))
     one = rows.join(other, ["canonical_id", "surname"]).filter("given <> full").groupBy("given", "full").agg((2 * F.countDistinct("canonical_id")).alias("k"))
-    there = rows.join(attended, "canonical_id").select("surname", "session_id", F.col("given").alias("full")).distinct()
+    there = cut(rows.join(attended, "canonical_id").select("surname", "session_id", F.col("given").alias("full")).distinct())
     said = uses.join(whole, "label").select("given", "surname", "session_id").distinct().join(rows.select("surname", "given").distinct(), ["surname", "given"], "left_anti")
     alone = said.join(there, ["surname", "session_id"]).groupBy("given", "surname", "session_id").agg(F.min("full").alias("full"), F.max("full").alias("_most")).filter("full = _most")
     two = alone.groupBy("given", "full").agg(F.count("*").alias("k"))
@@ -206,12 +206,15 @@ def short_forms(parsed: DataFrame, spelt: DataFrame, uses: DataFrame, attended:
     inside = met.groupBy("surname", "given", "full").agg(F.count("*").alias("c"))
     size = inside.filter("given = full").select("surname", "given", F.col("c").alias("size"))
     three = inside.filter("given <> full").join(size, ["surname", "given"]).filter((F.col("c") == F.col("size")) & (F.col("size") >= ATTENDED)).groupBy("given", "full").agg((2 * F.count("*")).alias("k"))
-    number = rows.groupBy("given").agg(F.count("*").alias("rn"))
+    # short plans: what the driver keeps of a plan grows with its square
+    one, three = cut(one.unionByName(two)), cut(three)
+    number = cut(rows.groupBy("given").agg(F.count("*").alias("rn")))
     # a misspelling in a row or two with its origin is no short form, nor has it any
     twice = number.select(F.col("given").alias("full"), F.col("rn").alias("fn"))
     typos = rows.join(other, ["canonical_id", "surname"]).filter("given <> full").groupBy("given", "full").agg(F.count("*").alias("c")).filter("c <= 2").join(number, "given").join(twice, "full")
     typos = typos.filter(_allowed(F.col("given"), F.levenshtein("given", "full"), F.col("full")) & (F.length("given") >= 5) & (F.col("fn") >= 2 * F.col("rn"))).select("given").distinct()
-    both = one.unionByName(two).unionByName(three).groupBy("given", "full").agg(F.sum("k").alias("k")).filter(F.col("k") >= SUPPORT)
+    typos = cut(typos)
+    both = one.unionByName(three).groupBy("given", "full").agg(F.sum("k").alias("k")).filter(F.col("k") >= SUPPORT)
     both = both.join(typos, "given", "left_anti").join(typos.withColumnRenamed("given", "full"), "full", "left_anti")
     both = both.join(number, "given", "left").join(twice, "full")
     shape = lambda c: F.transform(F.sequence(F.lit(1), F.length(c) - 1), lambda i: F.substring(c, i, F.lit(2)))

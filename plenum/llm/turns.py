@@ -77,18 +77,25 @@ def clean(text: Column, fillers: str = FILLERS) -> Column:
     return F.trim(F.regexp_replace(t, r"^[\s,;.…—-]+", ""))
 
 
-_MARK = "[,.;:!?…—-]"
+_MARKS = ",.;:!?…—-"
+_MARK = f"[{_MARKS}]"
 
 
 def _units(text: Column) -> Column:
     """The words of ``text``, and its set phrases, as structs (form, before, after): set off by a mark before, after?"""
-    words = F.filter(F.split(F.lower(_without(text, TIME_MARK, ANNOTATION)), r"\s+"), lambda w: w != "")
-    at = lambda i: F.coalesce(F.get(words, i), F.lit("."))
-    bare = lambda w: F.regexp_replace(w, r"[^\p{L}'’]", "")
-    unit = lambda form, i, j: F.struct(form.alias("form"), F.when(i == 0, True).otherwise(at(i - 1).rlike(f"{_MARK}$")).alias("before"), (at(j).rlike(f"{_MARK}$") | F.get(words, j + 1).isNull() | at(j + 1).rlike("^[—–-]+$")).alias("after"))
-    single = F.transform(words, lambda w, i: unit(bare(w), i, i))
-    double = F.filter(F.transform(words, lambda w, i: unit(F.concat(bare(w), F.lit(" "), bare(at(i + 1))), i, i + 1)), lambda u: u["form"].isin(PHRASES))
-    return F.concat(single, double)
+    once = lambda value, f: F.get(F.transform(F.array(value), f), F.lit(0))
+    split = F.filter(F.split(F.lower(_without(text, TIME_MARK, ANNOTATION)), r"\s+"), lambda w: w != "")
+    # every word is read once
+    read = F.transform(split, lambda w: F.struct(F.regexp_replace(w, r"[^\p{L}'’]", "").alias("form"), F.right(w, F.lit(1)).isin(*_MARKS).alias("ends"), w.isin("—", "–", "-", "--").alias("dash")))
+
+    def made(words: Column) -> Column:
+        unit = lambda form, i, j: F.struct(
+            form.alias("form"), F.coalesce(F.get(words, i - 1)["ends"], F.lit(True)).alias("before"), (F.get(words, j)["ends"] | F.coalesce(F.get(words, j + 1)["dash"], F.lit(True))).alias("after"))
+        single = F.transform(words, lambda w, i: unit(w["form"], i, i))
+        double = F.transform(words, lambda w, i: F.when(w["form"].isin(*[p.split(" ")[0] for p in PHRASES]), unit(F.concat(w["form"], F.lit(" "), F.coalesce(F.get(words, i + 1)["form"], F.lit(""))), i, F.least(i + 1, F.size(words) - 1))))
+        return F.concat(single, F.filter(double, lambda u: u["form"].isin(*PHRASES)))
+
+    return once(read, made)
 
 
 class FillerModel:
