@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plenum.runtime import cut
+from plenum.runtime import cut, release
 
 EDITS, TIMES, SHARED = 2, 4, 0.75
 #: Least similarity of two spellings of one organisation, how far behind any other one must be, and the share of weight in equal words.
@@ -345,11 +345,14 @@ class Registry:
         self.attended = sp.select("canonical_id", F.explode("session_ids").alias("session_id")).filter("session_id IS NOT NULL").distinct()
         parsed = cut(read_labels(distinct))
         self.shorts = cut(short_forms(parsed, spelt, uses.filter("label IS NOT NULL").select("label", "session_id"), self.attended))
+        release(sp.sparkSession)
         self.read = cut(corrected(parsed, self.shorts))
+        release(sp.sparkSession)
         self.members = cut(self._members())
         # who stands for whom: one row for each person or organisation and each session of any of its rows
         self.present = cut(self.members.join(self.attended, "canonical_id").select("who", "session_id").distinct())
         self.people = cut(self._people())
+        release(sp.sparkSession)
 
     def _forms(self) -> DataFrame:
         return self.spelt.join(self.read, "label")

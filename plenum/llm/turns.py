@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plenum.llm.names import Registry
-from plenum.runtime import cut
+from plenum.runtime import cut, release
 
 TRAIN_PAIRS, TREES, DEPTH = 20_000, 24, 3
 #: Log-odds of what the registry knows: more than all trees together can give.
@@ -308,6 +308,7 @@ def _pairs(df: DataFrame) -> DataFrame:
 def turn_sentences(sentences: DataFrame, blocks: DataFrame, speakers: DataFrame, known: float = KNOWN) -> DataFrame:
     """Every sentence that counts with the number of its ``turn`` inside its agenda item; ``known`` 0 leaves all to the trees."""
     df = cut(_pairs(labelled(sentences, blocks, speakers)))
+    release(df.sparkSession)
     odds = F.expr(boundary_model(df).sql(FEATURES)) + F.when(F.col("certain"), known * (2 * F.col("differ") - 1)).otherwise(0.0)
     df = df.withColumn("ends", F.when(F.col("first"), F.lit(1)).otherwise((odds > 0).cast("int")))
     order = Window.partitionBy("session_id", "agenda_item_index").orderBy("sec", "speech_block_index", "sentence_index", "sentence_id")
