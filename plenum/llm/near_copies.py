@@ -120,19 +120,15 @@ def _counters(sets: DataFrame, kind: str, t: float, known=None) -> np.ndarray:
 
 def _below(o: Ordered, hot: np.ndarray, t: float) -> tuple[np.ndarray, np.ndarray]:
     """(keys, places) of the nodes that take the place of hot ones: below a hot first word, each other one of the first words and one more."""
-    keys, places = [], []
-    wide = first_words(o.n, t, 1)
-    for i in np.flatnonzero((o.pos < first_words(o.n, t)[o.row]) & hot[_slot(o.h)]):
-        r = o.row[i]
-        others = np.arange(o.starts[r], o.starts[r] + wide[r])
-        others = others[others != i]
-        keys.append(_mixed(o.h[i] * _U(0x9E3779B97F4A7C15) + o.h[others]))
-        # a set of one word has no other: it stays below its only one
-        keys[-1] = keys[-1] if len(others) else o.h[i : i + 1]
-        places.append(np.full(max(len(others), 1), i))
-    if not keys:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    return np.concatenate(keys), np.concatenate(places)
+    i = np.flatnonzero((o.pos < first_words(o.n, t)[o.row]) & hot[_slot(o.h)])
+    many = first_words(o.n, t, 1)[o.row[i]]
+    places = np.repeat(i, many)
+    others = o.starts[o.row[places]] + np.arange(len(places)) - np.repeat(np.cumsum(many) - many, many)
+    # a set of one word has no other: it stays below its only one
+    alone = np.repeat(many == 1, many)
+    kept = alone | (others != places)
+    places, others, alone = places[kept], others[kept], alone[kept]
+    return np.where(alone, o.h[places], _mixed(o.h[places] * _U(0x9E3779B97F4A7C15) + o.h[others])), places
 
 
 NODES = "node bigint, tiles int, ck bigint, n int, gone int, c0 bigint, c1 bigint"

@@ -103,3 +103,24 @@ def test_no_description_of_its_own(spark):
 
 def test_empty(spark):
     assert found(spark, []) == set()
+
+
+def test_hot_words_of_a_batch_are_split_at_once(monkeypatch):
+    import pyarrow as pa
+
+    rng = random.Random(3)
+    sets = [[7]] + [rng.sample(range(60), rng.randrange(1, 14)) for _ in range(400)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(sets)), pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["ck", "hashes"])
+    o, hot = near_copies.Ordered(batch, None), np.zeros(near_copies.SLOTS, bool)
+    hot[near_copies._slot(np.arange(30, dtype=np.uint64))] = True
+    calls, mixed = [], near_copies._mixed
+    monkeypatch.setattr(near_copies, "_mixed", lambda x: calls.append(1) or mixed(x))
+    keys, places = near_copies._below(o, hot, 0.7)
+    assert len(calls) <= 3
+    want = []
+    for i in range(len(o.h)):
+        r = o.row[i]
+        if o.pos[i] < near_copies.first_words(o.n[r : r + 1], 0.7)[0] and hot[near_copies._slot(o.h[i : i + 1])[0]]:
+            others = [j for j in range(o.starts[r], o.starts[r] + near_copies.first_words(o.n[r : r + 1], 0.7, 1)[0]) if j != i]
+            want += [(int(mixed(o.h[i : i + 1] * np.uint64(0x9E3779B97F4A7C15) + o.h[j : j + 1])[0]), i) for j in others] or [(int(o.h[i]), i)]
+    assert list(zip(keys.tolist(), places.tolist())) == want and len(want) > 400
