@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -40,11 +41,37 @@ def ratio(a: str, b: str) -> int:
     return 100 if not total else round(200 * lcs(a, b) / total)
 
 
+def ratios(a: list[str | None], b: list[str | None]) -> list[int | None]:
+    """``ratio`` of each pair; those of at most 64 letters together, a block at a time, one letter of all ``b`` after the other."""
+    out: list[int | None] = [None] * len(a)
+    short = []
+    for i, (x, y) in enumerate(zip(a, b)):
+        if x is None or y is None:
+            continue
+        if 0 < len(x) <= 64 and 0 < len(y) <= 64:
+            short.append(i)
+        else:
+            out[i] = ratio(x, y)
+    for s in range(0, len(short), 2000):
+        at = short[s : s + 2000]
+        # the padding is no letter: bits of it lie outside of ``full``
+        xs, ys = (np.frombuffer("".join(t[i].ljust(64, "\0") for i in at).encode("utf-32-le", "surrogatepass"), "u4").reshape(-1, 64) for t in (a, b))
+        nx, ny = (np.array([len(t[i]) for i in at]) for t in (a, b))
+        full = np.uint64(2**64 - 1) >> (64 - nx).astype(np.uint64)
+        v = full.copy()
+        for j in range(int(ny.max())):
+            u = v & np.packbits(xs == ys[:, j : j + 1], axis=1, bitorder="little").view("<u8").ravel()
+            v = np.where(j < ny, ((v + u) | (v - u)) & full, v)
+        for i, n, common in zip(at, (nx + ny).tolist(), (nx - np.bitwise_count(v)).tolist()):
+            out[i] = round(200 * common / n)
+    return out
+
+
 @F.arrow_udf(IntegerType())
 def fuzzy_ratio_fast(parts: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
     """``fuzzy_ratio`` of two columns in Arrow batches."""
     for a, b in parts:
-        yield pa.array([None if x is None or y is None else ratio(x, y) for x, y in zip(a.to_pylist(), b.to_pylist())], pa.int32())
+        yield pa.array(ratios(a.to_pylist(), b.to_pylist()), pa.int32())
 
 
 def _bigrams(name: Column) -> Column:

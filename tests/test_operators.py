@@ -249,3 +249,14 @@ def test_provenance(spark):
     e = spark.createDataFrame([("s1", "v", 5, "a", "b"), ("s1", "v", 50, "a", "c"), ("s1", "w", None, "a", "d"), ("s0", "v", 7, "a", "e")], "session_id string, video_id string, evidence_timestamp_seconds int, source_id string, target_id string")
     got = lambda **k: [r["target_id"] for r in graph.provenance(e, **k).collect()]
     assert got() == ["e", "b", "c", "d"] and got(session="s1", video="v", first=6) == ["c"] and got(last=7) == ["e", "b"]
+
+
+def test_ratios_of_a_block_are_those_of_its_pairs():
+    import random
+
+    from plenum.operators.fuzzy import ratio, ratios
+
+    r = random.Random(1)
+    text = lambda: "".join(r.choice("abcde éß\U0001F600\0") for _ in range(r.randrange(80)))
+    a, b = ([None, "x" * 64, "", *(text() for _ in range(3000))] for _ in range(2))
+    assert ratios(a, b) == [None if x is None or y is None else ratio(x, y) for x, y in zip(a, b)]
