@@ -8,12 +8,13 @@ sets of overlap >= t differ in at most ``k = (1-t)/(1+t) (|a|+|b|)`` words: the
    ``n - ceil(t n) + 1`` words have used up the budget, so the trie's nodes below those words are all that can be met, and
    they are the partitions of the join. Nothing is sampled and nothing is lost.
 2. Inside a node a record is a parity code of ``BITS`` bits: each of its later words flips the bit it hashes to. Codes differ
-   in no more bits than the sets differ in words. Node pairs of the binary trie over these codes are traversed together, all
-   nodes of a task level by level; differing bits are added to what was accumulated, and a node pair is pruned once they
-   exceed the budget of the largest sets below it. Pairs of leaves (``LEAF`` codes) compare by XOR and bit count.
+   in no more bits than the sets differ in words. Records of one size and place of the node's word form a shelf with a binary
+   trie of its own; shelves whose budget is used up, or smaller than the difference of their sizes, do not meet. The tries of
+   shelves that meet are traversed together, level by level, and a node pair is pruned once its differing bits exceed the
+   budget. Node pairs (of ``LEAF`` codes, more where the budget left outlasts the levels) compare by XOR and bit count.
 3. What is left is verified on the full word sets.
 
-Hot nodes: a node with more than ``HOT`` records (a word that a third of all rows begin with) is split by the next word that
+Hot nodes: a node of more than ``HOT`` records whose shelves leave more than ``MOST HOT^2`` pairs is split by the next word that
 both sets have among their first words, one more of them counted; what is still hot after that is cut into ``TILE``-sized tiles
 whose pairs are tasks of their own. The sizes come from counters over all rows, ``SLOTS`` of them whatever the table's size;
 a counter that several words share only splits sooner.
@@ -39,10 +40,14 @@ from plenum.runtime import cut, received, ship
 BITS = 128
 #: Codes that a trie leaf holds.
 LEAF = 8
-#: Counters of words, and how many records make a node hot and fill a tile.
+#: Counters of words, how many records a hot node has at least, and a tile.
 SLOTS, HOT, TILE = 1 << 18, 50_000, 25_000
+#: Times the square of ``HOT``: pairs within budgets above which a hot node is split.
+MOST = 4
 #: Rows that a task takes up at once, node pairs of one step of the traversal, and members of one block of a class.
 ROWS, PAIRS, BLOCK = 200_000, 2_000_000, 512
+#: Codes at a side of what is compared as one rectangle, and cells of the rectangles that are compared at once.
+SIDE, CELLS = 512, 1 << 17
 
 _U = np.uint64
 
@@ -118,6 +123,44 @@ def _counters(sets: DataFrame, kind: str, t: float, known=None) -> np.ndarray:
     return out
 
 
+def _shelved(t: float, known):
+    """Batches of (ck, hashes) to (slot, size, gone, n): how many records of a shelf stand below a much used word."""
+
+    def run(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            often, many = received(known)
+            o = Ordered(batch, often)
+            slot = _slot(o.h).astype(np.int64)
+            i = np.flatnonzero((o.pos < first_words(o.n, t)[o.row]) & many[slot])
+            of, n = np.unique(np.stack([slot[i], o.n[o.row[i]], o.pos[i]]), axis=1, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(of[0], pa.int32()), pa.array(of[1], pa.int32()), pa.array(of[2], pa.int32()), pa.array(n)], names=["slot", "size", "gone", "n"])
+
+    return run
+
+
+def _crowded(sets: DataFrame, t: float, known) -> np.ndarray:
+    """Which slots' nodes leave more pairs of records than can be compared in one task, after those of shelves too far apart; a slot has few shelves."""
+    rows = sets.mapInArrow(_shelved(t, known), "slot int, size int, gone int, n bigint").groupBy("slot", "size", "gone").agg(F.sum("n").alias("n")).orderBy("slot").toArrow()
+    slot, size, gone, n = (rows.column(c).to_numpy().astype(np.int64) for c in ("slot", "size", "gone", "n"))
+    out = np.zeros(SLOTS, bool)
+    cuts = np.flatnonzero(np.r_[True, slot[1:] != slot[:-1], True])
+    for s, e in zip(cuts[:-1], cuts[1:]):
+        out[slot[s]] = _left(size[s:e], gone[s:e], n[s:e], t) > MOST * HOT * HOT
+    return out
+
+
+def _left(size: np.ndarray, gone: np.ndarray, n: np.ndarray, t: float) -> float:
+    """Pairs of records on the shelves of one node that can be within their budget."""
+    ratio, total = (1 - t) / (1 + t), 0.0
+    slack, below = ratio * size - gone, size - gone
+    for i in range(len(n)):
+        near = (slack + slack[i] + 1e-6 >= np.abs(below - below[i])) & (np.minimum(size, size[i]) >= t * np.maximum(size, size[i]) - 1e-9)
+        total += n[i] * float(n[near].sum()) / 2
+    return total
+
+
 def _below(o: Ordered, hot: np.ndarray, t: float) -> tuple[np.ndarray, np.ndarray]:
     """(keys, places) of the nodes that take the place of hot ones: below a hot first word, each other one of the first words and one more."""
     i = np.flatnonzero((o.pos < first_words(o.n, t)[o.row]) & hot[_slot(o.h)])
@@ -164,65 +207,81 @@ def _differing(c0, c1, i, j):
     return np.bitwise_count(c0[i] ^ c0[j]).astype(np.int32) + np.bitwise_count(c1[i] ^ c1[j])
 
 
-def trie_pairs(starts: np.ndarray, ends: np.ndarray, c0: np.ndarray, c1: np.ndarray, n: np.ndarray, gone: np.ndarray, t: float, seen: list | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs within their Hamming budget inside each range ``starts[i]:ends[i]`` of rows sorted by (c0, c1): one joint traversal of all tries.
+def _spread(many: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(i, k): each index ``many[i]`` times, counted."""
+    i = np.repeat(np.arange(len(many)), many)
+    return i, np.arange(len(i)) - np.repeat(np.cumsum(many) - many, many)
+
+
+def trie_pairs(starts: np.ndarray, ends: np.ndarray, c0: np.ndarray, c1: np.ndarray, n: np.ndarray, gone: np.ndarray, t: float, seen: list | None = None, met: tuple | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs within their Hamming budget inside each range ``starts[i]:ends[i]`` of rows sorted by (c0, c1), or across the ranges ``met``: one joint traversal of all tries.
 
     ``seen`` collects (node pairs met, node pairs pruned, code pairs compared).
     """
     ratio = (1 - t) / (1 + t)
-    slack = ratio * n - gone
     left, right = [], []
     tally = [0, 0, 0]
-
-    # the largest slack of any range, from those of all ranges of 1, 2, 4, ... rows
-    tops, step = [slack], 1
-    while len(starts) and 2 * step <= int((ends - starts).max()):
-        tops.append(np.maximum(tops[-1][:-step], tops[-1][step:]))
-        step *= 2
-
-    def most(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        level = np.frexp(b - a)[1] - 1
-        out = np.empty(len(a))
-        for k in np.unique(level):
-            at = level == k
-            out[at] = np.maximum(tops[k][a[at]], tops[k][b[at] - (1 << int(k))])
-        return out
-
-    def compare(al, ah, bl, bh):
-        for s in range(0, len(al), max(1, PAIRS // (LEAF * LEAF))):
-            e = s + max(1, PAIRS // (LEAF * LEAF))
-            na, nb = ah[s:e] - al[s:e], bh[s:e] - bl[s:e]
-            size = na * nb
-            which = np.repeat(np.arange(len(size)), size)
-            k = np.arange(len(which)) - np.repeat(np.cumsum(size) - size, size)
-            i, j = al[s:e][which] + k // nb[which], bl[s:e][which] + k % nb[which]
-            own = (al[s:e] == bl[s:e])[which]
-            keep = ~own | (i < j)
-            i, j = i[keep], j[keep]
-            tally[2] += len(i)
-            ok = _differing(c0, c1, i, j) + gone[i] + gone[j] <= np.floor(ratio * (n[i] + n[j]) + 1e-9)
-            left.append(i[ok])
-            right.append(j[ok])
-
-    work = [(starts, ends, starts, ends, np.zeros(len(starts), np.int64), 0)]
+    if not len(starts):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    # the largest slack of each range: a pair's budget is at most those of its two ranges together
+    top = np.maximum.reduceat(np.append(ratio * n - gone, -np.inf), np.stack([starts, ends], 1).ravel())[::2]
+
+    def compare(al, ah, bl, bh, most):
+        own = al == bl
+        if (np.maximum(ah - al, bh - bl) > SIDE).any():
+            ka, kb = -(-(ah - al) // SIDE), -(-(bh - bl) // SIDE)
+            which, k = _spread(ka * kb)
+            pa_, pb = k // kb[which], k % kb[which]
+            once = ~own[which] | (pa_ <= pb)
+            which, pa_, pb = which[once], pa_[once], pb[once]
+            al, bl, own, most, ends_a, ends_b = al[which] + SIDE * pa_, bl[which] + SIDE * pb, own[which], most[which], ah[which], bh[which]
+            ah, bh = np.minimum(al + SIDE, ends_a), np.minimum(bl + SIDE, ends_b)
+        na, nb = ah - al, bh - bl
+        tally[2] += int(np.where(al == bl, na * (na - 1) // 2, na * nb).sum())
+        ea, eb = (np.frexp(x - 1)[1].astype(np.int64) for x in (na, nb))
+        # rectangles of like shape together, padded to powers of two
+        kind = ea * 64 + eb
+        order = np.argsort(kind, kind="stable")
+        cuts = np.flatnonzero(np.r_[True, np.diff(kind[order]) != 0, True])
+        for g0, g1 in zip(cuts[:-1], cuts[1:]):
+            wa, wb = int(ea[order[g0]]), int(eb[order[g0]])
+            step = max(1, CELLS >> (wa + wb))
+            for s in range(g0, g1, step):
+                at = order[s : min(s + step, g1)]
+                x = c0[np.minimum(al[at][:, None] + np.arange(1 << wa), len(c0) - 1)]
+                y = c0[np.minimum(bl[at][:, None] + np.arange(1 << wb), len(c0) - 1)]
+                near = np.bitwise_count(x[:, :, None] ^ y[:, None, :]) <= np.minimum(most[at], BITS).astype(np.uint8)[:, None, None]
+                hits = np.flatnonzero(near)
+                m = at[hits >> (wa + wb)]
+                i, j = al[m] + ((hits >> wb) & ((1 << wa) - 1)), bl[m] + (hits & ((1 << wb) - 1))
+                real = (i < ah[m]) & (j < bh[m]) & (~own[m] | (i < j))
+                i, j = i[real], j[real]
+                ok = _differing(c0, c1, i, j) + gone[i] + gone[j] <= np.floor(ratio * (n[i] + n[j]) + 1e-9)
+                left.append(i[ok])
+                right.append(j[ok])
+
+    x, y = met if met is not None else (np.arange(len(starts)),) * 2
+    work = [(starts[x], ends[x], starts[y], ends[y], *(np.floor(top[x] + top[y] + 1e-6).astype(np.int16),) * 2, 0)]
     while work:
-        al, ah, bl, bh, bits, depth = work.pop()
+        # a node pair's budget, and the bits of it that are left below
+        al, ah, bl, bh, whole, rest, depth = work.pop()
         if len(al) > PAIRS:
             h = len(al) // 2
-            work += [(al[:h], ah[:h], bl[:h], bh[:h], bits[:h], depth), (al[h:], ah[h:], bl[h:], bh[h:], bits[h:], depth)]
+            work += [(*(v[:h] for v in (al, ah, bl, bh, whole, rest)), depth), (*(v[h:] for v in (al, ah, bl, bh, whole, rest)), depth)]
             continue
         alive = (al < ah) & (bl < bh)
-        al, ah, bl, bh, bits = (x[alive] for x in (al, ah, bl, bh, bits))
+        al, ah, bl, bh, whole, rest = (v[alive] for v in (al, ah, bl, bh, whole, rest))
         if not len(al):
             continue
         tally[0] += len(al)
-        within = bits <= most(al, ah) + most(bl, bh) + 1e-9
+        within = rest >= 0
         tally[1] += int((~within).sum())
-        al, ah, bl, bh, bits = (x[within] for x in (al, ah, bl, bh, bits))
-        leaf = (np.maximum(ah - al, bh - bl) <= LEAF) | (depth == BITS)
+        al, ah, bl, bh, whole, rest = (v[within] for v in (al, ah, bl, bh, whole, rest))
+        # ``rest`` levels cannot prune anything: what they would split down to leaves is a leaf
+        leaf = (np.maximum(ah - al, bh - bl) <= LEAF * np.exp2(np.minimum(rest, 40))) | (depth == BITS)
         if leaf.any():
-            compare(al[leaf], ah[leaf], bl[leaf], bh[leaf])
-        al, ah, bl, bh, bits = (x[~leaf] for x in (al, ah, bl, bh, bits))
+            compare(al[leaf], ah[leaf], bl[leaf], bh[leaf], whole[leaf])
+        al, ah, bl, bh, whole, rest = (v[~leaf] for v in (al, ah, bl, bh, whole, rest))
         if not len(al):
             continue
         word, bit = (c0, 63 - depth) if depth < 64 else (c1, 127 - depth)
@@ -231,7 +290,7 @@ def trie_pairs(starts: np.ndarray, ends: np.ndarray, c0: np.ndarray, c1: np.ndar
         am, bm = ah - (ones[ah] - ones[al]), bh - (ones[bh] - ones[bl])
         other = ~((al == bl) & (ah == bh))
         work.append((np.concatenate([al, am, al, am[other]]), np.concatenate([am, ah, am, ah[other]]), np.concatenate([bl, bm, bm, bl[other]]), np.concatenate([bm, bh, bh, bm[other]]),
-                     np.concatenate([bits, bits, bits + 1, bits[other] + 1]), depth + 1))
+                     np.concatenate([whole, whole, whole, whole[other]]), np.concatenate([rest, rest, rest - 1, rest[other] - 1]), depth + 1))
     if seen is not None:
         seen.append(tuple(tally))
     if not left:
@@ -239,6 +298,36 @@ def trie_pairs(starts: np.ndarray, ends: np.ndarray, c0: np.ndarray, c1: np.ndar
     return np.concatenate(left), np.concatenate(right)
 
 
+def _shelves(node: np.ndarray, n: np.ndarray, gone: np.ndarray, t: float):
+    """(starts, ends, pairs of them) of rows sorted by (node, n - gone, n): the shelves of one node, n and gone whose codes can be within a budget.
+
+    What stands below a node is ``n - gone`` words, so two shelves differ in no fewer bits than these numbers differ. Pairs come in portions.
+    """
+    ratio = (1 - t) / (1 + t)
+    below = n - gone
+    starts = np.flatnonzero(np.r_[True, (node[1:] != node[:-1]) | (below[1:] != below[:-1]) | (n[1:] != n[:-1])])
+    ends = np.r_[starts[1:], len(node)]
+    node, n, below, slack = node[starts], n[starts], below[starts], ratio * n[starts] - gone[starts]
+    first = np.flatnonzero(np.r_[True, node[1:] != node[:-1]])
+    nth = np.repeat(np.arange(len(first)), np.diff(np.r_[first, len(node)]))
+    reach = slack + np.maximum.reduceat(slack, first)[nth] + 1e-6
+    wide = int(below.max()) + 1
+    # the shelves from this one on that its words and the node's largest slack reach
+    last = np.searchsorted(nth * wide + below, nth * wide + np.minimum(below + np.maximum(np.floor(reach), 0), wide - 1).astype(np.int64), "right")
+    many = np.where(reach >= 0, last - np.arange(len(starts)), 0)
+    upto = np.cumsum(many)
+    s = 0
+    while s < len(many):
+        e = max(s + 1, int(np.searchsorted(upto, (upto[s - 1] if s else 0) + PAIRS, "right")))
+        x, k = _spread(many[s:e])
+        x = x + s
+        y = x + k
+        fits = (slack[x] + slack[y] + 1e-6 >= below[y] - below[x]) & (np.minimum(n[x], n[y]) >= t * np.maximum(n[x], n[y]) - 1e-9) & ((x != y) | (ends[x] - starts[x] > 1))
+        if fits.any():
+            yield starts, ends, (x[fits], y[fits])
+        s = e
+
+
 def _joined(t: float):
     """Rows sorted by (node, c0, c1) to candidate pairs; a tile pair's rows of different tiles meet, those of one tile where it is paired with itself."""
 
@@ -248,14 +337,13 @@ def _joined(t: float):
         c0, c1 = (table.column(c).to_numpy() for c in ("c0", "c1"))
         # as unsigned numbers in order
         c0, c1 = c0.view(np.uint64), c1.view(np.uint64)
-        order = np.lexsort((c1, c0, key))
+        order = np.lexsort((c1, c0, n, n - gone, key))
         key, n, gone, tile, c0, c1 = (x[order] for x in (key, n, gone, tile, c0, c1))
         ck = table.column("ck").to_numpy()[order]
-        starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-        ends = np.r_[starts[1:], len(key)]
-        many = ends - starts > 1
-        i, j = trie_pairs(starts[many], ends[many], c0, c1, n.astype(np.int64), gone.astype(np.int64), t)
-        fits = (np.minimum(n[i], n[j]) >= t * np.maximum(n[i], n[j]) - 1e-9) & (ck[i] != ck[j]) & ((tile[i] < 0) | (tile[i] != tile[j]))
+        n, gone = n.astype(np.int64), gone.astype(np.int64)
+        found = [trie_pairs(starts, ends, c0, c1, n, gone, t, None, met) for starts, ends, met in _shelves(key, n, gone, t)]
+        i, j = (np.concatenate([np.zeros(0, np.int64), *(f[k] for f in found)]) for k in (0, 1))
+        fits = (ck[i] != ck[j]) & ((tile[i] < 0) | (tile[i] != tile[j]))
         i, j = i[fits], j[fits]
         if not len(i):
             return None
@@ -310,6 +398,8 @@ def candidate_pairs(whole: DataFrame, threshold: float) -> DataFrame:
     sets = whole.select("ck", "hashes")
     often = _counters(sets, "word", threshold)
     hot = _counters(sets, "first", threshold, ship(spark, (often, None))) > HOT
+    if hot.any():
+        hot = _crowded(sets, threshold, ship(spark, (often, hot)))
     filled = _counters(sets, "second", threshold, ship(spark, (often, hot))) if hot.any() else None
     rows = sets.mapInArrow(_nodes(threshold, ship(spark, (often, hot, filled))), NODES)
     if hot.any():

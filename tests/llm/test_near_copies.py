@@ -124,3 +124,35 @@ def test_hot_words_of_a_batch_are_split_at_once(monkeypatch):
             others = [j for j in range(o.starts[r], o.starts[r] + near_copies.first_words(o.n[r : r + 1], 0.7, 1)[0]) if j != i]
             want += [(int(mixed(o.h[i : i + 1] * np.uint64(0x9E3779B97F4A7C15) + o.h[j : j + 1])[0]), i) for j in others] or [(int(o.h[i]), i)]
     assert list(zip(keys.tolist(), places.tolist())) == want and len(want) > 400
+
+
+def test_records_of_unlike_sizes_or_places_are_not_compared(monkeypatch):
+    import pyarrow as pa
+
+    # a stock word's node: most records have used up much of their budget before it
+    rng = np.random.default_rng(5)
+    n, gone = rng.integers(20, 61, 3000), rng.integers(2, 11, 3000)
+    codes = np.zeros((3000, 2), np.uint64)
+    for i, many in enumerate(n - gone):
+        for word in rng.choice(90, many, replace=False):
+            codes[i, word // 64] ^= np.uint64(1) << np.uint64(word % 64)
+    codes[1::2], n[1::2], gone[1::2] = codes[::2], n[::2], gone[::2] // 2
+    codes[1::2, 0] ^= np.uint64(1) << rng.integers(0, 60, 1500).astype(np.uint64)
+    n[1::2] += gone[1::2] - gone[::2] + np.where(np.bitwise_count(codes[1::2, 0]) > np.bitwise_count(codes[::2, 0]), 1, -1)
+    table = pa.table({"node": np.full(3000, 7), "ck": np.arange(3000), "n": n.astype("i4"), "gone": gone.astype("i4"), "c0": codes[:, 0].view(np.int64), "c1": codes[:, 1].view(np.int64), "tile": np.full(3000, -1, "i4")})
+    seen, whole = [], near_copies.trie_pairs
+    monkeypatch.setattr(near_copies, "trie_pairs", lambda *a: whole(*a[:7], seen, *a[8:]))
+    got = {tuple(sorted(p)) for b in near_copies._joined(0.7)(table.to_batches()) for p in zip(*(b.column(k).to_pylist() for k in (0, 1)))}
+    bits = sum(np.bitwise_count(codes[:, None, w] ^ codes[None, :, w]).astype(int) for w in (0, 1))
+    ok = bits + gone[:, None] + gone[None, :] <= np.floor(0.3 / 1.7 * (n[:, None] + n[None, :]) + 1e-9)
+    ok &= np.minimum(n[:, None], n[None, :]) >= 0.7 * np.maximum(n[:, None], n[None, :]) - 1e-9
+    assert got == {(int(a), int(b)) for a, b in zip(*np.nonzero(ok)) if a < b} and len(got) > 100
+    assert sum(s[2] for s in seen) < 0.3 * 3000 * 2999 / 2
+
+
+def test_pairs_left_on_the_shelves_of_a_node():
+    rng = np.random.default_rng(6)
+    size, gone = rng.integers(5, 30, 400), rng.integers(0, 5, 400)
+    of, n = np.unique(np.stack([size, gone]), axis=1, return_counts=True)
+    ok = (0.3 / 1.7 * (size[:, None] + size) - gone[:, None] - gone + 1e-6 >= abs((size - gone)[:, None] - (size - gone))) & (np.minimum(size[:, None], size) >= 0.7 * np.maximum(size[:, None], size) - 1e-9)
+    assert near_copies._left(of[0], of[1], n, 0.7) == ok.sum() / 2 and 0 < ok.sum() < 400 * 400
