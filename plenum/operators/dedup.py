@@ -2,7 +2,7 @@
 
 Candidates are pairs of one type, older first, with fuzzy >= 0.85, vector >= 0.85 or 0.3 fuzzy + 0.7 vector >= 0.80.
 Exactly: a pair below fuzzy 0.85 must have vector >= 5/7, which blocked matrix products find tile by tile; pairs at or
-above it come from the exact fuzzy join. Only pairs that pass leave a task. A type's tiles bound the memory of a task
+above it come from comparing the counts of letters of all names of both tiles. Only pairs that pass leave a task. A type's tiles bound the memory of a task
 whatever the type's size; the work for the largest type stays quadratic, as the definition asks.
 
 Defined results: a missing, wrongly sized or zero vector scores 0; null names and aliases are ignored; pairs need both
@@ -11,16 +11,23 @@ ids; equal times are ordered by id; every id of a group, however long its chains
 
 from __future__ import annotations
 
+import zlib
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plenum.operators.fuzzy import lcs, similar_names
+from plenum.operators.fuzzy import alike, lcs
 from plenum.runtime import cut
 
 FUZZY, VECTOR, HYBRID = 0.85, 0.85, 0.80
-TILE = 2000
+#: Entities of a tile, and of those rows and pairs of names that are taken up at once.
+TILE, ROWS, MET = 12_000, 512, 4_000_000
+#: Error of a product of unit vectors in single precision.
+SINGLE = 5e-6
 #: Salted shares of one vertex.
 SALTS = 16
 _PAIR = "left_id string, right_id string, fuzzy double, vector double"
@@ -46,84 +53,164 @@ def _best(a: list[str], b: list[str], need: float = 0.0) -> float:
     return best
 
 
+def _unit_free(packed: list[bytes | None], dim: int) -> tuple[np.ndarray, np.ndarray]:
+    """Vectors scaled by powers of two, and their lengths; what is missing is 0 with length 1."""
+    x = np.zeros((len(packed), dim), "f4")
+    for i, p in enumerate(packed):
+        if p is not None:
+            raw = zlib.decompress(p)
+            planes = np.frombuffer(raw, "u1").reshape(-1, dim)
+            x[i] = np.ascontiguousarray(planes.T).view("f2" if len(planes) == 2 else "f4").ravel()
+    x = np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, initial=0))[1][:, None])
+    norm = np.sqrt(np.concatenate([np.zeros(0), *((x[s : s + 1000].astype("f8") ** 2).sum(1) for s in range(0, len(x), 1000))]))
+    return x, np.where(norm == 0, 1.0, norm)
+
+
+def _runs(starts: np.ndarray, many: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(i, places): the places ``starts[i]``, ``starts[i] + 1``, ... of each i, ``many[i]`` of them."""
+    i = np.repeat(np.arange(len(many)), many)
+    return i, starts[i] + np.arange(len(i)) - np.repeat(np.cumsum(many) - many, many)
+
+
+class _Alike:
+    """Which records of ``second`` have a name alike to one of a record of ``first``, and the best ratio; ``own``: both are the same records."""
+
+    def __init__(self, names: pa.ListArray, first: np.ndarray, second: np.ndarray, own: bool):
+        holder = pc.list_parent_indices(names).to_numpy()
+        spelled = names.flatten().dictionary_encode()
+        code, text = spelled.indices.to_numpy(), spelled.dictionary.to_pylist()
+        self.own, self.width = own, len(second)
+        sides = []
+        for rows in (first, second):
+            at = np.full(len(names), -1)
+            at[rows] = np.arange(len(rows))
+            mine = at[holder] >= 0
+            used, name = np.unique(code[mine], return_inverse=True)
+            sides.append((at[holder][mine], name, [text[k] for k in used]))
+        (self.x, self.name, a), (y, other, b) = sides
+        i, j, q = alike(a, None if own else b, int(FUZZY * 100))
+        if own:
+            same = np.arange(len(a))
+            i, j, q = np.concatenate([i, j, same]), np.concatenate([j, i, same]), np.concatenate([q, q, np.full(len(a), 100)])
+        order = np.argsort(i, kind="stable")
+        self.j, self.q = j[order], q[order]
+        self.near = np.bincount(i, minlength=len(a))
+        self.near_at = np.cumsum(self.near) - self.near
+        order = np.argsort(other, kind="stable")
+        self.y, self.held = y[order], np.bincount(other, minlength=len(b))
+        self.held_at = np.cumsum(self.held) - self.held
+        weight = np.bincount(i, self.held[j], len(a)) if len(i) else np.zeros(len(a))
+        # pairs met, by the record of ``first``
+        self.upto = np.cumsum(np.bincount(self.x, weight[self.name], len(first)))
+
+    def best(self, s: int, e: int) -> np.ndarray:
+        """Ratios of the records ``s:e`` of ``first`` with all of ``second``, 0 where no names are alike."""
+        out = np.zeros((e - s) * self.width, np.uint8)
+        o = slice(*np.searchsorted(self.x, (s, e)))
+        i, at = _runs(self.near_at[self.name[o]], self.near[self.name[o]])
+        x, j, q = self.x[o][i], self.j[at], self.q[at]
+        i, at = _runs(self.held_at[j], self.held[j])
+        x, y, q = x[i], self.y[at], q[i].astype(np.uint8)
+        if self.own:
+            later = y > x
+            x, y, q = x[later], y[later], q[later]
+        # the best is written last
+        order = np.argsort(q, kind="stable")
+        out[((x - s) * self.width + y)[order]] = q[order]
+        return out.reshape(e - s, self.width)
+
+
 def _tile(dim: int):
-    """One pair of tiles: all pairs of high vector similarity, and the vectors' similarity of the pairs alike by name."""
+    """One pair of tiles: all pairs alike by name or by vector, with both similarities."""
 
-    def run(t: pa.Table, listed: pa.Table) -> pa.Table:
-        if not t.num_rows:
-            return pa.table([pa.array([], pa.string())] * 2 + [pa.array([], pa.float64())] * 2, names=["left_id", "right_id", "fuzzy", "vector"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = pa.Table.from_batches(list(batches)).combine_chunks()
         ids = t.column("entity_id").to_pylist()
-        names = t.column("names").to_pylist()
+        names = t.column("names").combine_chunks()
+        texts = None
         first, second = (np.flatnonzero(t.column(c).to_numpy()) for c in ("is_first", "is_second"))
-        x = np.frombuffer(b"".join(t.column("vec").to_pylist()), "f4").reshape(-1, dim).astype("f8")
-        x /= np.sqrt((x * x).sum(1))[:, None]
-        age = list(zip(t.column("created").to_pylist(), ids))
-        place = {e: i for i, e in enumerate(ids)}
-        out: list[tuple] = []
-        done = set()
-        for a, b, f in zip(listed.column("left_id").to_pylist(), listed.column("right_id").to_pylist(), listed.column("fuzzy").to_pylist()):
-            out.append((a, b, f, float(x[place[a]] @ x[place[b]])))
-            done.add((a, b))
         within = len(first) == len(second) and bool((first == second).all())
-        for s in range(0, len(first), 512):
-            part = first[s : s + 512]
-            sim = x[part] @ x[second].T
-            for i, j in zip(*np.nonzero(sim >= 5 / 7 - 1e-9)):
-                a, b, v = int(part[i]), int(second[j]), float(sim[i, j])
-                if age[a] >= age[b]:
-                    if within:
-                        continue
-                    a, b = b, a
-                if (ids[a], ids[b]) in done:
+        x, norm = _unit_free(t.column("vec").to_pylist(), dim)
+        left_x, right_x, left_n, right_n = x[first], x if within else x[second], norm[first], norm[second]
+        age = np.empty(len(ids), np.int64)
+        created = t.column("created").to_pylist()
+        age[sorted(range(len(ids)), key=lambda i: (created[i], ids[i]))] = np.arange(len(ids))
+        named = _Alike(names, first, second, within)
+        text = pa.array(ids, pa.string())
+        met: set | None = set() if len(set(ids)) < len(ids) else None  # only where ids are repeated in the table
+        s = 0
+        while s < len(first):
+            e = max(s + 1, min(s + ROWS, int(np.searchsorted(named.upto, (named.upto[s - 1] if s else 0) + MET, "right"))))
+            best = named.best(s, e)
+            sim = left_x[s:e] @ right_x.T
+            sim *= (1 / left_n[s:e]).astype("f4")[:, None]
+            sim *= (1 / right_n).astype("f4")[None]
+            i, j = np.nonzero((best > 0) | (sim >= 5 / 7 - 2 * SINGLE))
+            if within:
+                i, j = i[j > i + s], j[j > i + s]
+            v, f, a, b = sim[i, j].astype("f8"), best[i, j] / 100, first[s + i], second[j]
+            # where single precision may round to another result, the product is taken in double precision
+            unsure = (f == 0) | (_near_half(v) | _near_half(0.3 * f + 0.7 * v))
+            at = np.flatnonzero(unsure & (sim[i, j] != 0))
+            for k in (at[p : p + 4096] for p in range(0, len(at), 4096)):
+                v[k] = np.einsum("ij,ij->i", left_x[s + i[k]].astype("f8"), right_x[j[k]].astype("f8")) / (left_n[s + i[k]] * right_n[j[k]])
+            keep = np.ones(len(a), bool)
+            for k in np.flatnonzero(f == 0):
+                if v[k] < 5 / 7 - 1e-9:
+                    keep[k] = False
                     continue
-                need = 0.0 if v >= VECTOR else (HYBRID - 0.7 * v) / 0.3
-                f = _best(names[a], names[b], need)
-                if v >= VECTOR or 0.3 * f + 0.7 * v >= HYBRID:
-                    out.append((ids[a], ids[b], f, v))
-        cols = list(zip(*out)) if out else [[]] * 4
-        return pa.table([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.float64()), pa.array(cols[3], pa.float64())], names=["left_id", "right_id", "fuzzy", "vector"])
+                texts = texts or names.to_pylist()
+                f[k] = _best(texts[a[k]], texts[b[k]], 0.0 if v[k] >= VECTOR else (HYBRID - 0.7 * v[k]) / 0.3)
+                keep[k] = v[k] >= VECTOR or 0.3 * f[k] + 0.7 * v[k] >= HYBRID
+            older = age[a] < age[b]
+            a, b = np.where(older, a, b), np.where(older, b, a)
+            if met is not None:
+                for k in np.flatnonzero(keep):
+                    row = (ids[a[k]], ids[b[k]], f[k], round(v[k], 4))
+                    keep[k] = row[0] != row[1] and row not in met
+                    met.add(row)
+            yield pa.RecordBatch.from_arrays([text.take(pa.array(a[keep])), text.take(pa.array(b[keep])), pa.array(f[keep]), pa.array(v[keep])], names=["left_id", "right_id", "fuzzy", "vector"])
+            s = e
 
     return run
 
 
+def _near_half(v: np.ndarray) -> np.ndarray:
+    """Where a number changed by ``SINGLE`` may have other four decimals."""
+    return np.abs(np.abs(v * 1e4) % 1 - 0.5) <= SINGLE * 1e4
+
+
 def candidates(entities: DataFrame, dim: int = 768) -> DataFrame:
     """(keep_id, merge_id, fuzzy, vector, hybrid): every pair that passes one of the thresholds."""
     df = _names(entities.filter("entity_id IS NOT NULL AND entity_type IS NOT NULL")).withColumn("created", F.coalesce(F.unix_micros(F.col("created_at").cast("timestamp")), F.lit(0)))
-    good = df.filter(f"size(embedding) = {dim} AND exists(embedding, x -> x <> 0) AND forall(embedding, x -> x IS NOT NULL)")
-    sizes = F.broadcast(good.groupBy("entity_type").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles")))  # one row a type
-    # pairs alike by name, whatever their vectors
-    named = df.select("entity_type", "entity_id", F.explode("names").alias("name"))
-    alike = cut(similar_names(named, None, int(FUZZY * 100), "entity_type"))
-    pairs = named.select("entity_type", F.col("name").alias("a"), F.col("entity_id").alias("x")).join(alike, ["entity_type", "a"]).join(named.select("entity_type", F.col("name").alias("b"), F.col("entity_id").alias("y")), ["entity_type", "b"])
-    best = pairs.filter("x <> y").groupBy("entity_type", "x", "y").agg((F.max("ratio") / 100).alias("fuzzy"))
-    tile = good.join(sizes, "entity_type").select("entity_id", F.pmod(F.xxhash64("entity_id"), F.col("tiles")).cast("int").alias("t"))
-    age = df.select("entity_id", "created").join(tile, "entity_id", "left")
-    side = lambda p: age.select(F.col("entity_id").alias(p), F.col("created").alias(f"c{p}"), F.col("t").alias(f"t{p}"))
-    older = best.join(side("x"), "x").join(side("y"), "y").filter("cx < cy OR (cx = cy AND x < y)")
-    older = cut(older.select("entity_type", F.least("tx", "ty").alias("ti"), F.greatest("tx", "ty").alias("tj"), F.col("x").alias("left_id"), F.col("y").alias("right_id"), "fuzzy", (F.col("tx").isNotNull() & F.col("ty").isNotNull()).alias("both")))
+    good = F.expr(f"size(embedding) = {dim} AND exists(embedding, x -> x <> 0) AND forall(embedding, x -> x IS NOT NULL)")
+    sizes = F.broadcast(df.groupBy("entity_type").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles")))  # one row a type
+    packed = df.join(sizes, "entity_type").select("entity_type", "entity_id", "created", "names", "tiles", F.pmod(F.xxhash64("entity_id"), F.col("tiles")).cast("int").alias("t"), F.when(good, F.col("embedding")).alias("embedding"))
+    packed = packed.mapInArrow(_pack, "entity_type string, entity_id string, created bigint, names array<string>, tiles int, t int, vec binary")
     # each entity once for every pair of tiles that its tile is in
-    packed = good.join(sizes, "entity_type").select("entity_type", "entity_id", "created", "names", "embedding", "tiles", F.pmod(F.xxhash64("entity_id"), F.col("tiles")).cast("int").alias("t"))
     spread = packed.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).withColumns({"ti": F.least("t", "o"), "tj": F.greatest("t", "o")})
-    routed = spread.select("entity_type", "ti", "tj", "entity_id", "created", "names", (F.col("t") == F.col("ti")).alias("is_first"), (F.col("t") == F.col("tj")).alias("is_second"), "embedding")
-    routed = routed.mapInArrow(_pack, "entity_type string, ti int, tj int, entity_id string, created bigint, names array<string>, is_first boolean, is_second boolean, vec binary")
-    keys = ["entity_type", "ti", "tj"]
-    listed = older.filter("both").select(*keys, "left_id", "right_id", "fuzzy")
-    found = routed.groupBy(*keys).cogroup(listed.groupBy(*keys)).applyInArrow(_tile(dim), _PAIR)
-    out = found.unionByName(older.filter("NOT both").select("left_id", "right_id", "fuzzy", F.lit(0.0).alias("vector"))).distinct()
-    return out.select(F.col("left_id").alias("keep_id"), F.col("right_id").alias("merge_id"), F.round("fuzzy", 4).alias("fuzzy"), F.round("vector", 4).alias("vector"), F.round(0.3 * F.col("fuzzy") + 0.7 * F.col("vector"), 4).alias("hybrid"))
+    routed = spread.select("entity_type", "ti", "tj", "entity_id", "created", "names", (F.col("t") == F.col("ti")).alias("is_first"), (F.col("t") == F.col("tj")).alias("is_second"), "vec")
+    found = routed.groupBy("entity_type", "ti", "tj").applyInArrow(_tile(dim), _PAIR)
+    return found.select(F.col("left_id").alias("keep_id"), F.col("right_id").alias("merge_id"), F.round("fuzzy", 4).alias("fuzzy"), F.round("vector", 4).alias("vector"), F.round(0.3 * F.col("fuzzy") + 0.7 * F.col("vector"), 4).alias("hybrid"))
 
 
 def ranked(pairs: DataFrame) -> DataFrame:
     """Candidates, the highest hybrid score first, equal ones by their ids."""
-    return pairs.orderBy(F.desc("hybrid"), "keep_id", "merge_id")
+    # shuffled before, as the sort reads its input twice
+    return pairs.repartition("keep_id").orderBy(F.desc("hybrid"), "keep_id", "merge_id")
 
 
 def _pack(batches):
+    """``embedding`` as ``vec``: its bytes by significance, compressed; in half precision where nothing is lost."""
     for b in batches:
         lists = b.column("embedding")
         flat = lists.flatten().to_numpy(zero_copy_only=False).astype("f4")
-        rows = flat.reshape(b.num_rows, -1) if b.num_rows else flat
-        vec = pa.array([r.tobytes() for r in rows], pa.binary())
+        held = np.asarray(lists.is_valid())
+        rows = flat.reshape(int(held.sum()), -1) if len(flat) else flat.reshape(0, 1)
+        with np.errstate(over="ignore"):
+            half = rows.astype("f2")
+        packed = iter([zlib.compress(np.ascontiguousarray((h if (h == r).all() else r).view("u1").reshape(len(r), -1).T).tobytes(), 1) for r, h in zip(rows, half)])
+        vec = pa.array([next(packed) if ok else None for ok in held], pa.binary())
         yield pa.RecordBatch.from_arrays([*(b.column(n) for n in b.schema.names if n != "embedding"), vec], names=[*(n for n in b.schema.names if n != "embedding"), "vec"])
 
 

@@ -20,6 +20,9 @@ from pyspark.sql.types import IntegerType
 
 from plenum.runtime import cut
 
+#: Names at a side of a block of pairs.
+BLOCK = 512
+
 
 def lcs(a: str, b: str) -> int:
     """Length of the longest common subsequence, one machine word row per letter of ``b``."""
@@ -67,6 +70,89 @@ def ratios(a: list[str | None], b: list[str | None]) -> list[int | None]:
     return out
 
 
+class _Spelled:
+    """Names in order of length: their letters as numbers, and how often each of 32 kinds of letters occurs, in unary, four bits each."""
+
+    def __init__(self, names: list[str]):
+        self.order = np.argsort([len(x) for x in names], kind="stable")
+        self.names = [names[i] for i in self.order]
+        self.n = np.array([len(x) for x in self.names], np.int64)
+        self.flat = np.frombuffer("".join(self.names).encode("utf-32-le", "surrogatepass"), "u4")
+        self.starts = np.cumsum(self.n) - self.n
+        row = np.repeat(np.arange(len(self.n)), self.n)
+        often = np.bincount(row * 32 + self.flat % 32, minlength=32 * len(self.n)).reshape(-1, 32)
+        unary = (np.uint64(1) << np.minimum(often, 4).astype(np.uint64)) - np.uint64(1)
+        by = (4 * np.arange(16)).astype(np.uint64)
+        self.codes = [np.bitwise_or.reduce(unary[:, 16 * h : 16 * h + 16] << by, axis=1) for h in (0, 1)]
+
+
+def _common(a: _Spelled, b: _Spelled, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """``lcs`` of names ``a[i]``, of at most 64 letters each, and ``b[j]``, one letter of all ``b[j]`` after the other."""
+    at, place = np.unique(i, return_inverse=True)
+    n = a.n[at]
+    k = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+    alphabet, letter = np.unique(a.flat[np.repeat(a.starts[at], n) + k], return_inverse=True)
+    masks = np.zeros((len(at), len(alphabet) + 1), np.uint64)
+    np.bitwise_or.at(masks, (np.repeat(np.arange(len(at)), n), letter), np.uint64(1) << k.astype(np.uint64))
+    other, there = np.unique(j, return_inverse=True)
+    longest = int(b.n[other].max())
+    letters = np.full((len(other), longest), len(alphabet), np.int64)  # letters that no ``a`` has
+    k = np.arange(longest) < b.n[other][:, None]
+    own = b.flat[np.repeat(b.starts[other], b.n[other]) + np.nonzero(k)[1]]
+    found = np.minimum(np.searchsorted(alphabet, own), max(0, len(alphabet) - 1))
+    letters[k] = np.where(alphabet[found] == own, found, len(alphabet)) if len(alphabet) else 0
+    v = np.full(len(i), ~np.uint64(0))
+    masks, base = masks.ravel(), place * (len(alphabet) + 1)
+    for p in range(longest):
+        u = v & masks[base + letters[there, p]]
+        v = (v + u) | (v - u)
+    full = ~np.uint64(0) >> (64 - np.maximum(a.n[i], 1)).astype(np.uint64)
+    return np.where(a.n[i] > 0, a.n[i] - np.bitwise_count(v & full), 0)
+
+
+def alike(a: list[str], b: list[str] | None, threshold: int, seen: list | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(i, j, ratio): all pairs of names ``a[i]``, ``b[j]`` of ratio >= ``threshold``; without ``b`` those of different names of ``a``, once.
+
+    Names differ in as many letters at least as their counts of letters differ; lengths and these counts decide for all but a few
+    pairs, block by block. ``seen`` collects how many pairs each block scored.
+    """
+    r = (threshold - 0.5) / 100
+    x = _Spelled(a)
+    y = _Spelled(b) if b is not None else x
+    out = [[np.zeros(0, np.int64)] for _ in range(3)]
+    for s in range(0, len(a), BLOCK):
+        e = min(s + BLOCK, len(a))
+        # the lengths that reach the threshold with any of this block
+        low, high = r * x.n[s] / (2 - r) - 1e-9, (2 - r) * x.n[e - 1] / r + 1e-9
+        first, last = (s, len(a)) if b is None else (int(np.searchsorted(y.n, low)), len(y.names))
+        last = min(last, int(np.searchsorted(y.n, high, "right")))
+        for s2 in range(first, last, BLOCK):
+            e2 = min(s2 + BLOCK, last)
+            differ = sum(np.bitwise_count(x.codes[h][s:e, None] ^ y.codes[h][None, s2:e2]) for h in (0, 1))
+            hits = np.flatnonzero(differ <= min(255, int((1 - r) * (x.n[e - 1] + y.n[e2 - 1]) + 1e-9)))
+            i, j = hits // (e2 - s2) + s, hits % (e2 - s2) + s2
+            total = x.n[i] + y.n[j]
+            ok = (differ.ravel()[hits] <= (1 - r) * total + 1e-9) & (2 * np.minimum(x.n[i], y.n[j]) >= r * total - 1e-9)
+            if b is None:
+                ok &= i < j
+            i, j, total = i[ok], j[ok], total[ok]
+            if seen is not None:
+                seen.append(len(i))
+            common = np.zeros(len(i), np.int64)
+            short, turned = x.n[i] <= 64, (x.n[i] > 64) & (y.n[j] <= 64)
+            if short.any():
+                common[short] = _common(x, y, i[short], j[short])
+            if turned.any():
+                common[turned] = _common(y, x, j[turned], i[turned])
+            for k in np.flatnonzero(~short & ~turned):
+                common[k] = lcs(x.names[i[k]], y.names[j[k]])
+            q = np.where(total > 0, np.rint(200 * common / np.maximum(total, 1)), 100).astype(np.int64)
+            good = q >= threshold
+            for to, part in zip(out, (x.order[i[good]], y.order[j[good]], q[good])):
+                to.append(part)
+    return tuple(np.concatenate(part) for part in out)
+
+
 @F.arrow_udf(IntegerType())
 def fuzzy_ratio_fast(parts: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
     """``fuzzy_ratio`` of two columns in Arrow batches."""

@@ -260,3 +260,48 @@ def test_ratios_of_a_block_are_those_of_its_pairs():
     text = lambda: "".join(r.choice("abcde éß\U0001F600\0") for _ in range(r.randrange(80)))
     a, b = ([None, "x" * 64, "", *(text() for _ in range(3000))] for _ in range(2))
     assert ratios(a, b) == [None if x is None or y is None else ratio(x, y) for x, y in zip(a, b)]
+
+
+def test_alike_scores_few_pairs_and_loses_none():
+    import random
+
+    from plenum.operators.fuzzy import alike, ratio
+
+    r = random.Random(2)
+    word = lambda n: "".join(r.choice("abdeilmnorst") for _ in range(n))
+    a = [f"{word(8)} {k}" for k in ("harbour model", "bay", "ferry subsidy stance", "é\U0001F600 " + "long " * 12) for _ in range(150)] + ["", "\0", "x" * 64, "x" * 65, "x" * 70]
+    b = [x[:4] + x[5:] for x in a[::3]] + [x + "q" for x in a[1::7]] + a[::11]
+    want = {(x, y): ratio(x, y) for x in set(a) for y in set(b) if ratio(x, y) >= 85}
+    i, j, q = alike(a, b, 85)
+    assert {(a[x], b[y]): z for x, y, z in zip(i, j, q.tolist())} == want and len(want) > 1000
+    seen = []
+    i, j, q = alike(a, None, 85, seen)
+    assert {(min(x, y), max(x, y)): z for x, y, z in zip(i.tolist(), j.tolist(), q.tolist())} == {(x, y): ratio(a[x], a[y]) for x in range(len(a)) for y in range(x + 1, len(a)) if ratio(a[x], a[y]) >= 85}
+    # the counts of letters leave few others than pairs of one long phrase
+    assert sum(seen) < 0.15 * len(a) ** 2 / 2 and all(len(p) == 0 for p in alike([], None, 85))
+
+
+def test_candidates_scores_of_odd_vectors_and_names(spark):
+    import numpy as np
+
+    from plenum.operators.fuzzy import ratio
+
+    rng = np.random.default_rng(4)
+    vecs = [None, [0.0] * 8, [1.0] * 7] + [(rng.integers(1, 9, 8) / 512 if i % 2 else rng.random(8) * 10.0 ** rng.integers(-20, 20)).astype("f4").tolist() for i in range(60)]
+    rows = [(f"e{i:02d}", "t", None if i % 9 == 0 else f"name {i % 5}", None, None if i % 3 else ["", None, "Shared Alias"], v) for i, v in enumerate(vecs)]
+    e = spark.createDataFrame(rows + rows[5:6] + [("u0", "u", None, None, None, None)], "entity_id string, entity_type string, canonical_name string, name string, aliases array<string>, embedding array<float>").withColumn("created_at", F.lit(None).cast("timestamp"))
+    want = {}
+    unit = [None if v is None or len(v) != 8 or not any(v) else np.array(v) / np.linalg.norm(v) for v in vecs]
+    names = [[x.lower() for x in [r[2], *(r[4] or [])] if x is not None] for r in rows]
+    for i in range(len(rows)):
+        for j in range(i + 1, len(rows)):
+            v = 0.0 if unit[i] is None or unit[j] is None else float(unit[i] @ unit[j])
+            f = max([0, *(ratio(a, b) for a in names[i] for b in names[j])]) / 100
+            if f >= 0.85 or v >= 0.85 or 0.3 * f + 0.7 * v >= 0.8:
+                want[rows[i][0], rows[j][0]] = (round(v, 4), round(0.3 * f + 0.7 * v, 4))
+    for tile in (2000, 10):
+        before, dedup.TILE = dedup.TILE, tile
+        got = dedup.candidates(e, 8).collect()
+        dedup.TILE = before
+        assert {(r["keep_id"], r["merge_id"]): (r["vector"], r["hybrid"]) for r in got} == want and len(got) == len(want) > 500
+    assert dedup.candidates(e.limit(0), 8).count() == 0
