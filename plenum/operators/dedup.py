@@ -25,9 +25,9 @@ from plenum.runtime import cut
 
 FUZZY, VECTOR, HYBRID = 0.85, 0.85, 0.80
 #: Entities of a tile, and of those rows and pairs of names that are taken up at once.
-TILE, ROWS, MET = 12_000, 512, 4_000_000
-#: Partitions of the ranked pairs.
-STRATA = 64
+TILE, ROWS, MET = 30_000, 512, 4_000_000
+#: Partitions of the ranked pairs, and what stands for no number.
+STRATA, NONE = 64, 2**31 - 1
 #: Error of a product of unit vectors in single precision.
 SINGLE = 5e-6
 #: Salted shares of one vertex.
@@ -63,8 +63,11 @@ def _unit_free(packed: list[bytes | None], dim: int) -> tuple[np.ndarray, np.nda
             raw = zlib.decompress(p)
             planes = np.frombuffer(raw, "u1").reshape(-1, dim)
             x[i] = np.ascontiguousarray(planes.T).view("f2" if len(planes) == 2 else "f4").ravel()
-    x = np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, initial=0))[1][:, None])
-    norm = np.sqrt(np.concatenate([np.zeros(0), *((x[s : s + 1000].astype("f8") ** 2).sum(1) for s in range(0, len(x), 1000))]))
+    norm = np.empty(len(packed))
+    for k in range(0, len(x), 1000):
+        part = x[k : k + 1000]
+        part[:] = np.ldexp(part, -np.frexp(np.abs(part).max(axis=1, initial=0))[1][:, None])
+        norm[k : k + 1000] = np.sqrt((part.astype("f8") ** 2).sum(1))
     return x, np.where(norm == 0, 1.0, norm)
 
 
@@ -132,8 +135,8 @@ def _tile(dim: int):
         texts = None
         first, second = (np.flatnonzero(t.column(c).to_numpy()) for c in ("is_first", "is_second"))
         within = len(first) == len(second) and bool((first == second).all())
-        x, norm = _unit_free(t.column("vec").to_pylist(), dim)
-        left_x, right_x, left_n, right_n = x[first], x if within else x[second], norm[first], norm[second]
+        left_x, left_n = _unit_free(t.column("vec").take(pa.array(first)).to_pylist(), dim)
+        right_x, right_n = (left_x, left_n) if within else _unit_free(t.column("vec").take(pa.array(second)).to_pylist(), dim)
         age = np.empty(len(ids), np.int64)
         created = t.column("created").to_pylist()
         age[sorted(range(len(ids)), key=lambda i: (created[i], ids[i]))] = np.arange(len(ids))
@@ -199,16 +202,19 @@ def candidates(entities: DataFrame, dim: int = 768) -> DataFrame:
 def ranked(pairs: DataFrame) -> DataFrame:
     """Candidates, the highest hybrid score first, equal ones by their ids."""
     # sampling for the bounds of an orderBy would compute all pairs twice; the scores' bounds are known
-    pairs = pairs.withColumn("_at", _stratum(F.col("hybrid")))
-    return pairs.repartitionById(STRATA, "_at").sortWithinPartitions("_at", F.desc("hybrid"), "keep_id", "merge_id").drop("_at")
+    scores = [c for c in ("fuzzy", "vector", "hybrid") if c in pairs.columns]
+    # four decimals: they are shuffled as whole numbers, which take less room; no number is one that no score is
+    whole = pairs.withColumns({c: F.when(F.isnan(c), NONE).otherwise(F.round(F.col(c) * 10000).cast("int")) for c in scores}).withColumn("_at", _stratum(F.col("hybrid")))
+    order = whole.repartitionById(STRATA, "_at").sortWithinPartitions("_at", F.desc("hybrid"), "keep_id", "merge_id").drop("_at")
+    return order.withColumns({c: F.when(F.col(c) == NONE, F.lit(float("nan"))).otherwise(F.col(c) / 10000) for c in scores})
 
 
-def _stratum(hybrid: Column) -> Column:
-    """0 for the highest scores, up to ``STRATA`` - 1; three quarters of the strata are those of pairs alike by name alone."""
-    low, high, side = 0.2, 0.36, STRATA // 8
+def _stratum(whole: Column) -> Column:
+    """0 for the highest scores, in ten-thousandths, up to ``STRATA`` - 1; three quarters of the strata are those of pairs alike by name alone."""
+    low, high, side, hybrid = 0.2, 0.36, STRATA // 8, whole / 10000
     place = F.when(hybrid >= high, side * (1 - hybrid) / (1 - high)).when(hybrid >= low, side + (STRATA - 2 * side) * (high - hybrid) / (high - low)).otherwise(STRATA - side + side * (low - hybrid))
     # no number counts as the highest one, as in orderBy; missing ones come last
-    return F.when(F.isnan(hybrid), 0).otherwise(F.coalesce(F.greatest(F.lit(0), F.least(F.lit(STRATA - 1), F.floor(place).cast("int"))), F.lit(STRATA - 1)))
+    return F.coalesce(F.greatest(F.lit(0), F.least(F.lit(STRATA - 1), F.floor(place).cast("int"))), F.lit(STRATA - 1))
 
 
 def _pack(batches):

@@ -322,4 +322,4 @@ def test_ranked_is_in_order_and_computes_its_pairs_once(spark):
     df = spark.createDataFrame(rows, "keep_id string, merge_id string, hybrid double")
     got = [tuple(r) for r in dedup.ranked(df.mapInArrow(counted, df.schema)).collect()]
     key = lambda r: (2 if r[2] is None else 0 if np.isnan(r[2]) else 1, -(r[2] or 0) if r[2] == r[2] else 0, r[0], r[1])
-    assert [r[:2] for r in got] == [r[:2] for r in sorted(rows, key=key)] and met.value == len(rows)
+    assert [(*r[:2], str(r[2])) for r in got] == [(*r[:2], str(r[2])) for r in sorted(rows, key=key)] and met.value == len(rows)
